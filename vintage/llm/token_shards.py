@@ -36,7 +36,6 @@ LONGEST = 64
 #: At a space after a non-space the byte-level pre-tokenizer always cuts, and
 #: what follows does not depend on what came before.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_UNEVEN = re.compile(r"\s |^ ")
 
 #: How the byte-level vocabulary writes a space.
 SPACE_SIGN = "\u0120"
@@ -49,58 +48,60 @@ BLOCKS = (
 
 # ------------------------------------------------------------- tokenizing
 class TokenTable:
-    """Ids of texts by the tokenizers library; each distinct space-led chunk
-    is encoded once per worker (``size`` chunks at most, emptied when full)."""
+    """Ids of texts by the tokenizers library; each distinct space-led word is
+    encoded once per worker and kept. Two generations of ``size // 2`` words at
+    most: when the young one is full it becomes the old one, so that words in
+    use survive."""
 
     def __init__(self, path: str, size: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.size, self.rows = size, {}
+        self.size, self.rows, self.old = size // 2, {}, {}
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
-
         self.lead = np.zeros(max(self.vocabulary, 1), bool)
         self.lead[[i for t, i in self.lib.get_vocab(with_added_tokens=True).items() if t.startswith(SPACE_SIGN)]] = True
 
-    def segment(self, new: list[str]) -> list[bytes]:
-        """Ids of chunks that the table lacks. Chunks with one space, at their
-        start, are encoded side by side in one text: each starts at the only
-        id in it that starts with a space."""
-        plain = [k for k in new if k.rfind(" ") == 0 and len(k) > 1 and not k[-1].isspace()]
-        found: dict[str, bytes] = {}
-        if plain:
-            ids = np.array(self.lib.encode("".join(plain), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.lead[ids])
-            if len(starts) == len(plain):
-                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                found = {k: raw[s:e] for k, s, e in zip(plain, cuts, cuts[1:])}
-        if rest := [k for k in new if k not in found]:
-            got = self.lib.encode_batch_fast(rest, add_special_tokens=False)
-            found |= {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(rest, got)}
-        return [found[k] for k in new]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def segment(self, new: list[str]) -> dict[str, bytes] | None:
+        """Ids of words, each led by a space, encoded side by side in one
+        text: each starts at the only id in it that starts with a space. None
+        where that can't be told."""
+        ids = np.array(self.lib.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
+        starts = np.flatnonzero(self.lead[ids])
+        if len(starts) != len(new):
+            return None
+        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return {k: raw[s:e] for k, s, e in zip(new, cuts, cuts[1:])}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if _UNEVEN.search(text):
-            keys = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            keys = [first, *[" " + w for w in rest]]
-        rows = self.rows
-        try:
-            return b"".join([rows[k] for k in keys])
-        except KeyError:
-            pass
-        new = [k for k in dict.fromkeys(keys) if k not in rows]
-        if len(rows) + len(new) > self.size:
-            rows.clear()
-            new = list(dict.fromkeys(keys))
-        found = dict(zip(new, self.segment(new)))
-        rows.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        return b"".join([rows[k] if k in rows else found[k] for k in keys])
+        first, *words = text.split(" ")
+        got = list(map(self.rows.get, words))
+        if None in got:
+            at = [i for i, g in enumerate(got) if g is None]
+            new = []
+            for w in dict.fromkeys([words[i] for i in at]):
+                if (g := self.old.get(w)) is not None:
+                    self.rows[w] = g
+                elif not w or w[-1].isspace():  # the next space would not start a word
+                    return b"".join([self.whole(t) for t in _CUT.split(text)]) if text else b""
+                else:
+                    new.append(w)
+            found = self.segment(new) if new else {}
+            if found is None:
+                return b"".join([self.whole(t) for t in _CUT.split(text)])
+            self.rows.update(found if max(map(len, found), default=0) <= LONGEST else {k: v for k, v in found.items() if len(k) <= LONGEST})
+            for i in at:
+                got[i] = found[words[i]] if words[i] in found else self.rows[words[i]]
+            if len(self.rows) > self.size:
+                self.old, self.rows = self.rows, {}
+        if first and first[-1].isspace() and words:
+            return b"".join([self.whole(t) for t in _CUT.split(text)])
+        return (self.whole(first) if first else b"") + b"".join(got)
 
 
 _tables: dict[tuple[str, int], TokenTable] = {}
@@ -197,7 +198,7 @@ def default_tokenizer() -> str:
 
 def write_shards(
     df: DataFrame, out: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 600_000,
+    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 1_200_000,
 ) -> None:
     """Encode ``text`` and write blocks in ascending ``key`` order to ``out``.
 
