@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vintage.llm.byte_cnn import op7_byte_cnn
+from vintage.llm.circulant_minhash import op6_circulant_minhash
 from vintage.llm.quality_rules import op9_quality_rules
 from vintage.llm.rule_ensemble import op2_rule_ensemble
 from vintage.llm.secret_scan import op1_secret_scan
@@ -16,6 +17,7 @@ from vintage.llm.token_shards import op10_token_shards
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_rule_ensemble": op2_rule_ensemble,
+    "op6_circulant_minhash": op6_circulant_minhash,
     "op7_byte_cnn": op7_byte_cnn,
     "op9_quality_rules": op9_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
