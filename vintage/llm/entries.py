@@ -13,12 +13,14 @@ from vintage.llm.rule_ensemble import op2_rule_ensemble
 from vintage.llm.secret_scan import op1_secret_scan
 from vintage.llm.sentencepieces import op8_sentencepiece
 from vintage.llm.spaced_seeds import op4_spaced_seeds
+from vintage.llm.suffix_dedup import op5_suffix_dedup
 from vintage.llm.token_shards import op10_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_rule_ensemble": op2_rule_ensemble,
     "op4_spaced_seeds": op4_spaced_seeds,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_byte_cnn": op7_byte_cnn,
     "op9_quality_rules": op9_quality_rules,
