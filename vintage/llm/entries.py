@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vintage.llm.byte_cnn import op7_byte_cnn
 from vintage.llm.circulant_minhash import op6_circulant_minhash
+from vintage.llm.html_crf import op3_html_crf
 from vintage.llm.quality_rules import op9_quality_rules
 from vintage.llm.rule_ensemble import op2_rule_ensemble
 from vintage.llm.secret_scan import op1_secret_scan
@@ -19,6 +20,7 @@ from vintage.llm.token_shards import op10_token_shards
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_rule_ensemble": op2_rule_ensemble,
+    "op3_html_crf": op3_html_crf,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_circulant_minhash": op6_circulant_minhash,
