@@ -12,8 +12,9 @@ group of copies is one node. In a bucket, not all pairs are tried:
 1. every member against the least member;
 2. members not yet connected to a member picked by a hash of bucket and member,
    another one in each bucket, against it;
-3. what is then still in different components of a bucket, pair by pair,
-   so that no link is lost to the short cuts.
+3. what is then still in different components of a bucket, all of it, so that
+   no link is lost to the short cuts: pair by pair in small buckets; in large
+   ones block against block, each two blocks in a task that returns links only.
 
 Each link is confirmed on the full sets: ``100 * |A & B| >= percent * |A | B|``.
 Links, components and signatures stay in tables; none comes to the driver.
@@ -40,6 +41,8 @@ from vintage.llm.graph import components
 
 BANDS, ROWS = 40, 6
 UNIVERSE = 1 << 20
+#: Buckets of up to FEW members are compared pair by pair, larger ones in blocks.
+FEW, BLOCK = 8, 256
 
 
 class Permutations:
@@ -141,6 +144,61 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
 
+def common_counts(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets, as a matrix."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[which]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for s in range(0, len(shared), at_once):
+        lo, hi = np.searchsorted(column, [s, s + at_once])
+        part = np.zeros((len(sets), min(at_once, len(shared) - s)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - s] = 1
+        out += part @ part.T
+    return out
+
+
+def compare_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different parts of large buckets. A bucket is cut
+    into blocks of about BLOCK members, and each two of its blocks are compared
+    in a task of their own, which gives back the links alone."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
+    dealt = placed.select("bucket", "node", "part", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        own = [np.asarray(s) for s in part["shingles"]]
+        size = np.array([len(s) for s in own], np.int64)
+        both = common_counts(own).astype(np.int64)
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        apart = part["part"].to_numpy()[:, None] < part["part"].to_numpy()[None, :]
+        u, v = np.nonzero(near & apart)
+        node = part["node"].to_numpy()
+        return pd.DataFrame({"u": node[u], "v": node[v]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = (held[["bucket", "i", "j"]] == held[["bucket", "i", "j"]].iloc[-1]).all(axis=1)
+            for _, part in held[~last].groupby(["bucket", "i", "j"], sort=False):
+                yield links(part)
+            held = held[last]
+        if held is not None and len(held):
+            yield links(held)
+
+    full = dealt.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = full.mapInPandas(run, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (least key that can be reached) and kept
     (it is that key) of every row of ``df``."""
@@ -172,20 +230,24 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
         placed = members.join(found.withColumnRenamed("id", "node"), "node", "left")
         placed = placed.select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
         open_ = placed.groupBy("bucket").agg(
-            F.min("part").alias("lo"), F.max("part").alias("hi"),
+            F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m"),
             F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n", "part")).alias("first"),
         ).where("lo <> hi")
-        placed = placed.join(open_.select("bucket", "first"), "bucket")
+        placed = placed.join(open_.select("bucket", "first", "m"), "bucket")
         if last:
             placed = materialize(placed.drop("first"), "open")
-            other = placed.select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
-            pairs = placed.join(other, "bucket").where((F.col("part") < F.col("part_v")) & fits(F.col("n"), F.col("n_v")))
+            few = placed.where(F.col("m") <= FEW)
+            other = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
+            pairs = few.join(other, "bucket").where((F.col("part") < F.col("part_v")) & fits(F.col("n"), F.col("n_v")))
             pairs = pairs.select(F.col("node").alias("u"), "v")
         else:
             pairs = placed.where((F.col("part") != F.col("first.part")) & fits(F.col("n"), F.col("first.n")))
             pairs = pairs.select(F.col("first.node").alias("u"), F.col("node").alias("v"))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = materialize(confirm(pairs, sets, percent), "links")
+        new = confirm(pairs, sets, percent)
+        if last:
+            new = new.union(compare_blocks(placed.where(F.col("m") > FEW), sets, percent))
+        new = materialize(new, "links")
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)

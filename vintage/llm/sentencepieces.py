@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,7 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, table_si
         rows = _table(model, table_size)
         for b in batches:
             got = [rows.encode(t) for t in b[text]]
-            yield b.assign(ids=[list(map(int, g[1].split())) for g in got], decoded=[g[2] for g in got])
+            yield b.assign(ids=[np.array(g[1].split(), np.int32) for g in got], decoded=[g[2] for g in got])
 
     return df.select(keep).mapInPandas(run, schema)
 
