@@ -24,7 +24,8 @@ from vintage.llm.common import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+    judged = quality_rules.judge(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+    return judged.where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
