@@ -36,6 +36,7 @@ LONGEST = 64
 #: At a space after a non-space the byte-level pre-tokenizer always cuts, and
 #: what follows does not depend on what came before.
 _CUT = re.compile(r"(?<=\S)(?= )")
+_UNEVEN = re.compile(r"\s |\s\Z|\A(?: |\Z)")
 
 #: How the byte-level vocabulary writes a space.
 SPACE_SIGN = "\u0120"
@@ -66,39 +67,45 @@ class TokenTable:
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def segment(self, new: list[str]) -> dict[str, bytes] | None:
+    def segment(self, new: list[str], joined: str) -> dict[str, bytes] | None:
         """Ids of words, each led by a space, encoded side by side in one
         text: each starts at the only id in it that starts with a space. None
         where that can't be told."""
-        ids = np.array(self.lib.encode(" " + " ".join(new), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.lib.encode(" " + joined, add_special_tokens=False).ids, "<u4")
         starts = np.flatnonzero(self.lead[ids])
         if len(starts) != len(new):
             return None
         raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return {k: raw[s:e] for k, s, e in zip(new, cuts, cuts[1:])}
+        return dict(zip(new, [raw[s:e] for s, e in zip(cuts, cuts[1:])]))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        first, *words = text.split(" ")
-        got = list(map(self.rows.get, words))
+        words = text.split(" ")
+        first = words.pop(0)
+        rows = self.rows
+        got = list(map(rows.get, words))
         if None in got:
-            at = [i for i, g in enumerate(got) if g is None]
-            new = []
-            for w in dict.fromkeys([words[i] for i in at]):
-                if (g := self.old.get(w)) is not None:
-                    self.rows[w] = g
-                elif not w or w[-1].isspace():  # the next space would not start a word
-                    return b"".join([self.whole(t) for t in _CUT.split(text)]) if text else b""
-                else:
-                    new.append(w)
-            found = self.segment(new) if new else {}
+            new = list(dict.fromkeys([w for w, g in zip(words, got) if g is None]))
+            if self.old:
+                kept = {w: g for w in new if (g := self.old.get(w)) is not None}
+                rows.update(kept)
+                new = [w for w in new if w not in kept]
+            found = {}
+            if new:
+                joined = " ".join(new)
+                # a word must not be empty nor end in white space: the next space would not start a word
+                found = None if _UNEVEN.search(joined) else self.segment(new, joined)
             if found is None:
                 return b"".join([self.whole(t) for t in _CUT.split(text)])
-            self.rows.update(found if max(map(len, found), default=0) <= LONGEST else {k: v for k, v in found.items() if len(k) <= LONGEST})
-            for i in at:
-                got[i] = found[words[i]] if words[i] in found else self.rows[words[i]]
-            if len(self.rows) > self.size:
-                self.old, self.rows = self.rows, {}
+            if new and max(map(len, new)) > LONGEST:
+                long = {k: found.pop(k) for k in new if len(k) > LONGEST}
+                rows.update(found)
+                got = [rows[w] if g is None and w in rows else long[w] if g is None else g for w, g in zip(words, got)]
+            else:
+                rows.update(found)
+                got = list(map(rows.__getitem__, words))
+            if len(rows) > self.size:
+                self.old, self.rows = rows, {}
         if first and first[-1].isspace() and words:
             return b"".join([self.whole(t) for t in _CUT.split(text)])
         return (self.whole(first) if first else b"") + b"".join(got)
@@ -139,19 +146,18 @@ def build_mph(keys: np.ndarray, load: int = 4) -> np.ndarray:
     ends = np.cumsum(counts)
     taken = np.zeros(n, bool)
     seeds = np.zeros(n_buckets, np.uint32)
-    tries = 128
     for b in np.argsort(-counts, kind="stable"):
         if counts[b] < 2:
             break
         own = keys[order[ends[b] - counts[b] : ends[b]]]
-        seed = 1
+        seed, tries = 1, 8
         while True:
             slots = _slots(own[None, :], np.arange(seed, seed + tries, dtype=np.uint64)[:, None], n)
             ranked = np.sort(slots, axis=1)
             good = ~taken[slots].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
             if good.any():
                 break
-            seed += tries
+            seed, tries = seed + tries, min(256, 4 * tries)
         at = int(np.argmax(good))
         taken[slots[at]] = True
         seeds[b] = seed + at
@@ -198,7 +204,7 @@ def default_tokenizer() -> str:
 
 def write_shards(
     df: DataFrame, out: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 1_200_000,
+    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 2_400_000,
 ) -> None:
     """Encode ``text`` and write blocks in ascending ``key`` order to ``out``.
 
