@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.operators import apply, chain, concordance, estimation, weights
-from vintage.plans.sql import BASE, YEARS, statement
+from vintage.plans.sql import BASE, YEARS
 from vintage.sources import fixture
+from vintage.sources.storage import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+#: Oracle statements without their common parts; the registry adds those.
+BODIES: dict[str, str] = {}
 BOTH = ["VALUE_EUR", "QUANTITY_KG"]
 
 
@@ -25,7 +27,7 @@ def query(body: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or f.__name__
         QUERIES[key] = f
         if body:
-            ORACLES[key] = statement(body)
+            BODIES[key] = body
         return f
 
     return add
@@ -36,7 +38,7 @@ def r6(*columns: str) -> list[F.Column]:
 
 
 def groups_of(spark: SparkSession, sf_dir: str) -> concordance.Groups:
-    return concordance.build_groups(fixture.edges(spark, sf_dir))
+    return concordance.build_groups(checkpointed(fixture.edges(spark, sf_dir)))
 
 
 def uniform_steps(edges: DataFrame) -> DataFrame:
@@ -51,9 +53,8 @@ def uniform_steps(edges: DataFrame) -> DataFrame:
 
 
 def uniform_chains(spark: SparkSession, sf_dir: str, measures: list[str] = ["VALUE_EUR"], target: int = BASE) -> chain.Chained:  # noqa: B006
-    edges = fixture.edges(spark, sf_dir)
-    steps = uniform_steps(edges).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in measures], "measure string")))
-    universe = concordance.code_universe(fixture.trade(spark, sf_dir))
+    steps = uniform_steps(fixture.edges(spark, sf_dir)).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in measures], "measure string")))
+    steps, universe = checkpointed(steps), checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
     return chain.chain_range(steps, universe, YEARS[0], YEARS[-1], target, measures, final=False)
 
 
@@ -279,8 +280,8 @@ def chain_diagnostics(spark, sf_dir):
 def unresolved_codes(spark, sf_dir):
     """Revised codes whose step lacks weights: none, as every link has one."""
     edges = fixture.edges(spark, sf_dir)
-    steps = uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR"))
-    universe = concordance.code_universe(fixture.trade(spark, sf_dir))
+    steps = checkpointed(uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR")))
+    universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
     revised = concordance.revised_codes(concordance.build_groups(edges))
     out = chain.chain_range(steps, universe, YEARS[0], YEARS[-1], BASE, ["VALUE_EUR"], revised, final=False)
     return out.unresolved.select("origin_year", "code", "reason")
@@ -292,8 +293,8 @@ def unresolved_codes(spark, sf_dir):
  LEFT JOIN s1997 r ON l.to_code=r.from_code GROUP BY 1,2)""")
 def chain_single_origin(spark, sf_dir):
     edges = fixture.edges(spark, sf_dir)
-    steps = uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR"))
-    universe = concordance.code_universe(fixture.trade(spark, sf_dir))
+    steps = checkpointed(uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR")))
+    universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
     return chain.chain_origin(steps, universe, 1995, BASE, ["VALUE_EUR"]).weights.select("from_code", "to_code", *r6("weight"))
 
 
