@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from vintage.llm.common import mix, parts, shared_folder, table
 
-LONGEST = 64
 #: At a space after a non-space the byte-level pre-tokenizer always cuts, and
 #: what follows does not depend on what came before.
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Line breaks that are not between two visible characters.
+_BREAKS = re.compile(r"\n\s|\s\n|\A\n|\n\Z")
 _UNEVEN = re.compile(r"\s |\s\Z|\A(?: |\Z)")
 
 #: How the byte-level vocabulary writes a space.
@@ -61,6 +62,9 @@ class TokenTable:
         self.lib = Tokenizer.from_file(path)
         self.size, self.rows, self.old = size // 2, {}, {}
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
+        self.heads: dict[str, bytes] = {}
+        self.newline = self.whole("\n")
+        self.stops = {c: self.whole(c) for c in ".,"}
         self.lead = np.zeros(max(self.vocabulary, 1), bool)
         self.lead[[i for t, i in self.lib.get_vocab(with_added_tokens=True).items() if t.startswith(SPACE_SIGN)]] = True
 
@@ -82,34 +86,63 @@ class TokenTable:
         """Little-endian unsigned 32-bit ids."""
         words = text.split(" ")
         first = words.pop(0)
-        rows = self.rows
-        got = list(map(rows.get, words))
+        got = list(map(self.rows.get, words))
         if None in got:
-            new = list(dict.fromkeys([w for w, g in zip(words, got) if g is None]))
-            if self.old:
-                kept = {w: g for w in new if (g := self.old.get(w)) is not None}
-                rows.update(kept)
-                new = [w for w in new if w not in kept]
-            found = {}
-            if new:
-                joined = " ".join(new)
-                # a word must not be empty nor end in white space: the next space would not start a word
-                found = None if _UNEVEN.search(joined) else self.segment(new, joined)
-            if found is None:
+            if not self.learn(list(dict.fromkeys([w for w, g in zip(words, got) if g is None]))):
                 return b"".join([self.whole(t) for t in _CUT.split(text)])
-            if new and max(map(len, new)) > LONGEST:
-                long = {k: found.pop(k) for k in new if len(k) > LONGEST}
-                rows.update(found)
-                got = [rows[w] if g is None and w in rows else long[w] if g is None else g for w, g in zip(words, got)]
-            else:
-                rows.update(found)
-                got = list(map(rows.__getitem__, words))
-            if len(rows) > self.size:
-                self.old, self.rows = rows, {}
-        if first and first[-1].isspace() and words:
+            got = list(map(self.rows.__getitem__, words))
+            if len(self.rows) > self.size:
+                self.old, self.rows = self.rows, {}
+        if words and (not first or first[-1].isspace()):
             return b"".join([self.whole(t) for t in _CUT.split(text)])
         return (self.whole(first) if first else b"") + b"".join(got)
 
+    def head(self, word: str) -> bytes:
+        """Ids of a word at the start of a line."""
+        found = self.heads.get(word)
+        if found is None:
+            if len(self.heads) > self.size:
+                self.heads.clear()
+            found = self.heads[word] = self.whole(word)
+        return found
+
+    def learn(self, new: list[str]) -> bool:
+        """Put words into the table; False if one is empty or ends in white
+        space, as then the next space would not start a word. A stop or comma
+        after a letter is a token of its own, so the bare word is learned."""
+        rows = self.rows
+        if self.old:
+            kept = {w: g for w in new if (g := self.old.get(w)) is not None}
+            rows.update(kept)
+            new = [w for w in new if w not in kept]
+        if not new:
+            return True
+        if _UNEVEN.search(" ".join(new)):
+            return False
+        bare, stopped, broken = {}, [], []
+        for w in new:
+            if "\n" in w and not _BREAKS.search(w):  # each line break is a token of its own
+                broken.append((w, w.split("\n")))
+                w = broken[-1][1][0]
+                if w in rows:
+                    continue
+            if w[-1] in self.stops and w[-2:-1].isalpha():
+                stopped.append(w)
+                w = w[:-1]
+                if w in rows:
+                    continue
+            bare[w] = None
+        if bare:
+            found = self.segment(list(bare), " ".join(bare))
+            if found is None:
+                return False
+            rows.update(found)
+        for w in stopped:
+            rows[w] = rows[w[:-1]] + self.stops[w[-1]]
+        for w, (start, *lines) in broken:
+            rows[w] = self.newline.join([rows[start], *map(self.head, lines)])
+        return True
+
 
 _tables: dict[tuple[str, int], TokenTable] = {}
 
