@@ -40,13 +40,13 @@ def ingest_concordance(raw: DataFrame, period: str = "Period", origin: str = "Or
     """(edges, rejected rows with reasons) of a raw correspondence table. S6"""
     text = period_text(F.col(period))
     a, b = period_years(text)
-    rows = raw.select(
-        F.col(period), F.col(origin), F.col(destination), text.alias("period"), a.alias("vintage_a_year"), b.alias("vintage_b_year"),
+    reason = F.when(text.isNull(), "bad period").otherwise(F.coalesce(code_rejection(F.col(origin)), code_rejection(F.col(destination))))
+    good = raw.where(reason.isNull()).select(
+        text.alias("period"), a.alias("vintage_a_year"), b.alias("vintage_b_year"),
         strict_code(F.col(origin)).alias("vintage_a_code"), strict_code(F.col(destination)).alias("vintage_b_code"),
-        F.when(text.isNull(), "bad period").otherwise(F.coalesce(code_rejection(F.col(origin)), code_rejection(F.col(destination)))).alias("reason"),
     )
-    good = rows.where("reason is null").select("period", "vintage_a_year", "vintage_b_year", "vintage_a_code", "vintage_b_code")
-    return good.dropDuplicates(["period", "vintage_a_code", "vintage_b_code"]), rows.where("reason is not null").select(period, origin, destination, "reason")
+    bad = raw.where(reason.isNotNull()).select(F.col(period), F.col(origin), F.col(destination), reason.alias("reason"))
+    return good.dropDuplicates(["period", "vintage_a_code", "vintage_b_code"]), bad
 
 
 def write_recoded(df: DataFrame, path: str) -> None:
