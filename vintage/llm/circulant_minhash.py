@@ -104,9 +104,8 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
             rows = []
             for t in b[text]:
                 s = shingle_set(t, size)
-                rows.append((len(s), *set_digest(s), band_keys(make.signature(s))) if len(s) else (0, None, None, None))
+                rows.append((len(s), *set_digest(s), band_keys(make.signature(s)) if len(s) else []))
             out = pd.DataFrame(rows, columns=["n", "digest_a", "digest_b", "bands"])
-            out["digest_a"], out["digest_b"] = out["digest_a"].astype("Int64"), out["digest_b"].astype("Int64")
             out.insert(0, key, b[key].array)
             yield out
 
