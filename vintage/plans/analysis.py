@@ -322,10 +322,11 @@ def _timed(spark, sf_dir):
     return checkpointed(synthetic.timing(c, totals, concordance.code_lifetimes(fixture.edges(spark, sf_dir)))), totals
 
 
-@query(f"""SELECT *, CASE WHEN concept='prehistory' AND (coalesce(obs_first,introduced)<={FIRST} OR coalesce(obs_first,introduced)>{LAST}) THEN 'introduced_outside_window'
+@query(f"""SELECT concept, code, CAST(obs_first AS STRING) AS obs_first, CAST(obs_last AS STRING) AS obs_last, CAST(introduced AS STRING) AS introduced, CAST(sunset AS STRING) AS sunset, CASE WHEN concept='prehistory' AND (coalesce(obs_first,introduced)<={FIRST} OR coalesce(obs_first,introduced)>{LAST}) THEN 'introduced_outside_window'
 WHEN obs_first IS NULL THEN 'absent_in_window_data' WHEN concept='afterlife' AND coalesce(obs_last,sunset)>={LAST} THEN 'concept_not_afterlife' ELSE 'included' END AS status FROM timed""")
 def code_timing(spark, sf_dir):
-    return synthetic.inclusion(_timed(spark, sf_dir)[0], FIRST, LAST)
+    out = synthetic.inclusion(_timed(spark, sf_dir)[0], FIRST, LAST)
+    return out.select("concept", "code", *[F.col(c).cast("string").alias(c) for c in ("obs_first", "obs_last", "introduced", "sunset")], "status")
 
 
 def _series(spark, sf_dir):
