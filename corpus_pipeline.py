@@ -24,7 +24,7 @@ from vintage.llm.common import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+    judged = quality_rules.judge(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")), threshold=None)
     return judged.where("kept").select(docs.columns)
 
 

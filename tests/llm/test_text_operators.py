@@ -108,6 +108,18 @@ def test_likelihood_ratio(spark, documents, prose):
     assert all(r.kept == (r.llr >= quality_rules.THRESHOLD) for r in got.values())
 
 
+def test_threshold_follows_few_trusted_rows(spark, documents):
+    rng = random.Random(6)
+    good = [" ".join(f"g{rng.randint(0, 400)}" for _ in range(80)) for _ in range(80)]
+    bad = [" ".join(f"b{rng.randint(0, 400)}" for _ in range(80)) for _ in range(30)]
+    trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
+    rows = {r.doc_id: r for r in quality_rules.judge(documents(good + bad), trusted, threshold=None).select("doc_id", "llr", "kept").collect()}
+    assert sum(rows[i].kept for i in range(30, 80)) >= 45 and not any(rows[i].kept for i in range(80, 110))
+    assert sum(rows[i].llr >= quality_rules.THRESHOLD for i in range(30, 80)) < 45  # what the fixed number would keep
+    alone = spark.createDataFrame([(0,)], "doc_id long")
+    assert quality_rules.judge(documents(good[:5]), alone, threshold=None).where("kept").count() == 5
+
+
 def test_clashing_columns_and_empty(documents):
     docs = documents(["a b"]).withColumn("llr", F.lit("x")).withColumn("_w", F.lit(1))
     assert quality_rules.judge(docs, None).first().llr == 0.0
