@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -157,6 +158,30 @@ def test_overlap_tolerates_substitutions():
     assert spaced_seeds.overlap(b[:4], a, 10) == 0
 
 
+def test_one_in_five_words_changed(spark, documents, prose):
+    items = [prose(20, seed=700), prose(10, seed=701)]
+    long, short = items[0].split(), items[1].split()
+    long[2::5] = ["changed"] * 4
+    short[5] = "changed"
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents([prose(30, seed=i) + " " + " ".join(x) + " " + prose(30, seed=90 + i) for i, x in enumerate([long, short])])
+    got = {(r.doc_id, r.item_id): r.overlap for r in spaced_seeds.contaminated(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1)} and got[0, 0] >= 16 and got[1, 1] >= 9
+
+
+def test_overlap_is_the_best_stretch_and_short_masks_are_complete():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = np.arange(rng.randint(1, 24))
+        b = np.where([rng.random() < 0.75 for _ in a], a, -1)
+        same = (a == b).tolist()
+        spans = [same[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1)]
+        assert spaced_seeds.overlap(b, a, 0) == max([sum(x) for x in spans if sum(x) >= 4 * (len(x) - sum(x))], default=0)
+    for n in range(1, spaced_seeds.SPAN):
+        for gone in itertools.combinations(range(n), n - -(-8 * n // 10)):
+            assert any(all(m[j] == "0" for j in gone) for m in spaced_seeds.short_masks(n))
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark, tmp_path, documents, prose):
     clean = [prose(80, seed=i) for i in range(40)]

@@ -5,7 +5,7 @@ picks some token positions of a window and ignores the others, so a window
 whose changed tokens fall on ignored positions has the same hash. Hashes of
 all windows of the benchmark under every mask are joined with those of the
 documents; around each hit the whole diagonal (document position less item
-position) is compared, and the best stretch with at least four matches to each
+position) is compared, and the stretch of most matches with at least four to each
 mismatch is the overlap. A document is contaminated by an item if the
 overlap has ``least_words`` matching words, or 80 % of a shorter item.
 
@@ -15,13 +15,14 @@ the benchmark; it only leaves out windows that cannot join. What passes is
 joined through a shuffle.
 
 Edge cases: null or empty texts and items have no windows and no overlap; items
-of fewer words than a mask spans are searched as a whole; repeated rows of an id
+of fewer words than a mask spans have masks of their own length; repeated rows of an id
 count once; a null id is reported as a null id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -48,15 +49,24 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes(data[_KEPT[data]])[0]
 
 
+def short_masks(size: int) -> list[str]:
+    """Masks as long as an item of ``size`` words: whichever words are changed,
+    if 80 % are not, one of the masks ignores them all."""
+    changed = size - -(-8 * size // 10)
+    parts = 2 * changed + 1
+    return ["".join("01"[j * parts // size not in out] for j in range(size)) for out in combinations(range(parts), changed)]
+
+
 def window_hashes(words: np.ndarray, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """For each mask, and then for each length of short items, the hash of the
-    window that starts at each position."""
-    for k, mask in enumerate([*MASKS, *["1" * n for n in lengths]]):
+    """For each mask, and then for each mask of each length of short items, the
+    hash of the window that starts at each position."""
+    numbered = [*enumerate(MASKS), *[(1000 * size + i, m) for size in lengths for i, m in enumerate(short_masks(size))]]
+    for k, mask in numbered:
         n = len(words) - len(mask) + 1
         if n <= 0:
             yield np.zeros(0, np.uint64)
             continue
-        h = np.full(n, np.uint64(k if k < len(MASKS) else 1000 + len(mask)))
+        h = np.full(n, np.uint64(k))
         with np.errstate(over="ignore"):
             for j, c in enumerate(mask):
                 if c == "1":
@@ -126,23 +136,18 @@ def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, worst: int = 4) -> int:
-    """Matching words of the best stretch on the diagonal where item position j
-    meets document position j + shift: a match scores 1, a mismatch -worst."""
+    """Most matching words of a stretch on the diagonal where item position j
+    meets document position j + shift, with at least ``worst`` matches to each
+    mismatch: a match scores 1, a mismatch -worst, and the sum is 0 or more."""
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return 0
     same = item[low:high] == doc[low + shift : high + shift]
-    best = now = matched = most = 0
-    for s in same.tolist():
-        if s:
-            now, matched = now + 1, matched + 1
-        else:
-            now -= worst
-        if now <= 0:
-            now = matched = 0
-        elif now > best:
-            best, most = now, matched
-    return most
+    matched = np.concatenate([[0], np.cumsum(same)])
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -worst))])
+    # the first start whose sum is no more than that at the stop
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    return int((matched - matched[first]).max())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
