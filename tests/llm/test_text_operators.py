@@ -210,7 +210,7 @@ def test_extraction(spark):
     rng = random.Random(3)
     sentences = ["One plain sentence stands here.", "Another follows it.", "So does a third one, with a comma."]
     built = [html_crf.build_page(rng, sentences) for _ in range(60)]
-    want = ["\n".join(t.replace(html_crf._MARK, "") for t, _, _ in html_crf.blocks(h) if html_crf._MARK in t) for h in built]
+    want = ["\n".join(b.text.replace(html_crf._MARK, "") for b in html_crf.blocks(h) if html_crf._MARK in b.text) for h in built]
     pages = spark.createDataFrame([(i, "u", h.replace(html_crf._MARK, ""), "x") for i, h in enumerate([*built, PAGE])] + [(99, None, None, "x")], "page_id long, url string, html string, text string")
     field = html_crf.fit(pages)
     got = {r.page_id: r for r in html_crf.extract(pages, field).collect()}

@@ -12,10 +12,20 @@ table with an ``article`` or ``main`` landmark, whose blocks are labelled by it
 sentences (``built_pages``), in which the label of each block is known and
 landmarks are often missing. The trained field is applied to every page.
 
+Half of the training pages are shown again with their hints, their telling
+elements (article, nav, footer, ...) or both taken off, so that a page without
+them is judged by its text and by how its characters are shared out.
+
 Edge cases: null or empty html gives the empty text; html without tags is one
-block; unclosed and stray tags are tolerated; scripts, styles, comments, the
+block; unclosed and stray tags are tolerated: an open head ends at the first
+element or text that cannot stand in it, an unclosed drawing, choice or media
+element ends with its parent or hides nothing; only an unclosed script, style or
+comment hides the rest, as it does in a browser. Scripts, styles, comments, the
 head and other unseen elements never give text; repeated pages give repeated
-rows. Character references are decoded after the tags are found. A ``br`` ends a block.
+rows. Character references are decoded after the tags are found. A ``br`` ends a
+block. Pages of any length are read whole, in one pass; elements nested deeper
+than ``DEPTH`` add nothing to a path. An empty table gives no rows; extra columns
+are kept, but ``text`` and ``n_chars`` of the input give way to the new ones.
 """
 
 from __future__ import annotations
@@ -25,6 +35,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,8 +44,16 @@ from pyspark.sql import functions as F
 
 from vintage.llm.common import table
 
-#: Fixed lists of HTML element names.
-UNSEEN = "script style noscript template svg math iframe object head textarea select canvas audio video"
+#: Fixed lists of HTML element names. Elements whose content is never shown:
+HIDDEN = frozenset("noscript template svg math object select canvas audio video foreignobject".split())
+#: Of these, those that may hold themselves.
+NESTING = frozenset("svg math foreignobject template object".split())
+#: Elements whose content is text up to their own end tag, never shown either.
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Block elements that a select may hold.
+IN_SELECT = frozenset("option optgroup hr legend button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -51,79 +70,169 @@ BAD_HINTS = (
     "breadcrumbs widget popup modal overlay copyright legal search pagination pager tags toolbar masthead topbar complementary navigation contentinfo"
 ).split()
 GOOD_HINTS = "article content main post entry story body text prose page blog news".split()
+_BAD, _GOOD = frozenset(BAD_HINTS), frozenset(GOOD_HINTS)
+_KNOWN = _BAD | _GOOD
 
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSEEN.split()) + r")\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|([^<]++|<)""")
+_TOKEN = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""  # a tag
+    r"""|<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?/][^>]*+>"""  # comments and declarations
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)(?:>|\Z)"""  # a tag with an odd number of quotes, or without an end
+    r"""|([^<]++|<)"""
+)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END_OF = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW | HIDDEN}
+_EITHER_OF = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in HIDDEN}
+#: Elements deeper than this are matched with their end tags, but add nothing to a path.
+DEPTH = 256
 
-Block = tuple[str, tuple[str, ...], int]
+
+class Block(NamedTuple):
+    text: str
+    #: Ancestors from the root, each a tag and its known hints.
+    path: tuple[str, ...]
+    #: Characters inside links.
+    linked: int
+    #: Number of the element that holds the block's own element.
+    parent: int
 
 
 def blocks(page: str | None) -> list[Block]:
-    """(text, path of ancestors from the root, characters inside links) of
-    each leaf block that has text."""
+    """Each leaf block that has text, in page order."""
     if not page:
         return []
-    page = _UNSEEN.sub("", page)
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    #: tag, path, number
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    count: dict[str, int] = {}  # open elements of each tag
     parts: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, hidden, in_head, number = 0, False, 0, False, 0
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(s[1] for s in stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1][1] if stack else (), min(linked, len(text)), stack[-2][2] if len(stack) > 1 else 0))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
-        end, tag, rest, text = m.groups()
+    def push(tag: str, rest: str) -> None:
+        nonlocal hidden, number
+        path = stack[-1][1] if stack else ()
+        number += 1
+        if tag in HIDDEN:
+            hidden += 1
+        elif len(path) < DEPTH:
+            path = (*path, tag if "=" not in rest else element(tag, rest))
+        stack.append((tag, path, number))
+        count[tag] = count.get(tag, 0) + 1
+
+    def cut(i: int) -> None:
+        """Close the i-th open element and all inside it."""
+        nonlocal hidden
+        for tag, _, _ in stack[i:]:
+            count[tag] -= 1
+            hidden -= tag in HIDDEN
+        del stack[i:]
+
+    def open_at(tag: str) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+
+    def ends_later(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in _END_OF[tag].finditer(page)), default=-1)
+        return last_end[tag] >= at
+
+    def ends_next(tag: str, at: int) -> bool:
+        """For elements that never hold themselves: whether an end comes before another start."""
+        m = _EITHER_OF[tag].search(page, at)
+        return m is not None and m[1] == "/"
+
+    at, size = 0, len(page)
+    match = _TOKEN.match
+    while at < size:
+        m = match(page, at)
+        at = m.end()
+        end, tag, rest, odd_end, odd_tag, odd_rest, text = m.groups()
         if text:
-            parts.append(text)
-            if in_link:
-                linked += len(text)
+            if in_head:
+                in_head = text.isspace()
+            if not hidden and not in_head:
+                parts.append(text)
+                if in_link:
+                    linked += len(text)
             continue
+        if odd_tag:
+            end, tag, rest = odd_end, odd_tag, odd_rest
         if not tag:
             continue
         tag = tag.lower()
+        if in_head and (end and tag in ("head", "body", "html") or not end and tag not in IN_HEAD and tag not in ("head", "html")):
+            in_head = False
+        if tag in RAW:
+            # unseen up to the end tag; without one, code hides the rest of the page and other elements hide nothing
+            if not end and not (hidden and rest.endswith("/")):
+                if ends_later(tag, at):
+                    at = _END_OF[tag].search(page, at).end()
+                elif tag in ("script", "style"):
+                    break
+            continue
+        if tag in HIDDEN:
+            if end:
+                if count.get(tag):
+                    cut(open_at(tag))
+            elif tag == "foreignobject" and not hidden:
+                continue
+            elif not (tag in NESTING and rest.endswith("/")) and (ends_later(tag, at) if tag in NESTING else ends_next(tag, at)):
+                push(tag, rest)
+            continue
+        if tag == "head":
+            in_head = not end and not out and not parts
+            continue
         if tag in BLOCK:
-            flush()
             if end:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if count.get(tag):
+                    i = open_at(tag)
+                    if hidden == sum(t in HIDDEN for t, _, _ in stack[i:]):  # it is not inside a hidden one
+                        flush()
+                    cut(i)
+                elif not hidden:
+                    flush()
                 continue
+            if hidden and not count.get("template"):
+                # flow content ends an open drawing, formula or choice
+                inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in HIDDEN)
+                if stack[inner][0] in ("svg", "math") or stack[inner][0] == "select" and tag not in IN_SELECT:
+                    cut(inner)
+            if not hidden:
+                flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             closes = CLOSES.get(tag)
-            if closes:
+            if closes and any(count.get(t) for t in closes):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in closes:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in CONTAINERS:
                         break
             if tag not in VOID and not rest.endswith("/"):
-                stack.append((tag, tag if "=" not in rest else element(tag, rest)))
-        elif tag == "a":
-            in_link = 0 if end else 1
+                push(tag, rest)
+        elif tag == "a" and not hidden:
+            in_link = not end
     flush()
     return out
 
 
 def element(tag: str, rest: str) -> str:
-    """The tag with the words of its class, id and role."""
-    words = sorted({w for v in _NAMED.findall(rest) for w in _WORD.findall("".join(v).lower())})
-    return " ".join([tag, *words])
+    """The tag with the known hints in its class, id and role."""
+    words = {w for v in _NAMED.findall(rest) for w in _WORD.findall("".join(v).lower())}
+    return " ".join([tag, *sorted(words & _KNOWN)])
 
 
 # --------------------------------------------------------------- features
 _paths: dict[tuple[str, ...], list[str]] = {}
-_BAD, _GOOD = frozenset(BAD_HINTS), frozenset(GOOD_HINTS)
 
 
 def path_features(path: tuple[str, ...]) -> list[str]:
@@ -140,17 +249,40 @@ def path_features(path: tuple[str, ...]) -> list[str]:
 
 
 def features(page: list[Block]) -> list[list[str]]:
+    """Names of what holds of each block: its ancestors and hints, its text and
+    the text about it, and its part of the page's characters."""
     out = []
     n = len(page)
-    for i, (text, path, linked) in enumerate(page):
+    total = sum(len(b.text) for b in page)
+    mass: dict[int, int] = {}
+    number: dict[int, int] = {}
+    for b in page:
+        mass[b.parent] = mass.get(b.parent, 0) + len(b.text)
+        number[b.parent] = number.get(b.parent, 0) + 1
+    most = max(mass.values(), default=1)
+    # what a block's place and the lack of hints mean depends on the hints that the page has at all
+    words = {w for b in page for name in b.path for w in name.split()}
+    level = "landmark" if words & LANDMARKS else "hint" if words & _GOOD else "none"
+    seen, sizes = 0, [min(9, len(b.text).bit_length()) for b in page]
+    links = [4 * b.linked // len(b.text) for b in page]
+    for i, (text, path, _, parent) in enumerate(page):
         size = len(text)
-        f = path_features(path) + ["size=%d" % min(9, size.bit_length()), "links=%d" % (4 * linked // size)]
+        own = path_features(path)
+        f = [*own, own[-2] + "," + level, own[-1] + "," + level, "size=%d" % sizes[i], "links=%d" % links[i]]
         f.append("stop" if text[-1] in ".!?:;\"')»”" else "no stop")
         f.append("at=%d" % (4 * i // n))
         if "©" in text:
             f.append("copyright")
         if text.count(" ") < 2:
             f.append("few words")
+        f.append("past=%d" % (5 * seen // total))
+        f.append("with=%d,%s" % (5 * mass[parent] // most, level))
+        f.append("peers=%d,%s" % (min(4, number[parent].bit_length()), level))
+        f.append("before=%d,%d" % (sizes[i - 1], links[i - 1] > 1) if i else "first")
+        f.append("after=%d,%d" % (sizes[i + 1], links[i + 1] > 1) if i + 1 < n else "final")
+        if i:
+            f.append("one home" if page[i - 1].parent == parent else "new home")
+        seen += size
         out.append(f)
     return out
 
@@ -230,18 +362,18 @@ class Field:
 
 
 # ----------------------------------------------------------- labelled pages
-LANDMARKS = {"article", "main"}
+LANDMARKS = frozenset({"article", "main"})
 _MARK = "\ue000"  # private use: set before main text while building a page
 
 
 def by_landmark(page: list[Block]) -> list[int] | None:
     """Labels from the page's own article or main element; None without one.
     What such an element holds of menus, comments, forms and the like is not main text."""
-    if not any(p.split()[0] in LANDMARKS for _, path, _ in page for p in path):
+    if not any(p.split()[0] in LANDMARKS for b in page for p in b.path):
         return None
     out = []
-    for _, path, _ in page:
-        names = [p.split() for p in path]
+    for b in page:
+        names = [p.split() for p in b.path]
         first = next((i for i, n in enumerate(names) if n[0] in LANDMARKS), None)
         inner = names[first + 1 :] if first is not None else []
         bad = any(n[0] in ("nav", "aside", "footer", "form", "button") or _BAD & set(n[1:]) for n in inner)
@@ -249,6 +381,20 @@ def by_landmark(page: list[Block]) -> list[int] | None:
     return out
 
 
+#: Elements that say what they hold, and of them those that hold main text.
+TELLING = frozenset("article main nav header footer aside section".split())
+
+
+def muted(page: list[Block], drop_hints: bool, tags: frozenset[str] = TELLING) -> list[Block]:
+    """The same page with ``tags`` as plain div and, if asked, without hints."""
+
+    def plain(name: str) -> str:
+        tag, *words = name.split()
+        return " ".join(["div" if tag in tags else tag, *([] if drop_hints else words)])
+
+    return [b._replace(path=tuple(map(plain, b.path))) for b in page]
+
+
 def build_page(rng: random.Random, sentences: list[str]) -> str:
     """A page in a random layout; main text is marked."""
 
@@ -289,24 +435,33 @@ def build_page(rng: random.Random, sentences: list[str]) -> str:
     return "<html><body>" + "".join(before) + core + "".join(after) + (foot if rng.random() < 0.9 else "") + "</body></html>"
 
 
-def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = 200, built_pages: int = 500) -> Field:
-    """A field from at most ``max_pages`` pages of the table with a landmark
-    and ``built_pages`` layouts built around their sentences."""
+def fit(pages: DataFrame, key: str = "page_id", html: str = "html", max_pages: int = 200, built_pages: int = 500, max_size: int = 1_000_000) -> Field:
+    """A field from at most ``max_pages`` pages of the table (of up to
+    ``max_size`` characters) with a landmark and ``built_pages`` layouts built
+    around their sentences. Of each, a copy is added from which hints, telling
+    elements or both are taken, so that text and structure are learned too."""
     n = pages.count()
     scale = 1 << 30
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(scale))
-    some = pages.where(F.col(html).isNotNull() & (spot < min(scale, int(2 * scale * max_pages / max(1, n)) + 1)))
+    some = pages.where(F.col(html).isNotNull() & (F.length(html) <= max_size) & (spot < min(scale, int(2 * scale * max_pages / max(1, n)) + 1)))
     rows = [r[0] for r in some.orderBy(spot, key).select(html).limit(max_pages).collect()]
+    return train(rows, built_pages)
+
+
+def train(rows: list[str], built_pages: int = 500) -> Field:
     rng = random.Random(9)
     found = [b for b in map(blocks, rows) if b]
-    train = [(features(b), y) for b in found if (y := by_landmark(b)) is not None]
-    sentences = [s for b in found for t, _, _ in b for s in re.split(r"(?<=[.!?]) ", t) if s][:20_000] or ["Some words stand here."]
+    known = [(b, y) for b in found if (y := by_landmark(b)) is not None]
+    sentences = [s for p in found for b in p for s in re.split(r"(?<=[.!?]) ", b.text) if s][:20_000] or ["Some words stand here."]
     for _ in range(built_pages):
-        b = blocks(build_page(rng, sentences))
-        if b:
-            labels = [int(_MARK in t) for t, _, _ in b]
-            train.append((features([(t.replace(_MARK, ""), p, n) for t, p, n in b if t != _MARK]), [y for (t, _, _), y in zip(b, labels) if t != _MARK]))
-    return Field().fit(train)
+        page = [b for b in blocks(build_page(rng, sentences)) if b.text != _MARK]
+        if page:
+            known.append(([b._replace(text=b.text.replace(_MARK, "")) for b in page], [int(_MARK in b.text) for b in page]))
+    sample = []
+    for page, labels in known:
+        copy = muted(page, *rng.choice([(True, TELLING), (True, TELLING), (False, LANDMARKS), (True, LANDMARKS), (False, TELLING)]))
+        sample += [(features(page), labels), (features(copy), labels)]
+    return Field().fit(sample)
 
 
 def extract(pages: DataFrame, field: Field, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -315,13 +470,13 @@ def extract(pages: DataFrame, field: Field, key: str = "page_id", html: str = "h
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for batch in batches:
             texts = []
-            for page in b[html]:
+            for page in batch[html]:
                 own = blocks(page)
                 labels = field.decode(features(own))
-                texts.append("\n".join(t for (t, _, _), y in zip(own, labels) if y))
-            yield b[keep].assign(text=texts, n_chars=[len(t) for t in texts])
+                texts.append("\n".join(b.text for b, y in zip(own, labels) if y))
+            yield batch[keep].assign(text=texts, n_chars=[len(t) for t in texts])
 
     return pages.select(*keep, html).mapInPandas(run, schema)
 
