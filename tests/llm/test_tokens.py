@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vintage.llm import sentencepieces as sp
@@ -45,9 +46,21 @@ def test_encode_keeps_other_columns(documents):
 
 def test_token_table_is_exact(odd):
     t = ts.TokenTable(ts.default_tokenizer(), 60)
-    for x in [*odd, *strings(" ab\nthe'sé😀\tZ.,日1 \x1c\x85\xa0", 800), "<|endoftext|> a<|endoftext|> b", " lead", "trail ", "a  b"]:
-        want = t.lib.encode(x or "", add_special_tokens=False).ids
-        assert np.frombuffer(t.encode(x or ""), "<u4").tolist() == want
+    texts = [*odd, *strings(" ab\nthe'sé😀\tZ.,日1 \x1c\x85\xa0", 800), "<|endoftext|> a<|endoftext|> b", " lead", "trail ", "a  b", "\n a", "a \nb. c\nd.\ne"]
+    want = [t.lib.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for size in (1, 7, len(texts)):
+        for s in range(0, len(texts), size):
+            ids, sizes = t.encode(pa.array(texts[s : s + size], pa.string()), 9)
+            assert sizes.tolist() == [len(w) + 1 for w in want[s : s + size]]
+            assert ids.tolist() == [i for w in want[s : s + size] for i in [*w, 9]]
+    ids, sizes = t.encode(pa.array(["x", None, *texts], pa.string())[2:])  # a slice, and no end id
+    assert ids.tolist() == [i for w in want for i in w] and len(sizes) == len(texts)
+
+
+def test_slices_cover_all_rows():
+    for texts in ([], [None, None], ["a" * 50, "b", None, "c" * 9, "d" * 200, "e"]):
+        at = list(ts.slices(pa.array(texts, pa.string()), 20))
+        assert [i for s, e in at for i in range(s, e)] == list(range(len(texts)))
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 300])
@@ -61,22 +74,44 @@ def test_shards_round_trip(spark, documents, odd, tmp_path):
     texts = [*odd, *strings("ab the é. ", 60)]
     ids = [7 * i % 101 for i in range(len(texts))]
     path = f"file://{tmp_path}/shards"
-    ts.write_shards(documents(texts, ids), path, block_ids=500)
+    ts.write_shards(documents(texts, ids), path, block_ids=500, partition_rows=9)
     blocks = ts.read_shards(spark, path)
     got = {r.doc_id: r for r in ts.read_documents(blocks).collect()}
-    lib, start = ts.TokenTable(ts.default_tokenizer(), 1000).lib, 0
+    lib, start, want = ts.TokenTable(ts.default_tokenizer(), 1000).lib, 0, {}
     for i, x in sorted(zip(ids, texts)):
-        want = [*lib.encode(x or "", add_special_tokens=False).ids, 0]
-        assert (got[i].start, got[i].n_tokens, got[i].keyed) == (start, len(want), True)
-        assert got[i].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
-        start += len(want)
-    block = blocks.first()
-    assert (ts.look_up(block, [10**9 + 7])[0] == -1).all()
+        want[i] = [*lib.encode(x or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens) == (start, len(want[i]))
+        assert got[i].ids_crc32 == zlib.crc32(np.array(want[i], "<u4").tobytes())
+        start += len(want[i])
+    assert len(got) == len(texts)
+    # keyed access: some keys, half of them absent
+    asked = spark.createDataFrame([(k,) for k in [*range(-3, 101, 2), 10**9 + 7, None]], "doc_id long")
+    found = {r.doc_id: r for r in ts.find(blocks, asked).collect()}
+    assert {k: list(r.ids) for k, r in found.items()} == {k: w for k, w in want.items() if k % 2}
+    assert all(r.start == got[k].start for k, r in found.items())
+
+
+def test_index_finds_all_keys_and_no_others(spark, documents, tmp_path):
+    path = f"file://{tmp_path}/many"
+    ts.write_shards(documents(["a b"] * 3000, [3 * i for i in range(3000)]), path, block_ids=100_000)
+    for block in ts.read_shards(spark, path).collect():
+        keys = np.frombuffer(block.order_keys, "<i8")
+        assert (ts.look_up(block, keys)[0] == 3 * np.arange(len(keys))).all()
+        assert (ts.look_up(block, keys + 1)[0] == -1).all() and (ts.look_up(block, keys, occurrence=np.ones(len(keys), int))[0] == -1).all()
 
 
 def test_shards_empty_and_repeated(spark, documents, tmp_path):
     ts.write_shards(documents(["a"]).limit(0), f"file://{tmp_path}/none")
-    assert ts.read_documents(ts.read_shards(spark, f"file://{tmp_path}/none")).count() == 0
-    ts.write_shards(documents(["a b", "c", None], [5, 5, None]), f"file://{tmp_path}/twice")
-    rows = ts.read_documents(ts.read_shards(spark, f"file://{tmp_path}/twice")).collect()
-    assert sorted(r.doc_id for r in rows) == [-1, 5, 5] and all(r.keyed for r in rows)
+    none = ts.read_shards(spark, f"file://{tmp_path}/none")
+    assert ts.read_documents(none).count() == ts.find(none, documents(["a"])).count() == 0
+    # keys that repeat, null and negative ones, over several blocks and partitions
+    texts, ids = ["a b", "c", None, "a b", "d e f", "g", "h"] * 20, [5, 5, None, 5, None, -1, -7] * 20
+    for path, size in (("twice", 2_000_000), ("small", 7)):
+        ts.write_shards(documents(texts, ids).withColumnRenamed("source", "payload"), f"file://{tmp_path}/{path}", block_ids=size, partition_rows=30)
+        blocks = ts.read_shards(spark, f"file://{tmp_path}/{path}")
+        rows = sorted(ts.read_documents(blocks).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: -99 if i is None else i)
+        assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows]])[:-1].tolist()
+        asked = spark.createDataFrame([(5,), (None,), (6,)], "doc_id long")
+        found = ts.find(blocks, asked).collect()
+        assert sorted((r.start, r.n_tokens) for r in found) == sorted((r.start, r.n_tokens) for r in rows if r.doc_id in (5, None))
