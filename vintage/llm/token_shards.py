@@ -53,7 +53,8 @@ _BREAKS = re.compile(r"\n\s|\s\n|\A\n|\n\Z")
 #: How the byte-level vocabulary writes a space.
 SPACE_SIGN = "\u0120"
 #: Bytes of text encoded, words gathered and words learned at once.
-BYTES, WORDS, LEARN = 16 << 20, 400_000, 1000
+BYTES, WORDS, LEARN = 32 << 20, 400_000, 1000
+STOPS = ".,"
 
 BLOCKS = (
     "partition int, block int, base long, n_docs long, n_ids long, width int, n_null long, first_key long, last_key long, "
@@ -65,7 +66,7 @@ BLOCKS = (
 class TokenTable:
     """Ids of texts by the tokenizers library; each distinct space-led word is
     encoded once per worker and kept: as a row, a span of ids in one array.
-    Over ``size`` rows, only those of the last batch are kept."""
+    Over ``size`` rows, only those that the next batch needs are kept."""
 
     def __init__(self, path: str, size: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,7 +80,6 @@ class TokenTable:
         self.size = size
         self.lead = np.zeros(max(self.vocabulary, 1), bool)
         self.lead[[i for t, i in self.lib.get_vocab(with_added_tokens=True).items() if t.startswith(SPACE_SIGN)]] = True
-        self.newline, self.stops = self.whole(["\n"])[0], dict(zip(".,", self.whole([".", ","])))
         self._empty()
 
     def _empty(self) -> None:
@@ -88,46 +88,78 @@ class TokenTable:
         self.heads: dict[str, int] = {}
         self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
         self.start, self.length, self.n_rows = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-        self._add([np.zeros(0, "<u4")])  # row 0 has no ids
+        self._add(self.ids[:0], np.zeros(1, np.int64))  # row 0 has no ids
 
-    def _add(self, new: list[np.ndarray]) -> range:
-        """Rows for id arrays."""
-        lengths = np.array([len(x) for x in new], np.int64)
-        ids = np.concatenate(new) if new else np.zeros(0, "<u4")
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Rows for ids back to back."""
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n_rows + len(new) > len(self.start):
+        while self.n_rows + len(lengths) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        at = range(self.n_rows, self.n_rows + len(new))
+        at = range(self.n_rows, self.n_rows + len(lengths))
         self.start[at.start : at.stop], self.length[at.start : at.stop] = self.n_ids + np.cumsum(lengths) - lengths, lengths
         self.n_ids, self.n_rows = self.n_ids + len(ids), at.stop
         return at
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of rows back to back."""
+        n = self.length[rows]
+        place = np.repeat(self.start[rows] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        return self.ids[place]
+
+    def _join(self, rows: list[list[int]]) -> range:
+        """For each list, a row of the ids of its rows."""
+        sizes = np.array([len(r) for r in rows], np.int64)
+        flat = np.array([x for r in rows for x in r], np.int64)
+        if not len(flat):
+            return range(0)
+        return self._add(self._gather(flat), np.add.reduceat(self.length[flat], np.cumsum(sizes) - sizes))
+
+    def _keep(self, words: list[str]) -> None:
+        """Forget all but the rows of ``words``."""
+        kept = {w: r for w in words if (r := self.rows.get(w)) is not None}
+        good = [w for w, r in kept.items() if r > 0]
+        rows = np.array([kept[w] for w in good], np.int64)
+        ids, lengths = self._gather(rows), self.length[rows]
+        self._empty()
+        self.rows.update(zip(good, self._add(ids, lengths)))
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts back to back, and how many each has."""
+        each = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for e in each for i in e], "<u4"), np.array([len(e) for e in each], np.int64)
 
-    def _led(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words (none ends in white space), each led by a space, encoded
+    def _led(self, words: list[str]) -> range:
+        """Rows of words (none ends in white space), each led by a space, encoded
         side by side: each starts at the only id in it that starts with a
         space. Where that can't be told, one by one."""
-        out = []
+        all_ids, all_lengths = [self.ids[:0]], [self.length[:0]]
         for s in range(0, len(words), LEARN):
             some = words[s : s + LEARN]
-            ids = self.whole([" " + " ".join(some)])[0]
+            ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.lead[ids])
-            out += np.split(ids, starts[1:]) if len(starts) == len(some) else self.whole([" " + w for w in some])
-        return out
+            lengths = np.diff(starts, append=len(ids))
+            if len(starts) != len(some):
+                ids, lengths = self.whole([" " + w for w in some])
+            all_ids.append(ids)
+            all_lengths.append(lengths)
+        return self._add(np.concatenate(all_ids), np.concatenate(all_lengths))
 
     def learn_heads(self, new: list[str]) -> None:
         new = [w for w in new if w not in self.heads]
-        self.heads.update(zip(new, self._add(self.whole(new))))
+        if new:
+            self.heads.update(zip(new, self._add(*self.whole(new))))
 
     def learn(self, new: list[str]) -> None:
         """A stop or comma after a letter and a line break between visible
         characters are ids of their own, so bare words and lines are learned."""
-        rows, bare, stopped, broken = self.rows, {}, [], []
+        rows, stopped, broken = self.rows, [], []
+        bare = dict.fromkeys(filter(str.isalpha, new))
         for w in new:
+            if w in bare:
+                continue
             if not w or w[-1].isspace():
                 rows[w] = -1
                 continue
@@ -136,24 +168,18 @@ class TokenTable:
                 w = broken[-1][1][0]
                 if w in rows:
                     continue
-            if w[-1] in self.stops and w[-2:-1].isalpha():
+            if w[-1] in STOPS and w[-2:-1].isalpha():
                 stopped.append(w)
                 w = w[:-1]
                 if w in rows:
                     continue
             bare[w] = None
-        rows.update(zip(bare, self._add(self._led(list(bare)))))
-        span = lambda r: self.ids[self.start[r] : self.start[r] + self.length[r]]
+        rows.update(zip(bare, self._led(list(bare))))
         stopped = list(dict.fromkeys(w for w in stopped if w not in rows))
-        rows.update(zip(stopped, self._add([np.concatenate([span(rows[w[:-1]]), self.stops[w[-1]]]) for w in stopped])))
-        self.learn_heads(list(dict.fromkeys(x for _, (_, *lines) in broken for x in lines)))
-        joined = []
-        for _, (first, *lines) in broken:
-            part = [span(rows[first])]
-            for x in lines:
-                part += [self.newline, span(self.heads[x])]
-            joined.append(np.concatenate(part))
-        rows.update(zip([w for w, _ in broken], self._add(joined)))
+        self.learn_heads([*STOPS, "\n", *dict.fromkeys(x for _, (_, *lines) in broken for x in lines)])
+        heads, newline = self.heads, self.heads["\n"]
+        rows.update(zip(stopped, self._join([[rows[w[:-1]], heads[w[-1]]] for w in stopped])))
+        rows.update(zip([w for w, _ in broken], self._join([[rows[first], *[r for x in lines for r in (newline, heads[x])]] for _, (first, *lines) in broken])))
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, each followed by ``end`` if given,
@@ -171,7 +197,7 @@ class TokenTable:
         own = [names[i] for i in np.flatnonzero(used)]
         starts = [names[i] for i in np.unique(codes[first])]
         if self.n_rows + len(own) > self.size:
-            self._empty()
+            self._keep(own)
         got = list(map(self.rows.get, own))
         if None in got:
             self.learn([w for w, g in zip(own, got) if g is None])
@@ -190,19 +216,15 @@ class TokenTable:
         odd[np.searchsorted(offsets, np.flatnonzero(row < 0), side="right") - 1] = True
         for i in np.flatnonzero(odd):
             row[offsets[i] : offsets[i + 1]] = 0
-            row[offsets[i]] = self._add([np.concatenate(self.whole(_CUT.split(texts[int(i)].as_py())))])[0]
+            ids, lengths = self.whole(_CUT.split(texts[int(i)].as_py()))
+            row[offsets[i]] = self._add(ids, lengths.sum(keepdims=True))[0]
         if end is not None:
-            row = np.insert(row, offsets[1:], self._add([np.array([end], "<u4")])[0])
+            row = np.insert(row, offsets[1:], self._add(np.array([end], "<u4"), np.ones(1, np.int64))[0])
             offsets = offsets + np.arange(len(offsets))
 
         length = self.length[row]
         sizes = np.add.reduceat(length, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)
-        out = []
-        for s in range(0, len(row), WORDS):
-            n, at = length[s : s + WORDS], self.start[row[s : s + WORDS]]
-            place = np.repeat(at - (np.cumsum(n) - n), n)
-            out.append(self.ids[place + np.arange(len(place))])
-        return np.concatenate(out) if out else np.zeros(0, "<u4"), sizes
+        return np.concatenate([self._gather(row[s : s + WORDS]) for s in range(0, len(row), WORDS)] or [self.ids[:0]]), sizes
 
 
 _tables: dict[tuple[str, int], TokenTable] = {}
@@ -323,7 +345,7 @@ def default_tokenizer() -> str:
 
 def write_shards(
     df: DataFrame, out: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 1_000_000, partition_rows: int = 200_000,
+    end_id: int = 0, block_ids: int = 2_000_000, table_size: int = 800_000, partition_rows: int = 200_000,
 ) -> None:
     """Encode ``text`` and write blocks in ascending ``key`` order to ``out``.
 
