@@ -107,15 +107,40 @@ def brute_removed(texts, length):
     return out
 
 
-def test_suffix_removal(documents, corpus, prose):
+@pytest.mark.parametrize("most, segment", [(2000, 1 << 19), (2, 1500), (0, 1 << 19)])
+def test_suffix_removal(documents, corpus, prose, monkeypatch, most, segment):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)  # of this process: the workers keep their own
     passage = prose(60, seed=77)
-    texts = corpus[9:] + [prose(20, seed=i) + " " + passage + " " + prose(20, seed=50 + i) for i in range(12)] + ["ab" * 400, "q" * 350, "q" * 399, passage * 3]
+    texts = corpus + [prose(20, seed=i) + " " + passage + " " + prose(20, seed=50 + i) for i in range(12)] + ["ab" * 400, "q" * 350, "q" * 399, "q" * 3000, passage * 3]
+    texts += [prose(i, seed=900 + i) + passage[i:] for i in range(9)] + [passage[: 400 + i] + "é" * i for i in range(5)]
     texts += [None, "", "é" * 300]
-    out = suffix_dedup.deduplicated(documents(texts)).withColumn("sha", F.sha2("kept", 256))
+    out = suffix_dedup.deduplicated(documents(texts), most=most).withColumn("sha", F.sha2("kept", 256))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in out.collect()}
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 400)
 
 
+def test_segments_meet_every_string_once(prose):
+    rows = [(1, 0, np.frombuffer(prose(900, seed=3).encode(), np.uint8)), (2, 0, np.frombuffer(b"x" * 399, np.uint8)), (3, 0, np.frombuffer(prose(90, seed=4).encode(), np.uint8))]
+    whole = collections.Counter()
+    for r, _, data in rows:
+        whole.update((r, i) for i in range(len(data) - 399))
+    for size in (500, 1500, 1 << 19):
+        met = collections.Counter()
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffix_dedup, "SEGMENT", size)
+            for b in suffix_dedup.anchor_rows(iter(rows)):
+                for x in b.to_pylist():
+                    for p in x["places"]:
+                        met.update((x["row"], i) for i in range(p - x["before"], p + x["after"] - 399))
+        assert met == whole
+
+
+def test_equal_hashes_of_different_strings_raise(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "span_hashes", lambda prefix, a, b: np.zeros(len(a), np.uint64))
+    with pytest.raises(RuntimeError, match="two different strings"):
+        suffix_dedup.repeated_offsets(np.zeros(2, np.int64), [b"a" * 450, b"b" * 450], np.array([20, 20]))
+
+
 def test_suffix_sort():
     rng = random.Random(8)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(200)]
