@@ -1,8 +1,8 @@
 """Re-coding of trade rows with weights.
 
 Re-coding is linear in the measures, so both measures and both weight tables
-go through one join and one aggregate: weights carry a tag, and the aggregate
-sums by tag. Rows are summed by their ids before the join where that shrinks them.
+go through one join and one aggregate: the weight table is pivoted to a column for
+each measure's weights, and the facts are read and shuffled once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.functions.codes import normalise_code
-from vintage.operators.weights import STRATEGIES, finalise
+from vintage.operators.weights import STRATEGIES, assert_empty, finalise, missing_codes
 
 MEASURES = ("VALUE_EUR", "QUANTITY_KG")
 CODE = "PRODUCT_NC"
@@ -32,39 +32,52 @@ def recode(trade: DataFrame, weights: DataFrame, measure: str, on: list[str], id
     return both.groupBy(*[i for i in ids if i != CODE], code).agg(F.sum(F.col(measure) * F.coalesce("weight", F.lit(1.0))).alias(measure))
 
 
-def _tagged(trade: DataFrame, weights: DataFrame, on: list[str], tags: list[str], assume_identity: bool) -> DataFrame:
-    """Rows with the new code, weight and tag; a code without weights of a tag
-    keeps itself with weight 1 under that tag."""
-    names = trade.sparkSession.createDataFrame([(t,) for t in tags], "measure string")
-    w = weights.select(*on, "measure", F.col("from_code").alias(CODE), "to_code", "weight")
-    both = trade.crossJoin(F.broadcast(names)).join(w, [*on, "measure", CODE], "left" if assume_identity else "inner")
-    return both.withColumns({CODE: F.coalesce("to_code", CODE), "weight": F.coalesce("weight", F.lit(1.0))}).drop("to_code")
+def _pivoted(weights: DataFrame, on: list[str], tags: list[str], assume_identity: bool) -> DataFrame:
+    """on..., code, to_code, w_<tag>...: a column of weights for each tag; a code
+    that has weights of some tag only keeps itself under the others."""
+    w = weights.where(F.col("measure").isin(tags)).select(*on, "measure", F.col("from_code").alias(CODE), "to_code", "weight")
+    if assume_identity and len(tags) > 1:
+        codes = w.groupBy(*on, CODE).agg(F.collect_set("measure").alias("has"))  # one or two names
+        lacking = codes.withColumn("measure", F.explode(F.array_except(F.array(*map(F.lit, tags)), "has")))
+        w = w.unionByName(lacking.select(*on, "measure", CODE, F.col(CODE).alias("to_code"), F.lit(1.0).alias("weight")))
+    return w.groupBy(*on, CODE, "to_code").agg(*[F.sum(F.when(F.col("measure") == t, F.col("weight"))).alias(f"w_{t}") for t in tags])
+
+
+def _weighted(trade: DataFrame, weights: DataFrame, on: list[str], outputs: dict[str, tuple[str, str]], assume_identity: bool) -> DataFrame:
+    """Outputs (measure, tag of its weights) by the new code and the ids."""
+    tags = sorted({t for _, t in outputs.values()})
+    ids = [c for c in trade.columns if c not in MEASURES]
+    both = trade.join(_pivoted(weights, on, tags, assume_identity), [*on, CODE], "left" if assume_identity else "inner")
+    same = F.col("to_code").isNull()
+    return both.groupBy(*[i for i in ids if i != CODE], F.coalesce("to_code", CODE).alias(CODE)).agg(*[
+        F.coalesce(F.sum(F.col(m) * F.when(same, 1.0).otherwise(F.coalesce(F.col(f"w_{t}"), F.lit(0.0)))), F.lit(0.0)).alias(name) for name, (m, t) in outputs.items()
+    ])
 
 
 def apply_strategy(trade: DataFrame, weights: DataFrame, strategy: str = "weights_split", assume_identity: bool = True, on: tuple[str, ...] = ("origin_year",)) -> DataFrame:
     """Each measure under the weights that the strategy names. A2, A5, W7
 
     ``weights`` has on..., measure, from_code, to_code, weight; they are
-    finalised first."""
-    on, by = list(on), STRATEGIES[strategy]
-    tags = sorted(set(by.values()))
-    ids = [c for c in trade.columns if c not in MEASURES]
-    rows = _tagged(trade, finalise(weights, [*on, "measure"]), on, tags, assume_identity)
-    return rows.groupBy(*ids).agg(*[
-        F.coalesce(F.sum(F.when(F.col("measure") == by[m], F.col(m) * F.col("weight"))), F.lit(0.0)).alias(m) for m in MEASURES
-    ])
+    finalised first, and bad ones refused. Without ``assume_identity`` a code
+    that lacks weights is refused too (W6)."""
+    by = STRATEGIES[strategy]
+    return _apply(trade, weights, {m: (m, by[m]) for m in MEASURES}, assume_identity, list(on))
 
 
 def apply_wide(trade: DataFrame, weights: DataFrame, assume_identity: bool = True, on: tuple[str, ...] = ("origin_year",)) -> DataFrame:
-    """Both measures under value weights and under quantity weights. A3, A5, A6"""
-    on = list(on)
-    ids = [c for c in trade.columns if c not in MEASURES]
-    rows = _tagged(trade, weights, on, list(MEASURES), assume_identity)
-    out = [
-        F.coalesce(F.sum(F.when(F.col("measure") == tag, F.col(m) * F.col("weight"))), F.lit(0.0)).alias(f"{m}_w_{name}")
-        for tag, name in (("VALUE_EUR", "value"), ("QUANTITY_KG", "quantity")) for m in MEASURES
-    ]
-    return rows.groupBy(*ids).agg(*out)
+    """Both measures under value weights and under quantity weights, with the
+    gates of ``apply_strategy``. A3, A5, A6"""
+    outputs = {f"{m}_w_{name}": (m, tag) for tag, name in (("VALUE_EUR", "value"), ("QUANTITY_KG", "quantity")) for m in MEASURES}
+    return _apply(trade, weights, outputs, assume_identity, list(on))
+
+
+def _apply(trade: DataFrame, weights: DataFrame, outputs: dict[str, tuple[str, str]], assume_identity: bool, on: list[str]) -> DataFrame:
+    final = finalise(weights, [*on, "measure"])
+    if not assume_identity:
+        for tag in sorted({t for _, t in outputs.values()}):
+            codes = trade.select(*on, F.col(CODE).alias("from_code"))
+            assert_empty(missing_codes(codes, final.where(F.col("measure") == tag), on), f"codes without weights by {tag}")
+    return _weighted(trade, final, on, outputs, assume_identity)
 
 
 def identity_wide(trade: DataFrame) -> DataFrame:

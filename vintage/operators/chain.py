@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.operators.weights import finalise, row_sum_deviation
+from vintage.operators.weights import assert_empty, finalise, row_sum_deviation
 from vintage.sources.storage import checkpointed
 
 LINK = ["measure", "from_code", "to_code", "weight"]
@@ -156,6 +156,16 @@ def step_diagnostics(before: DataFrame, step: DataFrame, after: DataFrame) -> Da
     return one.join(two, "measure", "full").join(three, "measure", "full").join(row_sum_deviation(after, ["measure"]), "measure", "left").na.fill(0)
 
 
+def assert_complete(chained: Chained, universe: DataFrame, row_sum_tol: float = 1e-6) -> None:
+    """Gate of a chain before use: no unresolved revised codes, no origin code
+    without a chain, rows that sum to one. C6-C8"""
+    if chained.unresolved is not None:
+        assert_empty(chained.unresolved, "revised codes without weights")
+    assert_empty(uncovered(chained, universe), "codes without a chain")
+    keys = ["origin_year", "target_year", "direction", "measure"]
+    assert_empty(row_sum_deviation(chained.weights, keys).where(F.col("deviation") > row_sum_tol), "chained rows that do not sum to one")
+
+
 def uncovered(chained: Chained, universe: DataFrame) -> DataFrame:
     """Origin codes without a chain. C8"""
     w = chained.weights

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,8 +59,8 @@ def build_groups(edges: DataFrame) -> Groups:
     label = components(graph, ["period"]).where("node like 'A%'").select("period", F.substring("node", 2, 100).alias("vintage_a_code"), "component")
     tagged = e.join(label, ["period", "vintage_a_code"])
     ids = tagged.groupBy("period", "component").agg(F.min("vintage_a_code").alias("lo_a"), F.min("vintage_b_code").alias("lo_b"))
-    rank = F.row_number().over(W.partitionBy("period").orderBy("lo_a", "lo_b"))
-    ids = ids.select("period", "component", F.concat("period", F.lit("_g"), F.lpad(rank.cast("string"), 6, "0")).alias("group_id"))
+    ids = ranked(ids, ["period"], "lo_a", ["lo_b"])
+    ids = ids.select("period", "component", F.concat("period", F.lit("_g"), group_number(F.col("rank"))).alias("group_id"))
     tagged = checkpointed(tagged.join(ids, ["period", "component"]).select(*EDGE, "group_id"))
     nodes = {}
     for s, o in (("a", "b"), ("b", "a")):
@@ -75,6 +75,22 @@ def build_groups(edges: DataFrame) -> Groups:
     return Groups(tagged, nodes["a"], nodes["b"], checkpointed(summary))
 
 
+def ranked(rows: DataFrame, key: list[str], first: str, then: list[str]) -> DataFrame:
+    """Adds rank: the row number within key by ``first`` (text) and ``then``.
+    Ranks are taken within the values that share five characters, plus what
+    earlier ones hold, so no task sees all rows of a key."""
+    rows = rows.withColumn("_b", F.left(first, F.lit(5)))
+    before = F.sum("_m").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_m")).select(*key, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(W.partitionBy(*key, "_b").orderBy(first, *then))
+    return rows.withColumn("_r", local).join(sizes, [*key, "_b"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+
+
+def group_number(rank: Column) -> Column:
+    """Six digits at least."""
+    return F.lpad(rank.cast("string"), F.greatest(F.lit(6), F.length(rank.cast("string"))), F.lit("0"))
+
+
 def oriented(edges: DataFrame) -> DataFrame:
     """Edges in both directions: period, direction, from/to year, from_code, to_code, group_id."""
     out = None

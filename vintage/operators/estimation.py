@@ -10,17 +10,17 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.functions.codes import by_measure, flow_is, normalise_code, not_in
 from vintage.operators.concordance import Groups, ambiguous_groups, code_groups, deterministic_maps, oriented
-from vintage.operators.weights import merge_ambiguous
+from vintage.operators.weights import merge_ambiguous, refused
+from vintage.sources.storage import checkpointed
 
-#: Fixed codes that are no partner or reporter in estimation, and aggregates.
+#: Fixed codes that are no partner or reporter in estimation.
 SPECIAL_CODES = ("QP", "QQ", "QR", "QS", "QU", "QV", "QW", "QX", "QY", "QZ")
-AGGREGATE_CODES = ("XA", "XO", "XR", "XZ")
 KEY = ["period", "direction", "measure", "group_id"]
 
 
@@ -80,26 +80,27 @@ def design_columns(shares: DataFrame, groups: Groups) -> DataFrame:
 
 def _sides(shares: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From side and to side, by direction."""
-    is_from = (F.col("side") == "a") == (F.col("direction") == "a_to_b")
-    return shares.where(is_from), shares.where(~is_from)
+    return shares.where(_is_from()), shares.where(~_is_from())
+
+
+def _is_from() -> Column:
+    return (F.col("side") == "a") == (F.col("direction") == "a_to_b")
 
 
 def normal_moments(shares: DataFrame) -> DataFrame:
     """KEY..., kind, i, j, value: M = X'X (kind m, from by from) and N = X'Y
     (kind n, from by to), plus yy = |Y|^2. E6
 
-    A join of shares with themselves within a pair: its rows are bounded by
-    the codes of a group, not by its trade.
+    One join of the from side with both sides within a pair: its rows are
+    bounded by the codes of a group, not by its trade.
     """
     on = [*KEY, "REPORTER", "PARTNER"]
-    x, y = _sides(shares)
-    x = x.select(*on, F.col("code").alias("i"), F.col("share").alias("x"))
-    x2 = x.select(*on, F.col("i").alias("j"), F.col("x").alias("x2"))
-    y = y.select(*on, F.col("code").alias("j"), F.col("share").alias("x2"))
-    m = x.join(x2, on).groupBy(*KEY, F.lit("m").alias("kind"), "i", "j").agg(F.sum(F.col("x") * F.col("x2")).alias("value"))
-    n = x.join(y, on).groupBy(*KEY, F.lit("n").alias("kind"), "i", "j").agg(F.sum(F.col("x") * F.col("x2")).alias("value"))
-    yy = y.groupBy(*KEY, F.lit("y").alias("kind"), F.lit("").alias("i"), F.lit("").alias("j")).agg(F.sum(F.col("x2") * F.col("x2")).alias("value"))
-    return m.unionByName(n).unionByName(yy)
+    from_side, to_side = _sides(shares)
+    x = from_side.select(*on, F.col("code").alias("i"), F.col("share").alias("x"))
+    every = shares.select(*on, F.col("code").alias("j"), F.col("share").alias("y"), F.when(_is_from(), "m").otherwise("n").alias("kind"))
+    mn = x.join(every, on).groupBy(*KEY, "kind", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    yy = to_side.groupBy(*KEY, F.lit("y").alias("kind"), F.lit("").alias("i"), F.lit("").alias("j")).agg(F.sum(F.col("share") * F.col("share")).alias("value"))
+    return mn.unionByName(yy)
 
 
 # --------------------------------------------------------------------- fit
@@ -138,14 +139,15 @@ def constrained_fit(m: np.ndarray, n: np.ndarray, allowed: np.ndarray, tol: floa
     return b, "max_iter"
 
 
-WEIGHTS = "period string, direction string, measure string, group_id string, from_code string, to_code string, weight double, status string, objective double"
-
-
-def fitted_weights(moments: DataFrame, groups: Groups) -> DataFrame:
-    """KEY..., from_code, to_code, weight of every link of the fitted groups,
-    with status and objective (without |Y|^2). E7"""
-    links = oriented(groups.edges).join(moments.select(*KEY).distinct(), ["period", "direction", "group_id"])
-    links = links.select(*KEY, F.lit("link").alias("kind"), F.col("from_code").alias("i"), F.col("to_code").alias("j"), F.lit(1.0).alias("value"))
+def fitted_weights(moments: DataFrame, groups: Groups, extra: tuple[str, ...] = ()) -> DataFrame:
+    """KEY..., extra..., from_code, to_code, weight of every link of the fitted
+    groups, with status and objective (without |Y|^2); ``extra`` are further
+    key columns of the moments, such as a resampling run. E7"""
+    key = [*KEY, *extra]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.select(*key).schema)
+    schema = kinds + ", from_code string, to_code string, weight double, status string, objective double"
+    links = oriented(groups.edges).join(moments.select(*key).distinct(), ["period", "direction", "group_id"])
+    links = links.select(*key, F.lit("link").alias("kind"), F.col("from_code").alias("i"), F.col("to_code").alias("j"), F.lit(1.0).alias("value"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         link = rows[rows["kind"] == "link"]
@@ -163,10 +165,10 @@ def fitted_weights(moments: DataFrame, groups: Groups) -> DataFrame:
         objective = float(np.sum(b * (m @ b)) - 2 * np.sum(b * n))
         i, j = np.nonzero(ok)
         out = pd.DataFrame({"from_code": [a[k] for k in i], "to_code": [c[k] for k in j], "weight": b[i, j]})
-        head = {k: rows[k].iloc[0] for k in KEY}
-        return out.assign(**head, status=status, objective=objective)[[*KEY, "from_code", "to_code", "weight", "status", "objective"]]
+        head = {k: rows[k].iloc[0] for k in key}
+        return out.assign(**head, status=status, objective=objective)[[*key, "from_code", "to_code", "weight", "status", "objective"]]
 
-    return moments.unionByName(links).groupBy(*KEY).applyInPandas(fit, WEIGHTS)
+    return moments.select(*key, "kind", "i", "j", "value").unionByName(links).groupBy(*key).applyInPandas(fit, schema)
 
 
 def pure_split_weights(moments: DataFrame, groups: Groups) -> DataFrame:
@@ -214,17 +216,26 @@ def run_summary(totals: DataFrame, diagnostics: DataFrame) -> DataFrame:
     )
 
 
-def estimate(trade: DataFrame, groups: Groups, measures: Iterable[str] = ("VALUE_EUR", "QUANTITY_KG"), flow: str = "1", exclude: Iterable[str] = SPECIAL_CODES) -> dict[str, DataFrame]:
+def solved_only(weights: DataFrame) -> DataFrame:
+    """The weights; one of an unsolved fit raises when it is computed. E9"""
+    return weights.withColumn("weight", F.when(F.col("status").startswith("solved"), F.col("weight")).otherwise(refused("unsolved fit", "from_code")))
+
+
+def estimate(
+    trade: DataFrame, groups: Groups, measures: Iterable[str] = ("VALUE_EUR", "QUANTITY_KG"), flow: str = "1", exclude: Iterable[str] = SPECIAL_CODES, fail_on_status: bool = True
+) -> dict[str, DataFrame]:
     """Shares, totals, moments, weights, diagnostics and summary of all
-    periods, directions and measures in one job. E11"""
-    shares = side_shares(trade, groups, flow, measures, exclude)
-    totals = group_totals(shares, groups, measures)
+    periods, directions and measures in one job. Shares and fits are written
+    once. ``weights`` raises on fits that are not solved unless told not to;
+    ``weights_ambiguous`` and ``diagnostics`` show them. E9, E11"""
+    shares = checkpointed(side_shares(trade, groups, flow, measures, exclude))
+    totals = checkpointed(group_totals(shares, groups, measures))
     used = usable_shares(shares, totals)
     moments = normal_moments(used)
-    weights = fitted_weights(moments, groups)
+    weights = checkpointed(fitted_weights(moments, groups))
     diagnostics = fit_diagnostics(weights, totals, groups)
     fixed = deterministic_maps(groups).crossJoin(trade.sparkSession.createDataFrame([(m,) for m in measures], "measure string"))
-    steps = merge_ambiguous(weights, fixed, ["period", "direction", "measure"])
+    steps = merge_ambiguous(solved_only(weights) if fail_on_status else weights, fixed, ["period", "direction", "measure"])
     return {
         "shares": used, "totals": totals, "moments": moments, "weights_ambiguous": weights, "weights_deterministic": fixed,
         "weights": steps, "diagnostics": diagnostics, "summary": run_summary(totals, diagnostics),

@@ -14,7 +14,7 @@ from vintage.functions import metrics as M
 from vintage.functions.codes import chain_steps, normalise_code, not_in
 from vintage.operators.apply import recode_totals
 from vintage.operators.components import components
-from vintage.operators.concordance import Groups, ambiguous_edges, strict_one_to_one
+from vintage.operators.concordance import Groups, ambiguous_edges, group_number, ranked, strict_one_to_one
 
 
 def map_codes(codes: DataFrame, chains: DataFrame, preserve_unmapped: bool = False) -> DataFrame:
@@ -42,9 +42,9 @@ def chain_sample(groups: Groups, chains: DataFrame, base: int, target: int, pres
     linked = map_codes(codes, chains, preserve_unmapped).select(F.lit(1).alias("one"), F.concat(F.lit("S"), "star").alias("u"), F.concat(F.lit("C"), "to_code").alias("v")).distinct()
     label = components(linked, ["one"]).where("node like 'C%'").select(F.substring("node", 2, 100).alias("code"), "component")
     first = label.groupBy("component").agg(F.min("code").alias("lo"))
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("lo"))  # one row for each group of a sample
-    first = first.withColumn("group_id", F.concat(F.lit(f"{base}to{target}_g"), F.lpad(rank.cast("string"), 6, "0")))
-    return label.join(first.drop("lo"), "component").select("code", "group_id")
+    first = ranked(first.withColumn("_one", F.lit(1)), ["_one"], "lo", [])
+    first = first.select("component", F.concat(F.lit(f"{base}to{target}_g"), group_number(F.col("rank"))).alias("group_id"))
+    return label.join(first, "component").select("code", "group_id")
 
 
 def product_totals(trade: DataFrame, measure: str = "VALUE_EUR", flow: str | None = None, no_reporters: tuple[str, ...] = (), no_partners: tuple[str, ...] = ()) -> DataFrame:
@@ -171,7 +171,7 @@ def lineage_shares(group_map: DataFrame, lineage: DataFrame, totals: DataFrame)
     share; groups with trade in the year only. P15"""
     rows = group_map.select(F.col("code").alias("origin_code"), "group_id").join(lineage, "origin_code")
     rows = rows.join(totals, ["year", "code"], "left").select("year", "group_id", F.col("origin_code").alias("code"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    return group_shares(rows).where(F.sum("value").over(W.partitionBy("year", "group_id")) > 0)
+    return group_shares(rows).where("share is not null")
 
 
 def placebo_pairs(group_map: DataFrame, lineage: DataFrame, totals: DataFrame, focal: DataFrame) -> DataFrame:
@@ -199,6 +199,16 @@ def stress(shares: DataFrame, base: int) -> DataFrame:
     return panel_metrics(base_pairs(shares, base), ("base_year", "compare_year"))
 
 
+def stress_run(shares: DataFrame, steps: DataFrame, base: int) -> DataFrame:
+    """direction, length: panel metrics of the chain against the base, and the
+    step metrics (``steps``: direction, length of the step) over the chain. P18, P19"""
+    s = stress(shares, base).withColumns({
+        "direction": F.when(F.col("compare_year") > base, "after").otherwise("before"), "length": F.abs(F.col("compare_year") - base),
+    })
+    chains = s.select("direction", "length").join(steps.withColumnRenamed("length", "_step"), "direction").where("_step <= length")
+    return s.join(chain_metrics(chains, ("direction", "length")), ["direction", "length"])
+
+
 def chain_length(shares: DataFrame, base: int) -> DataFrame:
     """direction, length: loss (1 - symmetric r2), weighted MAE, change from one
     length to the next. P19, M14"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vintage.functions import metrics as M
 from vintage.functions.codes import coefficient_cell, flow_is, normalise_code, not_in
-from vintage.operators.concordance import nonbijective_codes, revised_sides, strict_one_to_one
+from vintage.operators.concordance import nonbijective_codes, strict_one_to_one
 from vintage.sources.storage import checkpointed
 
 #: Keys of a unit at each level of aggregation; the denominator adds nothing
@@ -24,12 +24,12 @@ def bilateral_totals(trade: DataFrame, measure: str = "VALUE_EUR", flow: str = "
     return rows.groupBy(year, "REPORTER", "PARTNER", normalise_code(F.col("PRODUCT_NC")).alias("code")).agg(F.sum(measure).alias("value"))
 
 
-def _carry_step(rows: DataFrame, edges: DataFrame, source: int, target: int) -> DataFrame:
+def _carry_step(rows: DataFrame, strict: DataFrame, edges: DataFrame, source: int, target: int) -> DataFrame:
     """Codes of a step through strict 1:1 links or, if not revised, as they are."""
     s, o = ("a", "b") if target > source else ("b", "a")
     period = f"{min(source, target)}{max(source, target)}"
-    links = strict_one_to_one(edges).where(F.col("period") == period).select(F.col(f"vintage_{s}_code").alias("code"), F.col(f"vintage_{o}_code").alias("next"))
-    revised = revised_sides(edges).where((F.col("period") == period) & (F.col("side") == s)).select("code", F.lit(True).alias("revised"))
+    links = strict.where(F.col("period") == period).select(F.col(f"vintage_{s}_code").alias("code"), F.col(f"vintage_{o}_code").alias("next"))
+    revised = edges.where(F.col("period") == period).select(F.col(f"vintage_{s}_code").alias("code"), F.lit(True).alias("revised")).distinct()
     out = rows.join(links, "code", "left").join(revised, "code", "left")
     out = out.withColumn("code", F.coalesce("next", F.when(F.col("revised").isNull(), F.col("code")))).where("code is not null")
     return out.drop("next", "revised")
@@ -37,18 +37,33 @@ def _carry_step(rows: DataFrame, edges: DataFrame, source: int, target: int) ->
 
 def carry_codes(codes: DataFrame, edges: DataFrame, source: int, target: int) -> DataFrame:
     """Rows with a code, carried year by year to another vintage. B2"""
-    sign = 1 if target > source else -1
+    strict, sign = strict_one_to_one(edges), 1 if target > source else -1
     for y in range(source, target, sign):
-        codes = _carry_step(codes, edges, y, y + sign)
+        codes = _carry_step(codes, strict, edges, y, y + sign)
     return codes.distinct()
 
 
-def carry_rows(rows: DataFrame, edges: DataFrame, source: int, target: int) -> DataFrame:
-    """Fact rows carried and summed again. B3"""
-    sign = 1 if target > source else -1
-    for y in range(source, target, sign):
-        rows = _carry_step(rows, edges, y, y + sign)
-    return rows.groupBy(*[c for c in rows.columns if c != "value"]).agg(F.sum("value").alias("value"))
+def code_map(codes: DataFrame, edges: DataFrame, basis: int, first: int, last: int) -> DataFrame:
+    """year, code, basis_code of the codes (year, code) that reach the basis
+    vintage through strict links. All years walk together towards the basis:
+    one join of codes for each step, written as it goes. B3"""
+    strict = checkpointed(strict_one_to_one(edges))
+    own = codes.select("year", F.col("code").alias("origin"), "code").distinct()
+    out = own.where(F.col("year") == basis)
+    for sign, years in ((1, range(first, basis)), (-1, range(last, basis, -1))):
+        now = None
+        for y in years:
+            here = own.where(F.col("year") == y)
+            now = checkpointed(_carry_step(here if now is None else now.unionByName(here), strict, edges, y, y + sign))
+        out = out if now is None else out.unionByName(now)
+    return out.select("year", F.col("origin").alias("code"), F.col("code").alias("basis_code"))
+
+
+def carry_rows(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Fact rows (year, code, value and units) in the basis vintage of the code
+    map ``codes``, summed again: one join and one aggregate. B3"""
+    both = rows.join(codes, ["year", "code"]).drop("code").withColumnRenamed("basis_code", "code")
+    return both.groupBy(*[c for c in both.columns if c != "value"]).agg(F.sum("value").alias("value"))
 
 
 def scaled_flows(rows: DataFrame, group_map: DataFrame, level: str = "bilateral") -> DataFrame:
@@ -75,14 +90,19 @@ def completed_panel(flows: DataFrame, group_map: DataFrame, level: str = "bilate
     return cells.join(now, key, "left").join(before, key, "left").na.fill(0.0, ["flow", "lag"])
 
 
-def contaminated_groups(group_map: DataFrame, edges: DataFrame, at: int, years: list[int]) -> DataFrame:
-    """group_id of groups hit by non-bijective codes of other years, carried to
-    the group map's vintage ``at``. B8, B9"""
+def contaminating_codes(edges: DataFrame, at: int, years: list[int]) -> dict[int, DataFrame]:
+    """Non-bijective codes (code) of other years than ``at``: of the step that
+    leads on from a later year, or into an earlier one. B8"""
+    bad = nonbijective_codes(edges)
+    period = {y: f"{y}{y + 1}" if y >= at else f"{y - 1}{y}" for y in years}
+    return {y: bad.where((F.col("period") == period[y]) & (F.col("side") == ("a" if y >= at else "b"))).select("code") for y in years}
+
+
+def contaminated_groups(group_map: DataFrame, codes: dict[int, DataFrame], edges: DataFrame, at: int) -> DataFrame:
+    """group_id, code of the group map hit by codes of other years (see
+    ``contaminating_codes``), carried to its vintage ``at``. B8, B9"""
     out = None
-    for y in years:
-        side = "a" if y >= at else "b"
-        period = f"{y}{y + 1}" if y >= at else f"{y - 1}{y}"
-        bad = nonbijective_codes(edges).where((F.col("period") == period) & (F.col("side") == side)).select("code")
+    for y, bad in codes.items():
         hit = group_map.join(carry_codes(bad, edges, y, at), "code", "left_semi").select("group_id", "code")
         out = hit if out is None else out.union(hit)
     return out.distinct()
@@ -123,11 +143,7 @@ def result_table(results: DataFrame, row: str, years: list[int]) -> DataFrame:
     return results.withColumn("cell", coefficient_cell(F.col("coef"), F.col("se"))).groupBy(row).pivot("year", years).agg(F.first("cell"))
 
 
-def carry_to_basis(rows: DataFrame, edges: DataFrame, basis: int) -> DataFrame:
-    """Rows of every year carried to one vintage: a loop over the years."""
-    years = sorted(r[0] for r in rows.select("year").distinct().collect())  # a handful of years
-    out = None
-    for y in years:
-        part = carry_rows(rows.where(F.col("year") == y), edges, y, basis)
-        out = part if out is None else out.unionByName(part)
-    return checkpointed(out)
+def carry_to_basis(rows: DataFrame, edges: DataFrame, basis: int, first: int, last: int) -> DataFrame:
+    """Rows of the years first..last carried to one vintage."""
+    rows = rows.where(F.col("year").between(first, last))
+    return checkpointed(carry_rows(rows, code_map(rows.select("year", "code"), edges, basis, first, last)))

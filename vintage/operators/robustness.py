@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from vintage.functions import metrics as M
 from vintage.functions.codes import panel_label
 from vintage.operators.concordance import Groups
-from vintage.operators.estimation import KEY, fitted_weights
+from vintage.operators.estimation import KEY, fitted_weights, solved_only
 
 LINK = ["period", "direction", "measure", "group_id", "from_code", "to_code"]
 
 
-def reported(weights: DataFrame) -> DataFrame:
-    """Links of codes with several targets. R1"""
-    n = F.count(F.lit(1)).over(W.partitionBy("period", "direction", "measure", "from_code"))
+def reported(weights: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Links of codes with several targets, within each run (extra...). R1"""
+    n = F.count(F.lit(1)).over(W.partitionBy("period", "direction", "measure", "from_code", *extra))
     return weights.withColumn("_n", n).where("_n > 1").drop("_n")
 
 
@@ -75,12 +75,9 @@ def bin_moments(shares: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def bin_weights(moments: DataFrame, groups: Groups) -> DataFrame:
-    """LINK..., bin, weight of all refits in one job: the bin rides along in the
-    measure, which the fit only copies. R4"""
-    tagged = moments.withColumn("measure", F.concat_ws("#", "measure", F.col("bin").cast("string"))).drop("bin")
-    w = fitted_weights(tagged, groups)
-    parts = F.split("measure", "#")
-    return w.withColumns({"bin": parts[1].cast("int"), "measure": parts[0]}).select(*LINK, "bin", "weight")
+    """LINK..., bin, weight of all refits in one job, the bin one more key of
+    the fit; an unsolved one raises. R4"""
+    return solved_only(fitted_weights(moments, groups, ("bin",))).select(*LINK, "bin", "weight")
 
 
 def link_importance(shares: DataFrame, weights: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vintage.functions.codes import relationship, unknown_weight
 from vintage.operators.components import components
 from vintage.operators.concordance import Groups
+from vintage.operators.weights import assert_empty
 from vintage.sources.storage import checkpointed
 
 CLASSES = ("1:1", "m:1", "1:n", "m:n")
@@ -65,10 +66,11 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def anchor_codes(universe: DataFrame, anchor: int, edges: DataFrame | None = None) -> DataFrame:
-    """Codes at the anchor: all seen, or those of the first step's links. D6"""
+    """Codes at the anchor: all seen, or those of links on either side of it. D6"""
     if edges is None:
         return universe.where(F.col("year") == anchor).select("code").distinct()
-    return edges.where(F.col("vintage_a_year") == str(anchor)).select(F.col("vintage_a_code").alias("code")).distinct()
+    a = edges.where(F.col("vintage_a_year") == str(anchor)).select(F.col("vintage_a_code").alias("code"))
+    return a.union(edges.where(F.col("vintage_b_year") == str(anchor)).select("vintage_b_code")).distinct()
 
 
 def relation_classes(relation: DataFrame, key: list[str]) -> DataFrame:
@@ -103,8 +105,12 @@ def chained_relations(edges: DataFrame, universe: DataFrame, anchor: int, years:
 
 
 def chained_link_distribution(edges: DataFrame, universe: DataFrame, anchor: int, years: list[int]) -> DataFrame:
-    """compare_year, class, n, share of the anchor's codes. D8"""
-    return class_counts(relation_classes(chained_relations(edges, universe, anchor, years), ["compare_year"]), ["compare_year"])
+    """compare_year, class, n, share of the anchor's codes, which must be the
+    same number in every year. D8"""
+    out = checkpointed(class_counts(relation_classes(chained_relations(edges, universe, anchor, years), ["compare_year"]), ["compare_year"]))
+    n = anchor_codes(universe, anchor).count()
+    assert_empty(out.groupBy("compare_year").agg(F.sum("n").alias("total")).where(F.col("total") != n), f"years with other than {n} anchor codes")
+    return out
 
 
 def revision_exposure(edges: DataFrame, universe: DataFrame, anchor: int, years: list[int]) -> DataFrame:

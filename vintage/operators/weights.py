@@ -6,7 +6,7 @@ direction, measure, origin...), which are passed as ``key``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,12 +21,22 @@ def violations(weights: DataFrame, key: list[str], neg_tol: float = 1e-6) -> Dat
 
 
 def finalise(weights: DataFrame, key: list[str], neg_tol: float = 1e-6, pos_tol: float = 1e-10) -> DataFrame:
-    """Clamp, renormalise by code, drop zeros. W1"""
+    """Clamp, renormalise by code, drop zeros. What can't be finalised (see
+    ``violations``) raises when the rows are computed, in the same pass. W1"""
     w = F.col("weight")
-    clamped = F.when((w >= -neg_tol) & (w < pos_tol), 0.0).otherwise(w)
-    out = weights.withColumn("weight", clamped)
+    clamped = (
+        F.when(w.isNull() | F.isnan(w), refused("missing weight", "from_code")).when(w < -neg_tol, refused("weight below the tolerance", "from_code"))
+        .when(w < pos_tol, 0.0).otherwise(w)
+    )
     total = F.sum("weight").over(W.partitionBy(*key, "from_code"))
-    return out.withColumn("weight", F.try_divide("weight", total)).where("weight > 0")
+    out = weights.withColumn("weight", clamped).withColumn("_t", total)
+    share = F.when(F.col("_t") <= 0, refused("weights that sum to zero", "from_code")).otherwise(F.try_divide("weight", "_t"))
+    return out.withColumn("weight", share).where("weight > 0").drop("_t")
+
+
+def refused(what: str, code: str) -> Column:
+    """A weight that fails the job, naming the code."""
+    return F.raise_error(F.concat_ws(" ", F.lit(what), F.lit("of code"), F.col(code))).cast("double")
 
 
 def invalid(weights: DataFrame, key: list[str], row_sum_tol: float = 1e-6) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vintage.operators import chain, concordance, estimation, figures, panels, persistence, robustness, structure, synthetic
+from vintage.functions import metrics as M
+from vintage.operators import concordance, estimation, figures, panels, persistence, robustness, structure, synthetic
 from vintage.plans.core import groups_of, query, r6, uniform_chains, uniform_steps
-from vintage.plans.sql import BASE, PARTS, YEARS
+from vintage.plans.sql import BASE, PARTS, YEARS, chain_parts, pairs_of, panel_parts
 from vintage.sources import fixture
 from vintage.sources.storage import checkpointed
 
@@ -30,14 +31,20 @@ def _strict_carry(name: str, source: int, target: int, start: str) -> dict[str,
     return out
 
 
-def _relations(anchor: int, target: int) -> dict[str, str]:
-    """st<year>: step relation into the year; rl<year>: anchor's relation."""
+def _relations(anchor: int, target: int, tag: str = "") -> dict[str, str]:
+    """st<year>: step relation into the year; rl<year>: anchor's relation; either way in time."""
     out, prev = {}, f"SELECT code AS from_code, code AS to_code FROM univ WHERE year={anchor}"
-    for y in range(anchor, target):
-        links = f"SELECT vintage_a_code, vintage_b_code FROM edges WHERE period='{y}{y + 1}'"
-        out[f"st{y + 1}"] = f"SELECT vintage_a_code AS from_code, vintage_b_code AS to_code FROM ({links}) UNION SELECT code, code FROM univ WHERE year={y} AND code NOT IN (SELECT vintage_a_code FROM ({links}))"
-        out[f"rl{y + 1}"] = f"SELECT DISTINCT p.from_code, coalesce(s.to_code, p.to_code) AS to_code FROM ({prev}) p LEFT JOIN st{y + 1} s ON s.from_code=p.to_code"
-        prev = f"SELECT * FROM rl{y + 1}"
+    sign = 1 if target > anchor else -1
+    s, o = ("a", "b") if sign > 0 else ("b", "a")
+    for y in range(anchor, target, sign):
+        z = y + sign
+        links = f"SELECT vintage_{s}_code AS x, vintage_{o}_code AS y FROM edges WHERE period='{min(y, z)}{max(y, z)}'"
+        out[f"st{tag}{z}"] = f"SELECT x AS from_code, y AS to_code FROM ({links}) UNION SELECT code, code FROM univ WHERE year={y} AND code NOT IN (SELECT x FROM ({links}))"
+        out[f"rl{tag}{z}"] = f"SELECT DISTINCT p.from_code, coalesce(s.to_code, p.to_code) AS to_code FROM ({prev}) p LEFT JOIN st{tag}{z} s ON s.from_code=p.to_code"
+        prev = f"SELECT * FROM rl{tag}{z}"
+    years = range(anchor + sign, target + sign, sign)
+    out[f"rels{tag}"] = " UNION ALL ".join(f"SELECT {z} AS compare_year, * FROM rl{tag}{z}" for z in years)
+    out[f"stps{tag}"] = " UNION ALL ".join(f"SELECT {z} AS compare_year, * FROM st{tag}{z}" for z in years)
     return out
 
 
@@ -57,10 +64,8 @@ PARTS |= _strict_carry("lin", FIRST, BASE, f"SELECT code AS orig, code FROM univ
 for _y in YEARS:
     if _y != BASE:
         PARTS |= _strict_carry(f"k{_y}_", _y, BASE, f"SELECT code AS orig, code FROM univ WHERE year={_y}")
-PARTS |= _relations(FIRST, BASE)
-PARTS["rels"] = " UNION ALL ".join(f"SELECT {y} AS compare_year, * FROM rl{y}" for y in range(FIRST + 1, BASE + 1))
-PARTS["stps"] = " UNION ALL ".join(f"SELECT {y} AS compare_year, * FROM st{y}" for y in range(FIRST + 1, BASE + 1))
-PARTS |= _classes("relc", "rels") | _classes("stpc", "stps")
+PARTS |= _relations(FIRST, BASE) | _relations(LAST, BASE, "b")
+PARTS |= _classes("relc", "rels") | _classes("stpc", "stps") | _classes("relcb", "relsb") | _classes("stpcb", "stpsb")
 PARTS |= {
     "foc": """SELECT g.period, 'a' AS side, g.vintage_a_code AS code, CASE WHEN n_vintage_a=1 AND n_vintage_b=1 THEN '1:1' WHEN n_vintage_a=1 THEN '1:n' WHEN n_vintage_b=1 THEN 'm:1' ELSE 'm:n' END AS class FROM ge g JOIN summ s USING (period, group_id)
         UNION SELECT g.period, 'b', g.vintage_b_code, CASE WHEN n_vintage_b=1 AND n_vintage_a=1 THEN '1:1' WHEN n_vintage_b=1 THEN '1:n' WHEN n_vintage_a=1 THEN 'm:1' ELSE 'm:n' END FROM ge g JOIN summ s USING (period, group_id)""",
@@ -73,16 +78,6 @@ PARTS |= {
         [f"SELECT year, REPORTER, PARTNER, code, value FROM bil WHERE year={BASE}"]
         + [f"SELECT b.year, REPORTER, PARTNER, k.code, sum(value) AS value FROM bil b JOIN k{y}_{BASE} k ON k.orig=b.code WHERE b.year={y} GROUP BY 1,2,3,4" for y in YEARS if y != BASE]
     ),
-    "scal0": """SELECT year, REPORTER, PARTNER, group_id, b.code, sum(value) AS value FROM bilc b JOIN smp s ON s.code=b.code GROUP BY 1,2,3,4,5""",
-    "scal": """SELECT *, value/t AS flow FROM (SELECT *, sum(value) OVER (PARTITION BY year, group_id) AS t FROM scal0) WHERE t>0""",
-    "seen": """SELECT DISTINCT year, REPORTER, PARTNER, group_id FROM scal""",
-    "pan": """SELECT u.year, u.REPORTER, u.PARTNER, u.group_id, s.code, coalesce(n.flow,0) AS flow, coalesce(l.flow,0) AS lag FROM
-        (SELECT * FROM seen UNION SELECT year+1, REPORTER, PARTNER, group_id FROM seen) u JOIN smp s ON s.group_id=u.group_id
-        LEFT JOIN scal n ON n.year=u.year AND n.REPORTER=u.REPORTER AND n.PARTNER=u.PARTNER AND n.group_id=u.group_id AND n.code=s.code
-        LEFT JOIN scal l ON l.year=u.year-1 AND l.REPORTER=u.REPORTER AND l.PARTNER=u.PARTNER AND l.group_id=u.group_id AND l.code=s.code
-        WHERE u.year IN (SELECT year FROM scal) AND u.year-1 IN (SELECT year FROM scal)""",
-    "reg": """SELECT year, b AS coef, sqrt((n::DOUBLE/(n-1))*sum(lag*lag*(flow-b*lag)*(flow-b*lag))/(any_value(xx)*any_value(xx))) AS se, n FROM
-        (SELECT *, sum(lag*flow) OVER (PARTITION BY year)/sum(lag*lag) OVER (PARTITION BY year) AS b, sum(lag*lag) OVER (PARTITION BY year) AS xx, count(*) OVER (PARTITION BY year) AS n FROM pan) GROUP BY year, b, n""",
     "cand": f"""SELECT DISTINCT 'prehistory' AS concept, vintage_b_code AS code FROM edges WHERE period='{BREAK}' UNION ALL SELECT DISTINCT 'afterlife', vintage_a_code FROM edges WHERE period='{BREAK}'""",
     "life": """SELECT coalesce(b.code, a.code) AS code, CAST(introduced AS INT) AS introduced, CAST(sunset AS INT) AS sunset FROM (SELECT vintage_b_code AS code, min(vintage_b_year) AS introduced FROM edges GROUP BY 1) b
         FULL JOIN (SELECT vintage_a_code AS code, max(vintage_a_year) AS sunset FROM edges GROUP BY 1) a ON a.code=b.code""",
@@ -96,7 +91,47 @@ PARTS |= {
 }
 
 
+def _persistence_parts(tag: str, group_map: str, level: str = "bilateral") -> dict[str, str]:
+    """scal<tag>, pan<tag>, reg<tag>: flows of ``group_map`` (code, group_id) in
+    their denominators, the zero-completed panel, and its regressions."""
+    unit, denominator = persistence.LEVELS[level], persistence.DENOMINATOR[level]
+    cols = "".join(f"{u}, " for u in unit)
+    on = lambda t: "".join(f" AND {t}.{u}=u.{u}" for u in unit)
+    return {
+        f"scal{tag}": f"""SELECT year, {cols}group_id, code, value/t AS flow FROM (SELECT *, sum(value) OVER (PARTITION BY {", ".join(["year", *denominator, "group_id"])}) AS t FROM
+            (SELECT year, {cols}s.group_id, b.code, sum(value) AS value FROM bilc b JOIN {group_map} s ON s.code=b.code GROUP BY ALL)) WHERE t>0""",
+        f"seen{tag}": f"SELECT DISTINCT year, {cols}group_id FROM scal{tag}",
+        f"pan{tag}": f"""SELECT u.*, s.code, coalesce(n.flow,0) AS flow, coalesce(l.flow,0) AS lag FROM
+            (SELECT * FROM seen{tag} UNION SELECT * REPLACE (year+1 AS year) FROM seen{tag}) u JOIN (SELECT DISTINCT group_id, code FROM {group_map}) s ON s.group_id=u.group_id
+            LEFT JOIN scal{tag} n ON n.year=u.year AND n.group_id=u.group_id AND n.code=s.code{on("n")}
+            LEFT JOIN scal{tag} l ON l.year=u.year-1 AND l.group_id=u.group_id AND l.code=s.code{on("l")}
+            WHERE u.year IN (SELECT year FROM scal{tag}) AND u.year-1 IN (SELECT year FROM scal{tag})""",
+        f"reg{tag}": f"""SELECT year, b AS coef, sqrt((n::DOUBLE/(n-1))*sum(lag*lag*(flow-b*lag)*(flow-b*lag))/(any_value(xx)*any_value(xx))) AS se, n,
+            CASE WHEN var_pop(flow)*n>0 THEN 1-sum((flow-lag)*(flow-lag))/(var_pop(flow)*n) END AS r2_45 FROM
+            (SELECT *, sum(lag*flow) OVER (PARTITION BY year)/sum(lag*lag) OVER (PARTITION BY year) AS b, sum(lag*lag) OVER (PARTITION BY year) AS xx, count(*) OVER (PARTITION BY year) AS n FROM pan{tag}) GROUP BY year, b, n""",
+    }
+
+
+PARTS |= _persistence_parts("", "smp") | _persistence_parts("imp", "smp", "importer") | _persistence_parts("agg", "smp", "aggregate")
+# contaminated groups, by many-sided links of half the blocks in the last step, which no later year repeats
+PARTS |= {
+    "cont": f"""SELECT DISTINCT group_id FROM smp WHERE code IN (SELECT k.code FROM k{LAST - 1}_{BASE} k JOIN (SELECT DISTINCT vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND (deg_a>1 OR deg_b>1) AND CAST(vintage_a_code AS BIGINT)%32<16) d ON d.code=k.orig)""",
+    "smpc": "SELECT * FROM smp WHERE group_id NOT IN (SELECT group_id FROM cont)",
+    "smpd": f"""SELECT u.code, coalesce(s.group_id, 'singleton::{BASE}::'||u.code) AS group_id FROM univ u LEFT JOIN smp s ON s.code=u.code WHERE u.year={BASE}""",
+}
+PARTS |= _persistence_parts("cl", "smpc") | _persistence_parts("det", "smpd")
+
 # ----------------------------------------------------------------- inputs
+def _at(spark, sf_dir, target, first, last):
+    """Shares of the years first..last at a target vintage, in its own groups."""
+    g = groups_of(spark, sf_dir)
+    own = g.summary.where((F.col("period") == f"{target - 1}{target}") & F.col("a_to_b_ambiguous")).select("group_id")
+    group_map = g.edges.select(F.col("vintage_b_code").alias("code"), "group_id").distinct().join(own, "group_id", "left_semi")
+    totals = panels.product_totals(fixture.trade(spark, sf_dir).where(F.col("PERIOD").between(first, last)), flow="1")
+    chains = uniform_chains(spark, sf_dir, target=target, first=first, last=last).weights
+    return panels.group_shares(panels.group_values(panels.target_totals(totals, chains), group_map))
+
+
 def _base(spark, sf_dir):
     """group_map, totals, chains, shares at the base vintage."""
     g = groups_of(spark, sf_dir)
@@ -159,16 +194,135 @@ def step_metrics(spark, sf_dir):
     return out.select(F.col("step_index"), "source_year", *two, *r6("exposure", "diffuseness"), "n_ambiguous")
 
 
-@query()
-def chain_metrics(spark, sf_dir):
-    g, group_map, totals, chains, _ = _base(spark, sf_dir)
+def _steps_sql(sign: int) -> str:
+    """Step metrics of the chains to the base from before (1) or after (-1)."""
+    side, year, first = ("a_to_b", "substr(period,1,4)", FIRST) if sign > 0 else ("b_to_a", "substr(period,5,4)", LAST)
+    entropy = f"""(SELECT CAST({year} AS INT) AS yr, from_code, CASE WHEN count(*)>1 THEN -sum(weight*ln(weight))/ln(count(*)) ELSE 0 END AS h, count(*) AS k FROM uni WHERE direction='{side}' GROUP BY 1,2)"""
+    return f"""SELECT source_year, sum(value) AS total, coalesce(sum(CASE WHEN k>1 THEN value END),0) AS amb, coalesce(sum(CASE WHEN k>1 THEN value END),0)/sum(value) AS exposure,
+     sum(CASE WHEN k>1 THEN h*value END)/sum(CASE WHEN k>1 THEN value END) AS diffuseness FROM
+     (SELECT i.origin_year AS source_year, p.value, e.k, e.h FROM (SELECT DISTINCT origin_year, from_code FROM chain WHERE to_code IN (SELECT code FROM smp) AND origin_year {"<" if sign > 0 else ">"} {BASE}) i
+      JOIN ptot p ON p.year=i.origin_year AND p.code=i.from_code LEFT JOIN {entropy} e ON e.yr=i.origin_year AND e.from_code=i.from_code) GROUP BY 1"""
+
+
+PARTS |= {"stm_before": _steps_sql(1), "stm_after": _steps_sql(-1)}
+_OVER = """sum(exposure*total)/sum(total) AS exposure, sum(CASE WHEN amb>0 THEN diffuseness*amb END)/sum(CASE WHEN amb>0 THEN amb END) AS diffuseness,
+sum(CASE WHEN diffuseness IS NOT NULL THEN diffuseness*amb/total*total END)/sum(CASE WHEN diffuseness IS NOT NULL THEN total END) AS diffuse_exposure"""
+PARTS["stm_chain"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS direction, {n} AS length, {_OVER} FROM stm_{name} WHERE abs(source_year-{BASE}) <= {n}" for name in ("before", "after") for n in range(1, BASE - FIRST + 1)
+)
+
+
+def _steps(spark, sf_dir):
+    """Shares at the base, and the step metrics of the chains from before and after."""
+    g, group_map, totals, chains, shares = _base(spark, sf_dir)
     feasible = concordance.feasible_targets(concordance.oriented(g.edges))
-    return panels.chain_metrics(panels.step_metrics(group_map, totals, chains, feasible, uniform_steps(fixture.edges(spark, sf_dir)), FIRST, BASE), ("direction",))
+    steps = None
+    for name, first in (("before", FIRST), ("after", LAST)):
+        part = panels.step_metrics(group_map, totals, chains, feasible, uniform_steps(fixture.edges(spark, sf_dir)), first, BASE)
+        part = part.withColumns({"direction": F.lit(name), "length": F.abs(F.col("source_year") - BASE)})
+        steps = part if steps is None else steps.unionByName(part)
+    return shares, checkpointed(steps)
 
 
-@query()
+@query("SELECT direction, round(exposure,6) AS exposure, round(diffuseness,6) AS diffuseness, round(diffuse_exposure,6) AS diffuse_exposure FROM stm_chain WHERE direction='before' AND length=3")
+def chain_metrics(spark, sf_dir):
+    _, steps = _steps(spark, sf_dir)
+    return panels.chain_metrics(steps.where("direction = 'before'"), ("direction",)).select("direction", *r6("exposure", "diffuseness", "diffuse_exposure"))
+
+
+_POINTS = f"""SELECT CASE WHEN compare_year>{BASE} THEN 'after' ELSE 'before' END AS direction, abs(compare_year-{BASE}) AS length, {_PANEL} FROM ({_STRESS}) GROUP BY 1,2"""
+
+
+@query(f"""SELECT p.*, round(exposure,6) AS exposure, round(diffuseness,6) AS diffuseness, round(diffuse_exposure,6) AS diffuse_exposure FROM ({_POINTS}) p JOIN stm_chain c USING (direction, length)""")
+def stress_run(spark, sf_dir):
+    """Each chain's panel against the base, with the step metrics over the chain."""
+    return panels.stress_run(*_steps(spark, sf_dir), BASE).select(
+        "direction", "length", "n", *r6(*_PANEL_COLS), "n_groups", "n_codes", *r6("exposure", "diffuseness", "diffuse_exposure")
+    )
+
+
+@query(f"""SELECT direction, round(corr(rx, ry),6) AS spearman FROM (SELECT direction, rank() OVER (PARTITION BY direction ORDER BY loss)+(count(*) OVER (PARTITION BY direction, loss)-1)/2.0 AS rx,
+rank() OVER (PARTITION BY direction ORDER BY exposure)+(count(*) OVER (PARTITION BY direction, exposure)-1)/2.0 AS ry FROM (SELECT direction, 1-r2_45_symmetric AS loss, exposure FROM ({_POINTS}) JOIN stm_chain USING (direction, length))) GROUP BY 1""")
+def chain_length_spearman(spark, sf_dir):
+    """Rank correlation of the loss on the exposure over the lengths of a chain."""
+    points = panels.stress_run(*_steps(spark, sf_dir), BASE).withColumn("loss", F.round(1 - F.round("r2_45_symmetric", 6), 6))
+    return M.spearman(points, "loss", "exposure", ("direction",)).select("direction", *r6("spearman"))
+
+
+# stability: unstable codes of half the blocks in the last step
+PARTS |= {
+    "unst": f"SELECT DISTINCT {LAST - 1} AS year, vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND deg_a>1 AND CAST(vintage_a_code AS BIGINT)%32<16",
+    "stab": "SELECT * FROM smp WHERE group_id NOT IN (SELECT s.group_id FROM smp s JOIN chain c ON c.to_code=s.code JOIN unst u ON u.year=c.origin_year AND u.code=c.from_code)",
+    "pairs_stable": "SELECT * FROM pairs WHERE group_id IN (SELECT group_id FROM stab)",
+    "lin_map": f"SELECT DISTINCT g.vintage_b_code AS code, g.group_id FROM ge g WHERE period='{FIRST}{FIRST + 1}' AND group_id NOT IN (SELECT group_id FROM ge LEFT JOIN (SELECT orig FROM lng1) l ON l.orig=ge.vintage_b_code WHERE ge.period='{FIRST}{FIRST + 1}' AND l.orig IS NULL)",
+    "lin_rows": " UNION ALL ".join([f"SELECT orig, {FIRST + 1} AS year, code FROM (SELECT DISTINCT vintage_b_code AS orig, vintage_b_code AS code FROM edges WHERE period='{FIRST}{FIRST + 1}')", *[f"SELECT orig, {y}, code FROM lg{y}" for y in range(FIRST + 2, BASE + 1)]]),
+    "lin_sh": """SELECT year, group_id, code, value, value/t AS share FROM (SELECT *, sum(value) OVER (PARTITION BY year, group_id) AS t FROM (SELECT r.year, m.group_id, r.orig AS code, coalesce(p.value,0) AS value
+        FROM lin_map m JOIN lin_rows r ON r.orig=m.code LEFT JOIN ptot p ON p.year=r.year AND p.code=r.code)) WHERE t>0""",
+    "pairs_lin": pairs_of("lin_sh"),
+}
+
+
+def _unstable(spark, sf_dir):
+    links = concordance.with_degrees(fixture.edges(spark, sf_dir)).where(f"period = '{LAST - 1}{LAST}' and deg_a > 1 and cast(vintage_a_code as bigint) % 32 < 16")
+    return links.select(F.lit(LAST - 1).alias("year"), F.col("vintage_a_code").alias("code")).distinct()
+
+
+@query("SELECT 'all' AS panel, count(DISTINCT group_id) AS n_groups, count(DISTINCT code) AS n_codes FROM smp UNION ALL SELECT 'stable', count(DISTINCT group_id), count(DISTINCT code) FROM stab")
+def stability_counts(spark, sf_dir):
+    """Groups and codes before and after the stability filter."""
+    _, group_map, _, chains, _ = _base(spark, sf_dir)
+    kept = panels.stable_groups(group_map, _unstable(spark, sf_dir), chains)
+    return panels.panel_counts(group_map).withColumn("panel", F.lit("all")).unionByName(panels.panel_counts(kept).withColumn("panel", F.lit("stable")))
+
+
+@query(f"""SELECT 'focal' AS panel, x_year, {_PANEL} FROM (SELECT *, (value_x+value_y)/2 AS w FROM pairs_stable) GROUP BY 2
+UNION ALL SELECT 'lineage', x_year, {_PANEL} FROM (SELECT *, (value_x+value_y)/2 AS w FROM pairs_lin) GROUP BY 2""")
+def stability_run(spark, sf_dir):
+    """Panels of the stable groups, and the placebo of deterministic lineages."""
+    _, group_map, totals, chains, shares = _base(spark, sf_dir)
+    focal = panels.year_pairs(shares, keep=panels.stable_groups(group_map, _unstable(spark, sf_dir), chains))
+    first = groups_of(spark, sf_dir).edges.where(F.col("period") == f"{FIRST}{FIRST + 1}").select(F.col("vintage_b_code").alias("code"), "group_id").distinct()
+    years = list(range(FIRST + 1, BASE + 1))
+    lineage = checkpointed(panels.deterministic_lineage(first.select(F.col("code").alias("origin_code")), fixture.edges(spark, sf_dir), years))
+    pairs = panels.placebo_pairs(panels.complete_groups(first, lineage, len(years)), lineage, totals, focal)
+    out = panels.panel_metrics(pairs, ("panel", "x_year"))
+    return out.select("panel", "x_year", "n", *r6(*_PANEL_COLS), "n_groups", "n_codes")
+
+
+@query("""SELECT coalesce(o.x_year, c.x_year) AS x_year, round(o.r2,6) AS r2_own, round(c.r2,6) AS r2_common, round(o.r2-c.r2,6) AS delta FROM
+(SELECT x_year, 1-sum((share_t1-share_t)*(share_t1-share_t))/(var_pop(share_t1)*count(*)) AS r2 FROM pairs_stable GROUP BY 1) o
+FULL JOIN (SELECT x_year, 1-sum((share_t1-share_t)*(share_t1-share_t))/(var_pop(share_t1)*count(*)) AS r2 FROM pairs GROUP BY 1) c ON c.x_year=o.x_year""")
+def stability_comparison(spark, sf_dir):
+    """The stable panels against those of the common target."""
+    _, group_map, _, chains, shares = _base(spark, sf_dir)
+    own = panels.panel_metrics(panels.year_pairs(shares, keep=panels.stable_groups(group_map, _unstable(spark, sf_dir), chains)))
+    return panels.compare_panels(own, panels.panel_metrics(panels.year_pairs(shares))).select("x_year", *r6("r2_own", "r2_common", "delta"))
+
+
+@query("SELECT year, group_id, code, round(value+1e-6,2) AS value, round(share,6) AS share FROM lin_sh")
+def lineage_shares(spark, sf_dir):
+    first = groups_of(spark, sf_dir).edges.where(F.col("period") == f"{FIRST}{FIRST + 1}").select(F.col("vintage_b_code").alias("code"), "group_id").distinct()
+    years = list(range(FIRST + 1, BASE + 1))
+    lineage = checkpointed(panels.deterministic_lineage(first.select(F.col("code").alias("origin_code")), fixture.edges(spark, sf_dir), years))
+    totals = panels.product_totals(fixture.trade(spark, sf_dir), flow="1")
+    out = panels.lineage_shares(panels.complete_groups(first, lineage, len(years)), lineage, totals)
+    return out.select("year", "group_id", "code", F.round(F.col("value") + 1e-6, 2).alias("value"), *r6("share"))
+
+
+PARTS |= {
+    # stars: an ambiguous group of a step and its codes at the base
+    "cs_link": f"""SELECT DISTINCT 'S'||o.period||'|'||o.group_id AS u, 'C'||c.to_code AS v FROM ori o JOIN amb USING (period, direction, group_id)
+        JOIN LATERAL (SELECT unnest([CAST(o.from_vintage_year AS INT), CAST(o.to_vintage_year AS INT)]) AS year, unnest([o.from_code, o.to_code]) AS code) x ON true
+        JOIN chain c ON c.origin_year=x.year AND c.from_code=x.code WHERE o.direction='a_to_b' AND o.period < '{BASE}'""",
+    "cs_both": "SELECT u, v FROM cs_link UNION SELECT v, u FROM cs_link",
+    "cs_reach(node, root)": "SELECT u, u FROM cs_both UNION SELECT b.v, r.root FROM cs_reach r JOIN cs_both b ON b.u=r.node",
+    "cs_comp": "SELECT node, min(root) AS comp FROM cs_reach GROUP BY 1",
+    "cs_ids": f"""SELECT comp, '{FIRST}to{BASE}_g'||lpad(CAST(row_number() OVER (ORDER BY min(node)) AS STRING),6,'0') AS group_id FROM cs_comp WHERE node LIKE 'C%' GROUP BY 1""",
+}
+
+
+@query("SELECT substr(node,2) AS code, group_id FROM cs_comp JOIN cs_ids USING (comp) WHERE node LIKE 'C%'")
 def chain_sample(spark, sf_dir):
-    """Recursive components over mapped codes; checked by a golden test."""
     return panels.chain_sample(groups_of(spark, sf_dir), uniform_chains(spark, sf_dir).weights, FIRST, BASE)
 
 
@@ -233,6 +387,24 @@ def chained_link_distribution(spark, sf_dir):
     return out.select("compare_year", "class", "n", *r6("share"))
 
 
+@query("""SELECT y.compare_year, c.class, coalesce(n,0) AS n, round(coalesce(n,0)/sum(coalesce(n,0)) OVER (PARTITION BY y.compare_year),6) AS share FROM (SELECT DISTINCT compare_year FROM relsb) y
+CROSS JOIN (SELECT unnest(['1:1','m:1','1:n','m:n']) AS class) c LEFT JOIN (SELECT compare_year, class, count(*) AS n FROM relcb GROUP BY 1,2) r ON r.compare_year=y.compare_year AND r.class=c.class""")
+def chained_link_distribution_back(spark, sf_dir):
+    edges, universe = _structure_inputs(spark, sf_dir)
+    out = structure.chained_link_distribution(edges, universe, LAST, list(range(LAST - 1, BASE - 1, -1)))
+    return out.select("compare_year", "class", "n", *r6("share"))
+
+
+@query(f"""SELECT e.compare_year, e.from_code, ever_non_one, ever_unknown, CAST(n_unknown AS BIGINT) AS n_unknown, n_unknown>=2 AS two_or_more, NOT ever_non_one AS strict_one, r.class AS final_class FROM (
+ SELECT compare_year, from_code, max(non_one) OVER w > 0 AS ever_non_one, max(unk) OVER w > 0 AS ever_unknown, sum(unk) OVER w AS n_unknown FROM (
+  SELECT b.compare_year-1 AS compare_year, b.from_code, max(CAST(s.class<>'1:1' AS INT)) AS non_one, max(CAST(s.class IN ('m:1','m:n') AS INT)) AS unk FROM
+   (SELECT {LAST} AS compare_year, code AS from_code, code AS to_code FROM univ WHERE year={LAST} UNION ALL SELECT * FROM relsb) b JOIN stpcb s ON s.compare_year=b.compare_year-1 AND s.from_code=b.to_code GROUP BY 1,2)
+ WINDOW w AS (PARTITION BY from_code ORDER BY compare_year DESC ROWS UNBOUNDED PRECEDING)) e JOIN relcb r ON r.compare_year=e.compare_year AND r.from_code=e.from_code""")
+def exposure_codes_back(spark, sf_dir):
+    edges, universe = _structure_inputs(spark, sf_dir)
+    return structure.revision_exposure(edges, universe, LAST, list(range(LAST - 1, BASE - 1, -1)))
+
+
 _EXPO = f"""SELECT e.compare_year, e.from_code, ever_non_one, ever_unknown, CAST(n_unknown AS BIGINT) AS n_unknown, n_unknown>=2 AS two_or_more, NOT ever_non_one AS strict_one, r.class AS final_class FROM (
  SELECT compare_year, from_code, max(non_one) OVER w > 0 AS ever_non_one, max(unk) OVER w > 0 AS ever_unknown, sum(unk) OVER w AS n_unknown FROM (
   SELECT b.compare_year+1 AS compare_year, b.from_code, max(CAST(s.class<>'1:1' AS INT)) AS non_one, max(CAST(s.class IN ('1:n','m:n') AS INT)) AS unk FROM
@@ -257,12 +429,33 @@ def exposure_summary(spark, sf_dir):
     return out.select("compare_year", "population", "metric", "n", "total", *r6("share"))
 
 
+@query(f"""SELECT compare_year, metric, CAST(sum(flag) AS BIGINT) AS n, round(sum(flag)/count(*),6) AS share FROM (
+ SELECT compare_year, unnest(['ever_non_one','ever_unknown','two_or_more','strict_one']) AS metric, unnest([CAST(ever_non_one AS INT), CAST(ever_unknown AS INT), CAST(two_or_more AS INT), CAST(strict_one AS INT)]) AS flag
+ FROM ({_EXPO}) WHERE compare_year={BASE}) GROUP BY 1,2""")
+def exposure_benchmark(spark, sf_dir):
+    """The exposure summary at chosen years."""
+    edges, universe = _structure_inputs(spark, sf_dir)
+    expo = structure.revision_exposure(edges, universe, FIRST, list(range(FIRST + 1, BASE + 1)))
+    out = structure.exposure_summary(expo, universe.select("code").distinct())
+    return structure.benchmark_slice(out.where("population = 'all'"), [BASE]).select("compare_year", "metric", "n", *r6("share"))
+
+
 # ------------------------------------------------------------ persistence
+def _group_map(spark, sf_dir):
+    """Codes of the base vintage in groups that the last step before it makes ambiguous."""
+    g = groups_of(spark, sf_dir)
+    amb = g.summary.where((F.col("period") == BREAK) & F.col("a_to_b_ambiguous")).select("group_id")
+    return g, checkpointed(g.edges.where(F.col("period") == BREAK).select(F.col("vintage_b_code").alias("code"), "group_id").distinct().join(amb, "group_id", "left_semi"))
+
+
+def _carried(spark, sf_dir):
+    rows = checkpointed(persistence.bilateral_totals(fixture.trade(spark, sf_dir)))
+    return persistence.carry_to_basis(rows, fixture.edges(spark, sf_dir), BASE, FIRST, LAST)
+
+
 def _panel(spark, sf_dir, level="bilateral"):
-    _, group_map, _, _, _ = _base(spark, sf_dir)
-    rows = persistence.bilateral_totals(fixture.trade(spark, sf_dir))
-    carried = persistence.carry_to_basis(rows, fixture.edges(spark, sf_dir), BASE)
-    return group_map, persistence.completed_panel(persistence.scaled_flows(carried, group_map, level), group_map, level)
+    _, group_map = _group_map(spark, sf_dir)
+    return group_map, checkpointed(persistence.completed_panel(persistence.scaled_flows(_carried(spark, sf_dir), group_map, level), group_map, level))
 
 
 @query("SELECT year, REPORTER, PARTNER, code, round(value+1e-6,2) AS value FROM bil")
@@ -272,8 +465,7 @@ def bilateral_totals(spark, sf_dir):
 
 @query("SELECT year, REPORTER, PARTNER, code, round(value+1e-6,2) AS value FROM bilc")
 def carried_rows(spark, sf_dir):
-    rows = persistence.bilateral_totals(fixture.trade(spark, sf_dir))
-    return persistence.carry_to_basis(rows, fixture.edges(spark, sf_dir), BASE).select("year", "REPORTER", "PARTNER", "code", F.round(F.col("value") + 1e-6, 2).alias("value"))
+    return _carried(spark, sf_dir).select("year", "REPORTER", "PARTNER", "code", F.round(F.col("value") + 1e-6, 2).alias("value"))
 
 
 @query("SELECT year, REPORTER, PARTNER, group_id, code, round(flow,6) AS flow, round(lag,6) AS lag FROM pan")
@@ -287,30 +479,67 @@ def persistence_regression(spark, sf_dir):
     return out.select("year", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), "n")
 
 
-@query()
+_REG = "year, round(coef,5) AS coef, round(se,5) AS se, n, round(r2_45,5) AS r2_45"
+
+
+@query(f"SELECT 'bilateral' AS level, {_REG} FROM reg UNION ALL SELECT 'importer', {_REG} FROM regimp UNION ALL SELECT 'aggregate', {_REG} FROM regagg")
 def persistence_levels(spark, sf_dir):
-    out = None
+    _, group_map = _group_map(spark, sf_dir)
+    carried, out = _carried(spark, sf_dir), None
     for level in persistence.LEVELS:
-        part = persistence.persistence(_panel(spark, sf_dir, level)[1]).withColumn("level", F.lit(level))
+        panel = checkpointed(persistence.completed_panel(persistence.scaled_flows(carried, group_map, level), group_map, level))
+        part = persistence.persistence(panel).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return out.select("level", "year", *[F.round(c, 5).alias(c) for c in ("coef", "se")], "n", F.round("r2_45", 5).alias("r2_45"))
+
+
+def _row_sets(spark, sf_dir):
+    """Regressions of three row sets: all groups, those that no other revision
+    contaminates, and the deterministic basis of every code."""
+    _, group_map = _group_map(spark, sf_dir)
+    edges = fixture.edges(spark, sf_dir)
+    last = edges.where(f"period = '{LAST - 1}{LAST}'")
+    many = concordance.nonbijective_codes(last).where("side = 'a' and cast(code as bigint) % 32 < 16").select("code")
+    hit = persistence.contaminated_groups(group_map, {LAST - 1: many}, edges, BASE)
+    clean = group_map.join(hit.select("group_id").distinct(), "group_id", "left_anti")
+    basis = persistence.deterministic_basis(concordance.code_universe(fixture.trade(spark, sf_dir)), group_map, BASE)
+    carried, out = _carried(spark, sf_dir), None
+    for name, rows in (("adjusted", group_map), ("clean", clean), ("deterministic", basis)):
+        rows = checkpointed(rows)
+        panel = checkpointed(persistence.completed_panel(persistence.scaled_flows(carried, rows), rows))
+        part = persistence.persistence(panel).withColumn("row", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(f"SELECT 'adjusted' AS \"row\", {_REG} FROM reg UNION ALL SELECT 'clean', {_REG} FROM regcl UNION ALL SELECT 'deterministic', {_REG} FROM regdet")
+def persistence_row_sets(spark, sf_dir):
+    return _row_sets(spark, sf_dir).select("row", "year", *[F.round(c, 5).alias(c) for c in ("coef", "se")], "n", F.round("r2_45", 5).alias("r2_45"))
+
+
+@query("SELECT group_id, code FROM smp WHERE group_id IN (SELECT group_id FROM cont) AND code IN (SELECT k.code FROM " + f"k{LAST - 1}_{BASE} k JOIN (SELECT DISTINCT vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND (deg_a>1 OR deg_b>1) AND CAST(vintage_a_code AS BIGINT)%32<16) d ON d.code=k.orig)")
+def contaminated_codes(spark, sf_dir):
+    _, group_map = _group_map(spark, sf_dir)
+    edges = fixture.edges(spark, sf_dir)
+    many = concordance.nonbijective_codes(edges.where(f"period = '{LAST - 1}{LAST}'")).where("side = 'a' and cast(code as bigint) % 32 < 16").select("code")
+    return persistence.contaminated_groups(group_map, {LAST - 1: many}, edges, BASE)
+
+
 @query("""SELECT year, count(DISTINCT group_id) AS n_groups, count(DISTINCT code) AS n_codes, count(DISTINCT REPORTER||PARTNER) AS n_units, count(*) AS n_cells,
 count(CASE WHEN flow>0 THEN 1 END) AS n_positive, count(CASE WHEN lag>0 THEN 1 END) AS n_positive_lag FROM pan GROUP BY 1""")
 def persistence_diagnostics(spark, sf_dir):
     return persistence.panel_diagnostics(_panel(spark, sf_dir)[1])
 
 
-@query()
+@query("SELECT \"row\", " + ", ".join(f"max(CASE WHEN year={y} THEN printf('%.3f (%.3f)', coef, se) END) AS \"{y}\"" for y in range(BASE + 1, LAST + 1)) + " FROM (SELECT 'adjusted' AS \"row\", * FROM reg UNION ALL SELECT 'clean', * FROM regcl UNION ALL SELECT 'deterministic', * FROM regdet) GROUP BY 1")
 def persistence_table(spark, sf_dir):
-    out = persistence.persistence(_panel(spark, sf_dir)[1]).withColumn("row", F.lit("bilateral"))
-    return persistence.result_table(out, "row", list(range(BASE + 1, LAST + 1)))
+    """Rows by row set, a cell for each year after the base."""
+    return persistence.result_table(_row_sets(spark, sf_dir), "row", list(range(BASE + 1, LAST + 1)))
 
 
 @query(f"""SELECT u.code, coalesce(s.group_id, 'singleton::{BASE}::'||u.code) AS group_id FROM univ u LEFT JOIN smp s ON s.code=u.code WHERE u.year={BASE}""")
 def deterministic_basis(spark, sf_dir):
-    _, group_map, _, _, _ = _base(spark, sf_dir)
+    _, group_map = _group_map(spark, sf_dir)
     return persistence.deterministic_basis(concordance.code_universe(fixture.trade(spark, sf_dir)), group_map, BASE)
 
 
@@ -348,17 +577,21 @@ def candidate_evidence(spark, sf_dir):
 
 
 # ------------------------------------------------------------- robustness
-def _robust(spark, sf_dir, n_bins=5):
+N_BINS = 20
+
+
+def _robust(spark, sf_dir, n_bins=N_BINS):
     g = groups_of(spark, sf_dir)
-    shares = estimation.side_shares(fixture.trade(spark, sf_dir), g)
+    shares = checkpointed(estimation.side_shares(fixture.trade(spark, sf_dir), g))
     used = checkpointed(estimation.usable_shares(shares, estimation.group_totals(shares, g)))
     bins = checkpointed(robustness.holdout_bins(used, n_bins))
     return g, used, bins
 
 
-@query()
+@query(f"""SELECT period, direction, measure, bin, n//{N_BINS}+CASE WHEN bin<n%{N_BINS} THEN 1 ELSE 0 END AS n FROM (SELECT period, direction, measure, count(*) AS n FROM
+(SELECT DISTINCT period, direction, measure, group_id, REPORTER, PARTNER FROM used WHERE measure='VALUE_EUR') GROUP BY 1,2,3) CROSS JOIN (SELECT unnest(range({N_BINS}))::INT AS bin) WHERE bin<n""")
 def holdout_bins(spark, sf_dir):
-    """Counts by bin: equal up to one; the hash is Spark's own."""
+    """Pairs by bin: equal up to one."""
     _, _, bins = _robust(spark, sf_dir)
     return bins.groupBy("period", "direction", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -369,15 +602,40 @@ def bin_weights(spark, sf_dir):
     return robustness.bin_weights(robustness.bin_moments(used, bins), g)
 
 
+def _link_runs(spark, sf_dir):
+    g, used, bins = _robust(spark, sf_dir)
+    runs = checkpointed(robustness.reported(robustness.bin_weights(robustness.bin_moments(used, bins), g), ("bin",)))
+    summary = robustness.link_summary(runs, N_BINS)
+    return used, checkpointed(summary)
+
+
 @query()
 def link_stability(spark, sf_dir):
-    g, used, bins = _robust(spark, sf_dir)
-    runs = robustness.reported(robustness.bin_weights(robustness.bin_moments(used, bins), g).withColumn("measure", F.concat_ws("#", "measure", F.col("bin").cast("string"))))
-    runs = checkpointed(runs.withColumn("measure", F.split("measure", "#")[0]))
-    summary = robustness.link_summary(runs, 5)
+    """Spread of each link's weight over the refits; rows only (a solver)."""
+    used, summary = _link_runs(spark, sf_dir)
     return summary.join(robustness.link_importance(used, summary), robustness.LINK)
 
 
+@query()
+def robustness_summary(spark, sf_dir):
+    """Spread and importance-weighted instability by step; rows only (a solver)."""
+    used, summary = _link_runs(spark, sf_dir)
+    whole = robustness.robustness_row(summary)
+    weighed = robustness.weighted_instability(summary, robustness.link_importance(used, summary))
+    absent = robustness.uncovered_links(summary).groupBy("period", "direction", "measure").agg(F.count(F.lit(1)).alias("n_absent"))
+    key = ["period", "direction", "measure"]
+    return whole.join(weighed, key).join(absent, key, "left").na.fill(0, ["n_absent"])
+
+
+@query("""SELECT s.period, s.direction, count(*) AS n_rows, round(sum(s.value)+1e-3,1) AS value FROM used s JOIN (SELECT DISTINCT period, direction, group_id, REPORTER, PARTNER FROM used WHERE measure='VALUE_EUR' AND REPORTER<>'C01') k
+USING (period, direction, group_id, REPORTER, PARTNER) WHERE s.measure='VALUE_EUR' GROUP BY 1,2""")
+def holdout_filter(spark, sf_dir):
+    """Shares without the pairs of a bin: here the pairs of one reporter."""
+    _, used, _ = _robust(spark, sf_dir)
+    bins = used.select(*estimation.KEY, "REPORTER", "PARTNER").distinct().withColumn("bin", (F.col("REPORTER") == "C01").cast("int"))
+    return robustness.without_bin(used, bins, 1).groupBy("period", "direction").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value") + 1e-3, 1).alias("value"))
+
+
 @query(f"SELECT period, direction, measure, group_id, from_code, to_code, round(coalesce(f.s,0)*coalesce(t.s,0),6) AS importance FROM (SELECT o.period, o.direction, k.measure, o.group_id, o.from_code, o.to_code FROM ori o JOIN (SELECT DISTINCT period, direction, measure, group_id FROM used) k USING (period, direction, group_id) WHERE k.measure='VALUE_EUR') "
        "LEFT JOIN (SELECT period, direction, measure, group_id, code AS from_code, sum(share) AS s FROM used WHERE is_from GROUP BY ALL) f USING (period, direction, measure, group_id, from_code) LEFT JOIN (SELECT period, direction, measure, group_id, code AS to_code, sum(share) AS s FROM used WHERE NOT is_from GROUP BY ALL) t USING (period, direction, measure, group_id, to_code)")
 def link_importance(spark, sf_dir):
@@ -386,22 +644,39 @@ def link_importance(spark, sf_dir):
     return robustness.link_importance(used, links).select(*robustness.LINK, *r6("importance"))
 
 
-@query(f"""SELECT target_year, round((pre+post)/2,6) AS r2_baseline, round(brk,6) AS r2_break, round((pre+post)/2-brk,6) AS r2_penalty FROM (SELECT {BASE} AS target_year,
-max(CASE WHEN x_year={BASE - 1} THEN r2 END) AS pre, max(CASE WHEN x_year={BASE} THEN r2 END) AS brk, max(CASE WHEN x_year={BASE + 1} THEN r2 END) AS post FROM
-(SELECT x_year, 1-sum((share_t1-share_t)*(share_t1-share_t))/(var_pop(share_t1)*count(*)) AS r2 FROM pairs GROUP BY 1))""")
+TARGETS = robustness.target_years(FIRST, LAST)
+for _t in TARGETS:
+    if _t != BASE:
+        PARTS |= chain_parts(_t, f"t{_t}_", years=tuple(range(_t - 1, _t + 3))) | panel_parts(_t, f"t{_t}_")
+PARTS["pairs_targets"] = " UNION ALL ".join(f"SELECT {t} AS target_year, * FROM pairs{'' if t == BASE else f't{t}_'} WHERE x_year BETWEEN {t - 1} AND {t + 1}" for t in TARGETS)
+
+
+def _panels_by_target(spark, sf_dir):
+    """Pairs around every revision, each at its own target vintage and groups."""
+    out = None
+    for t in TARGETS:
+        part = panels.year_pairs(_at(spark, sf_dir, t, t - 1, t + 2)).withColumn("target_year", F.lit(t))
+        out = part if out is None else out.unionByName(part)
+    return robustness.panel_summary(robustness.panel_details(out))
+
+
+@query("""SELECT target_year, round((pre+post)/2,6) AS r2_baseline, round(brk,6) AS r2_break, round((pre+post)/2-brk,6) AS r2_penalty, round(mae_brk-(mae_pre+mae_post)/2,6) AS mae_excess FROM (SELECT target_year,
+max(CASE WHEN x_year=target_year-1 THEN r2 END) AS pre, max(CASE WHEN x_year=target_year THEN r2 END) AS brk, max(CASE WHEN x_year=target_year+1 THEN r2 END) AS post,
+max(CASE WHEN x_year=target_year-1 THEN mae END) AS mae_pre, max(CASE WHEN x_year=target_year THEN mae END) AS mae_brk, max(CASE WHEN x_year=target_year+1 THEN mae END) AS mae_post FROM
+(SELECT target_year, x_year, 1-sum((share_t1-share_t)*(share_t1-share_t))/(var_pop(share_t1)*count(*)) AS r2, avg(abs(share_t1-share_t)) AS mae FROM pairs_targets GROUP BY 1,2) GROUP BY 1)""")
 def revision_panels(spark, sf_dir):
-    pairs = panels.year_pairs(_base(spark, sf_dir)[4]).withColumn("target_year", F.lit(BASE))
-    return robustness.panel_summary(robustness.panel_details(pairs)).select("target_year", *r6("r2_baseline", "r2_break", "r2_penalty"))
+    return _panels_by_target(spark, sf_dir).select("target_year", *r6("r2_baseline", "r2_break", "r2_penalty", "mae_excess"))
 
 
 @query()
 def revision_validation(spark, sf_dir):
-    pairs = panels.year_pairs(_base(spark, sf_dir)[4]).withColumn("target_year", F.lit(BASE))
-    summary = robustness.panel_summary(robustness.panel_details(pairs))
-    stability = link_stability(spark, sf_dir).where("direction = 'a_to_b'")
-    weigh = F.sum(F.col("w_range") * F.col("importance")) / F.sum("importance")
-    instability = stability.groupBy(F.substring("period", 5, 4).cast("int").alias("target_year")).agg(weigh.alias("instability"))
-    years = spark.createDataFrame([(y,) for y in robustness.target_years(FIRST, LAST)], "target_year int")
+    """All target years, with the instability of 20 refits; rows only (a solver)."""
+    summary = _panels_by_target(spark, sf_dir)
+    used, links = _link_runs(spark, sf_dir)
+    links = links.where("direction = 'a_to_b'")
+    weighed = robustness.weighted_instability(links, robustness.link_importance(used, links), ("period",))
+    instability = weighed.select(F.substring("period", 5, 4).cast("int").alias("target_year"), "instability")
+    years = spark.createDataFrame([(y,) for y in TARGETS], "target_year int")
     return robustness.revision_validation(years, summary, instability)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.operators import apply, chain, concordance, estimation, weights
-from vintage.plans.sql import BASE, YEARS
+from vintage.plans import harmonise
+from vintage.plans.sql import BASE, PARTS, YEARS, step_of
 from vintage.sources import fixture
 from vintage.sources.storage import checkpointed
 
@@ -41,21 +42,27 @@ def groups_of(spark: SparkSession, sf_dir: str) -> concordance.Groups:
     return concordance.build_groups(checkpointed(fixture.edges(spark, sf_dir)))
 
 
-def uniform_steps(edges: DataFrame) -> DataFrame:
-    """Solver-free step weights: 1/k over a code's k links, both directions."""
+def uniform_steps(edges: DataFrame, measure: str = "VALUE_EUR") -> DataFrame:
+    """Solver-free step weights, both directions: 1/k over a code's k links;
+    for quantities the first link has twice the weight of each other one."""
     e = concordance.distinct_edges(edges)
     out = None
     for d, s, o in (("a_to_b", "a", "b"), ("b_to_a", "b", "a")):
-        k = F.count(F.lit(1)).over(W.partitionBy("period", f"vintage_{s}_code"))
-        part = e.select("period", F.lit(d).alias("direction"), F.col(f"vintage_{s}_code").alias("from_code"), F.col(f"vintage_{o}_code").alias("to_code"), (1.0 / k).alias("weight"))
+        w = W.partitionBy("period", f"vintage_{s}_code")
+        k, first = F.count(F.lit(1)).over(w), F.col(f"vintage_{o}_code") == F.min(f"vintage_{o}_code").over(w)
+        weight = 1.0 / k if measure == "VALUE_EUR" else F.when(first, 2.0).otherwise(1.0) / (k + 1)
+        part = e.select("period", F.lit(d).alias("direction"), F.col(f"vintage_{s}_code").alias("from_code"), F.col(f"vintage_{o}_code").alias("to_code"), weight.alias("weight"))
         out = part if out is None else out.union(part)
-    return out
+    return out.withColumn("measure", F.lit(measure))
 
 
-def uniform_chains(spark: SparkSession, sf_dir: str, measures: list[str] = ["VALUE_EUR"], target: int = BASE) -> chain.Chained:  # noqa: B006
-    steps = uniform_steps(fixture.edges(spark, sf_dir)).crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in measures], "measure string")))
+def uniform_chains(spark: SparkSession, sf_dir: str, measures: list[str] = ["VALUE_EUR"], target: int = BASE, first: int = YEARS[0], last: int = YEARS[-1]) -> chain.Chained:  # noqa: B006
+    edges = fixture.edges(spark, sf_dir)
+    steps = uniform_steps(edges, measures[0])
+    for m in measures[1:]:
+        steps = steps.unionByName(uniform_steps(edges, m))
     steps, universe = checkpointed(steps), checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
-    return chain.chain_range(steps, universe, YEARS[0], YEARS[-1], target, measures, final=False)
+    return chain.chain_range(steps, universe, first, last, target, measures, final=False)
 
 
 # ------------------------------------------------------- correspondence
@@ -147,8 +154,8 @@ def code_groups(spark, sf_dir):
 # ----------------------------------------------------------- estimation
 def _shares(spark, sf_dir):
     g = groups_of(spark, sf_dir)
-    shares = estimation.side_shares(fixture.trade(spark, sf_dir), g, measures=BOTH)
-    return g, shares, estimation.group_totals(shares, g, BOTH)
+    shares = checkpointed(estimation.side_shares(fixture.trade(spark, sf_dir), g, measures=BOTH))
+    return g, shares, checkpointed(estimation.group_totals(shares, g, BOTH))
 
 
 @query("SELECT period, direction, measure, group_id, side, code, REPORTER, PARTNER, round(value,2) AS value, round(share,6) AS share FROM sh")
@@ -201,28 +208,89 @@ def pure_split_weights(spark, sf_dir):
 
 @query()
 def fitted_weights(spark, sf_dir):
-    """Row-stochastic weights on the allowed links; rows only (a solver)."""
+    """Row-stochastic weights on the allowed links; rows only (a solver). The
+    next two queries compare it with closed forms."""
     out = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))
     return out["weights_ambiguous"].select(*estimation.KEY, "from_code", "to_code", F.round("weight", 4).alias("weight"), "status")
 
 
+def _fits(spark, sf_dir):
+    """Solver weights of the value measure, with moments."""
+    g = groups_of(spark, sf_dir)
+    out = estimation.estimate(fixture.trade(spark, sf_dir), g, ("VALUE_EUR",))
+    return g, checkpointed(out["moments"]), out["weights_ambiguous"]
+
+
+@query(BODIES["pure_split_weights"].replace("FROM mom m", "FROM (SELECT * FROM mom WHERE measure='VALUE_EUR') m").replace(", 6) AS weight", ", 4) AS weight"))
+def fitted_split_weights(spark, sf_dir):
+    """The solver's weights of groups with one from-code, against the closed form."""
+    g, _, fitted = _fits(spark, sf_dir)
+    single = concordance.oriented(g.edges).groupBy("period", "direction", "group_id").agg(F.countDistinct("from_code").alias("n")).where("n = 1").drop("n")
+    return fitted.join(single, ["period", "direction", "group_id"], "left_semi").select(*estimation.KEY, "from_code", "to_code", F.round("weight", 4).alias("weight"))
+
+
+# groups of two from-codes and two to-codes with all four links: B = [[p, 1-p], [q, 1-q]] minimises
+# g = a p^2 + 2 b p q + d q^2 - p e - q f over the unit square, with M = [[a, b], [b, d]] and (e, f) = M 1 + n1 - n2;
+# the minimum is inside or on one of four edges (with their ends), so all are tried
+PARTS |= {
+    "sq_groups": """SELECT period, direction, group_id, min(from_code) AS f1, max(from_code) AS f2, min(to_code) AS t1, max(to_code) AS t2 FROM ori
+  GROUP BY 1,2,3 HAVING count(DISTINCT from_code)=2 AND count(DISTINCT to_code)=2 AND count(*)=4""",
+    "sq_terms": """SELECT m.period, m.direction, m.measure, m.group_id, f1, f2, t1, t2,
+  coalesce(sum(CASE WHEN kind='m' AND i=f1 AND j=f1 THEN value END),0) AS a, coalesce(sum(CASE WHEN kind='m' AND i=f1 AND j=f2 THEN value END),0) AS b, coalesce(sum(CASE WHEN kind='m' AND i=f2 AND j=f2 THEN value END),0) AS d,
+  coalesce(sum(CASE WHEN kind='n' AND i=f1 AND j=t1 THEN value WHEN kind='n' AND i=f1 AND j=t2 THEN -value END),0) AS n1, coalesce(sum(CASE WHEN kind='n' AND i=f2 AND j=t1 THEN value WHEN kind='n' AND i=f2 AND j=t2 THEN -value END),0) AS n2
+  FROM mom m JOIN sq_groups USING (period, direction, group_id) WHERE measure='VALUE_EUR' GROUP BY ALL""",
+    "sq_good": "SELECT *, a+b+n1 AS e, b+d+n2 AS f FROM sq_terms WHERE a*d-b*b > 0.05*a*d",
+    "sq_tries": """SELECT *, (d*e-b*f)/(2*(a*d-b*b)) AS p, (a*f-b*e)/(2*(a*d-b*b)) AS q FROM sq_good
+  UNION ALL SELECT *, 0, greatest(0, least(1, f/(2*d))) FROM sq_good UNION ALL SELECT *, 1, greatest(0, least(1, (f-2*b)/(2*d))) FROM sq_good
+  UNION ALL SELECT *, greatest(0, least(1, e/(2*a))), 0 FROM sq_good UNION ALL SELECT *, greatest(0, least(1, (e-2*b)/(2*a))), 1 FROM sq_good""",
+    "sq_best": """SELECT *, row_number() OVER (PARTITION BY period, direction, measure, group_id ORDER BY a*p*p+2*b*p*q+d*q*q-p*e-q*f) AS k FROM sq_tries WHERE p BETWEEN 0 AND 1 AND q BETWEEN 0 AND 1""",
+}
+
+
+@query("""SELECT period, direction, measure, group_id, unnest([f1, f1, f2, f2]) AS from_code, unnest([t1, t2, t1, t2]) AS to_code, unnest([round(p,3), round(1-p,3), round(q,3), round(1-q,3)]) AS weight FROM sq_best WHERE k=1""")
+def fitted_square_weights(spark, sf_dir):
+    """The solver's weights of 2 x 2 groups with all links whose from-codes
+    have well told apart trade, against the minimum over all faces."""
+    g, moments, fitted = _fits(spark, sf_dir)
+    size = concordance.oriented(g.edges).groupBy("period", "direction", "group_id").agg(F.countDistinct("from_code").alias("nf"), F.countDistinct("to_code").alias("nt"), F.count(F.lit(1)).alias("n"))
+    m = moments.where("kind = 'm'").groupBy(*estimation.KEY).agg(
+        F.sum(F.when(F.col("i") < F.col("j"), F.col("value"))).alias("b"), F.min(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("a"),
+        F.max(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("d"), F.count(F.when(F.col("i") == F.col("j"), 1)).alias("k"),
+    )
+    b = F.coalesce("b", F.lit(0.0))
+    good = m.where((F.col("k") == 2) & (F.col("a") * F.col("d") - b * b > 0.05 * F.col("a") * F.col("d"))).select(*estimation.KEY)
+    rows = fitted.join(size.where("nf = 2 and nt = 2 and n = 4"), ["period", "direction", "group_id"], "left_semi").join(good, estimation.KEY, "left_semi")
+    return rows.select(*estimation.KEY, "from_code", "to_code", F.round("weight", 3).alias("weight"))
+
+
 @query()
 def fit_diagnostics(spark, sf_dir):
     out = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))
     return out["diagnostics"]
 
 
-@query("""SELECT t.period, t.direction, t.measure, count(*) AS n_groups, count(CASE WHEN skip_reason IS NULL THEN 1 END) AS n_with_data, count(CASE WHEN skip_reason IS NULL THEN 1 END) AS n_solved,
-CAST(0 AS BIGINT) AS n_failed, count(skip_reason) AS n_skipped, CAST(sum(n_rows_a) AS BIGINT) AS n_rows_a, CAST(sum(n_rows_b) AS BIGINT) AS n_rows_b FROM tots t GROUP BY 1,2,3""")
+@query("""SELECT period, direction, measure, count(*) AS n_groups, count(CASE WHEN skip_reason IS NULL THEN 1 END) AS n_with_data, count(CASE WHEN skip_reason IS NULL AND n_rows_a%3<>0 THEN 1 END) AS n_solved,
+count(CASE WHEN skip_reason IS NULL AND n_rows_a%3=0 THEN 1 END) AS n_failed, count(skip_reason) AS n_skipped, CAST(sum(n_rows_a) AS BIGINT) AS n_rows_a, CAST(sum(n_rows_b) AS BIGINT) AS n_rows_b,
+round(max(CASE WHEN skip_reason IS NULL THEN (n_rows_b%7)/100.0 END),6) AS deviation_max FROM tots GROUP BY 1,2,3""")
 def estimation_summary(spark, sf_dir):
-    out = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))
-    return out["summary"].select("period", "direction", "measure", "n_groups", "n_with_data", "n_solved", "n_failed", "n_skipped", "n_rows_a", "n_rows_b")
+    """The run summary over stated outcomes: fits of groups whose rows divide by three count as failed."""
+    _, _, totals = _shares(spark, sf_dir)
+    ok = totals.where("skip_reason is null")
+    outcome = ok.select(*estimation.KEY, F.when(F.col("n_rows_a") % 3 == 0, "max_iter").otherwise("solved").alias("status"), ((F.col("n_rows_b") % 7) / 100.0).alias("max_row_sum_deviation"))
+    out = estimation.run_summary(totals, outcome)
+    return out.select("period", "direction", "measure", "n_groups", "n_with_data", "n_solved", "n_failed", "n_skipped", "n_rows_a", "n_rows_b", *r6("deviation_max"))
 
 
-@query()
+@query("""SELECT period, direction, measure, count(*) AS n_from, CAST(sum(k) AS BIGINT) AS n_links, round(sum(1.0),6) AS total FROM (
+ SELECT o.period, o.direction, m.measure, o.from_code, CASE WHEN a.group_id IS NOT NULL THEN count(*) ELSE 1 END AS k FROM ori o CROSS JOIN (SELECT 'VALUE_EUR' AS measure UNION ALL SELECT 'QUANTITY_KG') m
+ LEFT JOIN (SELECT period, direction, measure, group_id FROM tots WHERE skip_reason IS NULL) a ON a.period=o.period AND a.direction=o.direction AND a.measure=m.measure AND a.group_id=o.group_id
+ GROUP BY o.period, o.direction, m.measure, o.from_code, a.group_id HAVING a.group_id IS NOT NULL OR count(*)=1) GROUP BY 1,2,3""")
 def step_weights(spark, sf_dir):
-    """Ambiguous and deterministic weights together, ambiguous ones winning."""
-    return estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))["weights"]
+    """Ambiguous and deterministic weights together, ambiguous ones winning:
+    codes, links (zero weights too) and the sum of the weights of each step."""
+    w = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))["weights"]
+    by = w.groupBy("period", "direction", "measure", "from_code").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("s"))
+    return by.groupBy("period", "direction", "measure").agg(F.count(F.lit(1)).alias("n_from"), F.sum("k").alias("n_links"), F.round(F.sum("s"), 6).alias("total"))
 
 
 # -------------------------------------------------------------- weights
@@ -269,20 +337,57 @@ def chained_weights(spark, sf_dir):
     return c.select("origin_year", "from_code", "to_code", *r6("weight"))
 
 
-@query(f"""SELECT origin_year, CASE WHEN origin_year<{BASE} THEN 'a_to_b' ELSE 'b_to_a' END AS direction, count(*) AS n_rows_out, count(DISTINCT from_code) AS n_from_out FROM chain WHERE origin_year<>{BASE} GROUP BY 1""")
-def chain_diagnostics(spark, sf_dir):
-    return uniform_chains(spark, sf_dir).diagnostics.select("origin_year", "direction", "n_rows_out", "n_from_out")
+def _diagnostics_sql() -> str:
+    out = []
+    for y in YEARS:
+        if y != BASE:
+            sign = 1 if y < BASE else -1
+            before = f"s{y}" if y + sign == BASE else f"c{y + sign}"
+            out.append(
+                f"SELECT {y} AS origin_year, '{step_of(y, sign)[1]}' AS direction, '{step_of(y, sign)[0]}' AS period, {abs(y - BASE) - 1} AS step_index, "
+                f"(SELECT count(*) FROM {before}) AS n_rows_in, (SELECT count(DISTINCT from_code) FROM {before}) AS n_from_in, (SELECT count(*) FROM s{y}) AS n_rows_step, "
+                f"(SELECT count(*) FROM c{y}) AS n_rows_out, (SELECT count(DISTINCT from_code) FROM c{y}) AS n_from_out, "
+                f"(SELECT round(max(abs(s-1)),6) FROM (SELECT sum(weight) AS s FROM c{y} GROUP BY from_code)) AS deviation"
+            )
+    return " UNION ALL ".join(out)
 
 
-@query("""SELECT origin_year, code, reason FROM (
-  SELECT CAST(substr(period,1,4) AS INT) AS origin_year, code, 'step_missing_revised' AS reason FROM rev WHERE direction='a_to_b' AND period < '1998')
-  WHERE (origin_year, code) IN (SELECT year, code FROM univ) AND code NOT LIKE '0%'""")
+@query(_diagnostics_sql())
+def chain_diagnostics(spark, sf_dir):
+    out = uniform_chains(spark, sf_dir).diagnostics
+    return out.select("origin_year", "direction", "period", "step_index", "n_rows_in", "n_from_in", "n_rows_step", "n_rows_out", "n_from_out", *r6("deviation"))
+
+
+def _unresolved_sql() -> str:
+    """Links of a third of the codes are left out: of those codes the revised
+    ones have no step, and are not carried either."""
+    kept, out = "CAST(from_code AS BIGINT)%3<>0", []
+    for sign, walk in ((1, range(BASE - 1, YEARS[0] - 1, -1)), (-1, range(BASE + 1, YEARS[-1] + 1))):
+        later = None
+        for y in walk:
+            p, d = step_of(y, sign)
+            rev = f"(SELECT code FROM rev WHERE period='{p}' AND direction='{d}')"
+            step = f"(SELECT from_code, to_code FROM uni WHERE period='{p}' AND direction='{d}' AND {kept})"
+            PARTS[f"ks{y}"] = f"SELECT from_code, to_code FROM {step} UNION ALL SELECT code, code FROM univ WHERE year={y} AND code NOT IN (SELECT from_code FROM {step}) AND code NOT IN {rev}"
+            out.append(f"SELECT {y} AS origin_year, code, 'step_missing_revised' AS reason FROM univ WHERE year={y} AND code NOT IN (SELECT from_code FROM {step}) AND code IN {rev}")
+            if later is None:
+                PARTS[f"kf{y}"] = f"SELECT DISTINCT from_code FROM ks{y}"
+            else:
+                after = "(SELECT code FROM rev WHERE period='{}' AND direction='{}')".format(*step_of(later, sign))
+                gone = f"(to_code NOT IN (SELECT from_code FROM kf{later}) AND to_code IN {after})"
+                PARTS[f"kf{y}"] = f"SELECT DISTINCT from_code FROM ks{y} WHERE NOT {gone}"
+                out.append(f"SELECT DISTINCT {y}, to_code, 'missing_mid_revised' FROM ks{y} WHERE {gone}")
+            later = y
+    return " UNION ALL ".join(out)
+
+
+@query(_unresolved_sql())
 def unresolved_codes(spark, sf_dir):
-    """Revised codes whose step lacks weights: none, as every link has one."""
+    """Revised codes whose step lacks weights, where a third of the codes has none."""
     edges = fixture.edges(spark, sf_dir)
-    steps = checkpointed(uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR")))
+    steps = checkpointed(uniform_steps(edges).where("cast(from_code as bigint) % 3 <> 0"))
     universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
-    revised = concordance.revised_codes(concordance.build_groups(edges))
+    revised = checkpointed(concordance.revised_codes(concordance.build_groups(edges)))
     out = chain.chain_range(steps, universe, YEARS[0], YEARS[-1], BASE, ["VALUE_EUR"], revised, final=False)
     return out.unresolved.select("origin_year", "code", "reason")
 
@@ -293,21 +398,30 @@ def unresolved_codes(spark, sf_dir):
  LEFT JOIN s1997 r ON l.to_code=r.from_code GROUP BY 1,2)""")
 def chain_single_origin(spark, sf_dir):
     edges = fixture.edges(spark, sf_dir)
-    steps = checkpointed(uniform_steps(edges).withColumn("measure", F.lit("VALUE_EUR")))
+    steps = checkpointed(uniform_steps(edges))
     universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
     return chain.chain_origin(steps, universe, 1995, BASE, ["VALUE_EUR"]).weights.select("from_code", "to_code", *r6("weight"))
 
 
 # ------------------------------------------------------------ re-coding
-_ID = "t.REPORTER, t.PARTNER, t.TRADE_TYPE, t.FLOW, t.PERIOD"
-_CODE = "coalesce(c.to_code, t.PRODUCT_NC)"
+_ID = "REPORTER, PARTNER, TRADE_TYPE, FLOW, PERIOD"
+_TAGS = {"VALUE_EUR": "chain", "QUANTITY_KG": "chainq"}
+_WIDE = {f"{m}_w_{n}": (m, t) for t, n in (("VALUE_EUR", "value"), ("QUANTITY_KG", "quantity")) for m in BOTH}
 
 
-def _recode_sql(table: str, year: str, cols: str) -> str:
-    return f"SELECT {_ID}, {_CODE} AS PRODUCT_NC, {cols} FROM {table} t LEFT JOIN chain c ON c.origin_year={year} AND c.from_code=t.PRODUCT_NC GROUP BY {_ID}, {_CODE}"
+def _recoded(table: str, year: str, outputs: dict[str, tuple[str, str]]) -> str:
+    """Outputs (measure, tag of its weights) by ids and new code, not rounded."""
+    rows = [
+        f"SELECT t.*, coalesce(c.to_code, t.PRODUCT_NC) AS code, "
+        + ", ".join(f"{f't.{m}*coalesce(c.weight,1.0)' if tag == own else '0.0'} AS o_{name}" for name, (m, own) in outputs.items())
+        + f" FROM {table} t LEFT JOIN {chain_} c ON c.origin_year={year} AND c.from_code=t.PRODUCT_NC"
+        for tag, chain_ in _TAGS.items() if tag in {own for _, own in outputs.values()}
+    ]
+    return f"SELECT {_ID}, code AS PRODUCT_NC, " + ", ".join(f"sum(o_{n}) AS {n}" for n in outputs) + f" FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL"
 
 
-_V, _Q = "round(sum(t.VALUE_EUR*coalesce(c.weight,1.0))+1e-6,2)", "round(sum(t.QUANTITY_KG*coalesce(c.weight,1.0))+1e-6,2)"
+def _recode_sql(table: str, year: str, outputs: dict[str, tuple[str, str]]) -> str:
+    return f"SELECT {_ID}, PRODUCT_NC, " + ", ".join(f"round({n}+1e-6,2) AS {n}" for n in outputs) + f" FROM ({_recoded(table, year, outputs)})"
 
 
 def _applied(spark, sf_dir, monthly=False):
@@ -320,7 +434,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _strategy_query(strategy: str) -> None:
-    @query(_recode_sql("trade", "t.PERIOD", f"{_V} AS VALUE_EUR, {_Q} AS QUANTITY_KG"), name=f"apply_annual_{strategy.removeprefix('weights_')}")
+    @query(_recode_sql("trade", "t.PERIOD", {m: (m, weights.STRATEGIES[strategy][m]) for m in BOTH}), name=f"apply_annual_{strategy.removeprefix('weights_')}")
     def run(spark, sf_dir):
         trade, w = _applied(spark, sf_dir)
         return _rounded(apply.apply_strategy(trade, w, strategy))
@@ -329,8 +443,6 @@ def _strategy_query(strategy: str) -> None:
 for _s in weights.STRATEGIES:
     _strategy_query(_s)
 
-_WIDE = f"{_V} AS VALUE_EUR_w_value, {_Q} AS QUANTITY_KG_w_value, {_V} AS VALUE_EUR_w_quantity, {_Q} AS QUANTITY_KG_w_quantity"
-
 
 @query(_recode_sql("trade", "t.PERIOD", _WIDE))
 def apply_wide(spark, sf_dir):
@@ -344,24 +456,63 @@ def apply_monthly(spark, sf_dir):
     return _rounded(apply.apply_wide(trade, w))
 
 
+@query(_recode_sql("trade", "t.PERIOD", {"QUANTITY_KG": ("QUANTITY_KG", "QUANTITY_KG")}))
+def recode_one_measure(spark, sf_dir):
+    trade, w = _applied(spark, sf_dir)
+    return _rounded(apply.recode(trade, w.where("measure = 'QUANTITY_KG'"), "QUANTITY_KG", ["origin_year"]))
+
+
 @query(f"""SELECT REPORTER, PARTNER, TRADE_TYPE, PRODUCT_NC, FLOW, PERIOD, round(VALUE_EUR+1e-6,2) AS VALUE_EUR_w_value, round(QUANTITY_KG+1e-6,2) AS QUANTITY_KG_w_value,
 round(VALUE_EUR+1e-6,2) AS VALUE_EUR_w_quantity, round(QUANTITY_KG+1e-6,2) AS QUANTITY_KG_w_quantity FROM trade WHERE PERIOD={BASE}""")
 def apply_target_year(spark, sf_dir):
     return _rounded(apply.identity_wide(fixture.trade(spark, sf_dir).where(F.col("PERIOD") == BASE)))
 
 
-@query(f"""SELECT i.PERIOD, n_rows_in, n_codes_in, n_rows_out, n_codes_out FROM (SELECT PERIOD, count(*) AS n_rows_in, count(DISTINCT PRODUCT_NC) AS n_codes_in FROM trade GROUP BY 1) i
-JOIN (SELECT PERIOD, count(*) AS n_rows_out, count(DISTINCT PRODUCT_NC) AS n_codes_out FROM ({_recode_sql("trade", "t.PERIOD", "1 AS one")}) GROUP BY 1) o ON o.PERIOD=i.PERIOD""")
+@query(f"""SELECT i.PERIOD, n_rows_in, n_codes_in, round(v_in+1e-3,1) AS value_in, n_rows_out, n_codes_out, round(v_out+1e-3,1) AS value_out, coalesce(n_codes_missing,0) AS n_codes_missing
+FROM (SELECT PERIOD, count(*) AS n_rows_in, count(DISTINCT PRODUCT_NC) AS n_codes_in, sum(VALUE_EUR) AS v_in FROM trade GROUP BY 1) i
+JOIN (SELECT PERIOD, count(*) AS n_rows_out, count(DISTINCT PRODUCT_NC) AS n_codes_out, sum(VALUE_EUR_w_quantity) AS v_out FROM ({_recoded("trade", "t.PERIOD", _WIDE)}) GROUP BY 1) o ON o.PERIOD=i.PERIOD
+LEFT JOIN (SELECT year, count(*) AS n_codes_missing FROM univ WHERE (CAST(code AS BIGINT)%5=0) GROUP BY 1) m ON m.year=i.PERIOD""")
 def apply_summary(spark, sf_dir):
+    """Weights of a fifth of the codes are left out of the summary's table, so that some are missing."""
     trade, w = _applied(spark, sf_dir)
-    return apply.apply_summary(trade, apply.apply_wide(trade, w), w).select("PERIOD", "n_rows_in", "n_codes_in", "n_rows_out", "n_codes_out")
+    out = apply.apply_summary(trade, apply.apply_wide(trade, w), w.where("cast(from_code as bigint) % 5 <> 0"))
+    return out.select("PERIOD", "n_rows_in", "n_codes_in", F.round(F.col("VALUE_EUR_in") + 1e-3, 1).alias("value_in"), "n_rows_out", "n_codes_out", F.round(F.col("VALUE_EUR_w_quantity_out") + 1e-3, 1).alias("value_out"), "n_codes_missing")
+
+
+_CONSERVED = """SELECT PERIOD, o.output, round(CASE WHEN o.output LIKE 'VALUE%' THEN sum(VALUE_EUR) ELSE sum(QUANTITY_KG) END+1e-3,1) AS total_in, round(CASE WHEN o.output LIKE 'VALUE%' THEN sum(VALUE_EUR) ELSE sum(QUANTITY_KG) END+1e-3,1) AS total_out
+FROM trade CROSS JOIN (SELECT unnest(['VALUE_EUR_w_value','QUANTITY_KG_w_value','VALUE_EUR_w_quantity','QUANTITY_KG_w_quantity']) AS output) o GROUP BY 1,2"""
 
 
-@query("""SELECT PERIOD, o.output, round(CASE WHEN o.output LIKE 'VALUE%' THEN sum(VALUE_EUR) ELSE sum(QUANTITY_KG) END+1e-3,1) AS total_in, round(CASE WHEN o.output LIKE 'VALUE%' THEN sum(VALUE_EUR) ELSE sum(QUANTITY_KG) END+1e-3,1) AS total_out
-FROM trade CROSS JOIN (SELECT unnest(['VALUE_EUR_w_value','QUANTITY_KG_w_value','VALUE_EUR_w_quantity','QUANTITY_KG_w_quantity']) AS output) o GROUP BY 1,2""")
+def _conserved(rows: DataFrame) -> DataFrame:
+    return rows.select("PERIOD", "output", F.round(F.col("total_in") + 1e-3, 1).alias("total_in"), F.round(F.col("total_out") + 1e-3, 1).alias("total_out"))
+
+
+@query(_CONSERVED)
 def conservation(spark, sf_dir):
     trade, w = _applied(spark, sf_dir)
-    return apply.conservation(trade, apply.apply_wide(trade, w)).select("PERIOD", "output", F.round(F.col("total_in") + 1e-3, 1).alias("total_in"), F.round(F.col("total_out") + 1e-3, 1).alias("total_out"))
+    return _conserved(apply.conservation(trade, apply.apply_wide(trade, w)))
+
+
+@query(_CONSERVED)
+def harmonise_conservation(spark, sf_dir):
+    """The whole composition with fitted weights: what goes in comes out."""
+    trade = checkpointed(fixture.trade(spark, sf_dir))
+    return _conserved(harmonise.harmonise(trade, fixture.edges(spark, sf_dir), BASE, YEARS[0], YEARS[-1])["conservation"])
+
+
+@query(_recode_sql("trade", "t.PERIOD", _WIDE))
+def harmonise_given_steps(spark, sf_dir):
+    """The whole composition from stored step weights."""
+    trade, edges = checkpointed(fixture.trade(spark, sf_dir)), fixture.edges(spark, sf_dir)
+    steps = checkpointed(uniform_steps(edges).unionByName(uniform_steps(edges, "QUANTITY_KG")))
+    return _rounded(harmonise.harmonise(trade, edges, BASE, YEARS[0], YEARS[-1], steps=steps)["recoded"])
+
+
+@query(f"""SELECT o.yr AS origin_year, m.measure FROM (SELECT DISTINCT yr FROM yrs) o CROSS JOIN (SELECT 'VALUE_EUR' AS measure UNION ALL SELECT 'QUANTITY_KG') m WHERE NOT (o.yr%2=1 AND m.measure='VALUE_EUR')""")
+def missing_weights(spark, sf_dir):
+    """Requested origins and measures that value chains of odd years lack."""
+    w = uniform_chains(spark, sf_dir).weights.where("origin_year % 2 = 1")
+    return harmonise.missing_weights(w, list(YEARS), BOTH)
 
 
 @query("SELECT year, code, round(value+1e-6,2) AS value FROM btot")
@@ -384,9 +535,10 @@ def product_totals(spark, sf_dir):
 @query()
 def recode_1995_to_1996(spark, sf_dir):
     """The flagship: 1995 trade in the 1996 vintage, value by code, with fitted weights."""
-    trade = fixture.trade(spark, sf_dir)
-    steps = estimation.estimate(trade, groups_of(spark, sf_dir))["weights"]
-    w = steps.where("period = '19951996' and direction = 'a_to_b'").select(F.lit(1995).alias("origin_year"), "measure", "from_code", "to_code", "weight")
+    trade = checkpointed(fixture.trade(spark, sf_dir).where("PERIOD in (1995, 1996)"))
+    groups = concordance.build_groups(checkpointed(fixture.edges(spark, sf_dir).where("period = '19951996'")))
+    steps = estimation.estimate(trade, groups, ("VALUE_EUR",))["weights"].where("direction = 'a_to_b'")
+    w = steps.select(F.lit(1995).alias("origin_year"), "measure", "from_code", "to_code", "weight")
     rows = apply.with_year(trade.where("PERIOD = 1995"))
     out = apply.apply_strategy(rows, w, "weights_value")
     return out.groupBy("PRODUCT_NC").agg(F.round(F.sum("VALUE_EUR"), 2).alias("value_eur"), F.count(F.lit(1)).alias("n_rows"))

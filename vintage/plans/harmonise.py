@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage.operators import apply, chain, concordance, estimation
-from vintage.operators.weights import finalise, missing_codes
+from vintage.operators.weights import assert_empty, finalise, invalid, missing_codes
 from vintage.sources.storage import checkpointed
 
 KEYS = ["origin_year", "target_year", "direction", "measure"]
@@ -18,26 +18,40 @@ def harmonise(
     do_apply: bool = True, flow: str = "1",
 ) -> dict[str, DataFrame]:
     """Every stage can be skipped by giving its result (``steps``, ``chains``)
-    or switched off. Returns the tables that were made. Z1-Z3, Z5-Z7"""
+    or switched off. Returns the tables that were made. Z1-Z3, Z5-Z7
+
+    Refused, with an error that names some rows: years of links that do not
+    follow each other, unsolved fits, weights that cannot be finalised, origin
+    codes that a chain lacks and, if ``strict``, revised codes without a step
+    or chain; origins and measures without any weights; and, unless identity
+    is assumed, codes of the facts without weights."""
+    assert_empty(concordance.nonadjacent(edges), "links between years that do not follow each other")
     out: dict[str, DataFrame] = {}
     groups = concordance.build_groups(edges)
     out["groups"] = groups.summary
     universe = checkpointed(concordance.code_universe(trade))
+    revised = checkpointed(concordance.revised_codes(groups)) if strict else None
     if chains is None:
         if steps is None:
             made = estimation.estimate(trade, groups, measures, flow)
             out |= {k: made[k] for k in ("diagnostics", "summary")}
             steps = checkpointed(made["weights"])
         out["steps"] = steps
-        revised = concordance.revised_codes(groups) if strict else None
         made = chain.chain_range(steps, universe, first, last, target, list(measures), revised, final=False)
-        chains = made.weights
         out |= {"chain_diagnostics": made.diagnostics, "unresolved": made.unresolved}
+        chain.assert_complete(made, universe)
+        chains = made.weights
     chains = checkpointed(finalise(chains, KEYS))
+    assert_empty(invalid(chains, KEYS), "chained weights that are not valid")
     out["chains"] = chains
     if do_apply:
         rows = apply.with_year(trade).where(F.col("origin_year").between(first, last))
-        out["recoded"] = apply.apply_wide(rows, chains, assume_identity)
+        origins = [r[0] for r in universe.where(F.col("year").between(first, last)).select("year").distinct().collect()]
+        assert_empty(missing_weights(chains, origins, list(measures)), "origins and measures without weights")
+        if strict:
+            steps_of = F.when(F.col("direction") == "a_to_b", F.substring("period", 1, 4).cast("int") < target).otherwise(F.substring("period", 5, 4).cast("int") > target)
+            assert_empty(apply.unaccepted(chains, revised.where(steps_of), universe.where(F.col("year").between(first, last))), "revised codes that a chain lacks")
+        out["recoded"] = checkpointed(apply.apply_wide(rows, chains, assume_identity))
         out["apply_summary"] = apply.apply_summary(rows, out["recoded"], chains)
         out["conservation"] = apply.conservation(rows, out["recoded"])
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from vintage.sources.fixture import CTES
 
 YEARS = tuple(range(1995, 2002))
@@ -26,6 +28,7 @@ PARTS: dict[str, str] = {
     "uni": """SELECT period, 'a_to_b' AS direction, vintage_a_code AS from_code, vintage_b_code AS to_code, 1.0/count(*) OVER (PARTITION BY period, vintage_a_code) AS weight FROM edges
         UNION ALL SELECT period, 'b_to_a', vintage_b_code, vintage_a_code, 1.0/count(*) OVER (PARTITION BY period, vintage_b_code) FROM edges""",
     "cg": """SELECT DISTINCT period, 'a' AS side, vintage_a_year AS year, vintage_a_code AS code, group_id FROM ge UNION SELECT DISTINCT period, 'b', vintage_b_year, vintage_b_code, group_id FROM ge""",
+    "uniq": """SELECT period, direction, from_code, to_code, CASE WHEN to_code=min(to_code) OVER w THEN 2.0 ELSE 1.0 END/(count(*) OVER w + 1) AS weight FROM uni WINDOW w AS (PARTITION BY period, direction, from_code)""",
     "lng": """SELECT REPORTER, PARTNER, PRODUCT_NC AS code, CAST(PERIOD AS STRING) AS year, 'VALUE_EUR' AS measure, VALUE_EUR AS val FROM trade WHERE FLOW='1'
         UNION ALL SELECT REPORTER, PARTNER, PRODUCT_NC, CAST(PERIOD AS STRING), 'QUANTITY_KG', QUANTITY_KG FROM trade WHERE FLOW='1'""",
     "sh0": """SELECT c.period, a.direction, l.measure, c.group_id, c.side, c.code, l.REPORTER, l.PARTNER, sum(l.val) AS value
@@ -44,37 +47,57 @@ PARTS: dict[str, str] = {
 }
 
 
-def _chain_parts(target: int) -> dict[str, str]:
-    """c<origin>: chained uniform weights of each origin to the target, right fold."""
-    out = {f"c{target}": f"SELECT code AS from_code, code AS to_code, 1.0 AS weight FROM univ WHERE year={target}"}
-    for sign, years in ((1, range(target - 1, YEARS[0] - 1, -1)), (-1, range(target + 1, YEARS[-1] + 1))):
+def chain_parts(target: int, tag: str = "", uni: str = "uni", years: tuple[int, ...] = YEARS) -> dict[str, str]:
+    """c<tag><origin>: chained weights of each origin to the target, right fold;
+    chain<tag>: all of them."""
+    out = {f"c{tag}{target}": f"SELECT code AS from_code, code AS to_code, 1.0 AS weight FROM univ WHERE year={target}"}
+    for sign, walk in ((1, range(target - 1, years[0] - 1, -1)), (-1, range(target + 1, years[-1] + 1))):
         later = None
-        for y in years:
-            period, direction = (f"{y}{y + 1}", "a_to_b") if sign > 0 else (f"{y - 1}{y}", "b_to_a")
-            step = f"SELECT from_code, to_code, weight FROM uni WHERE period='{period}' AND direction='{direction}'"
-            out[f"s{y}"] = f"{step} UNION ALL SELECT code, code, 1.0 FROM univ WHERE year={y} AND code NOT IN (SELECT from_code FROM uni WHERE period='{period}' AND direction='{direction}')"
-            out[f"c{y}"] = f"SELECT * FROM s{y}" if later is None else (
-                f"SELECT s.from_code, coalesce(c.to_code, s.to_code) AS to_code, sum(s.weight*coalesce(c.weight,1.0)) AS weight FROM s{y} s LEFT JOIN c{later} c ON s.to_code=c.from_code GROUP BY 1,2"
+        for y in walk:
+            period, direction = step_of(y, sign)
+            step = f"SELECT from_code, to_code, weight FROM {uni} WHERE period='{period}' AND direction='{direction}'"
+            out[f"s{tag}{y}"] = f"{step} UNION ALL SELECT code, code, 1.0 FROM univ WHERE year={y} AND code NOT IN (SELECT from_code FROM {uni} WHERE period='{period}' AND direction='{direction}')"
+            out[f"c{tag}{y}"] = f"SELECT * FROM s{tag}{y}" if later is None else (
+                f"SELECT s.from_code, coalesce(c.to_code, s.to_code) AS to_code, sum(s.weight*coalesce(c.weight,1.0)) AS weight FROM s{tag}{y} s LEFT JOIN c{tag}{later} c ON s.to_code=c.from_code GROUP BY 1,2"
             )
             later = y
-    out["chain"] = " UNION ALL ".join(f"SELECT {y} AS origin_year, from_code, to_code, weight FROM c{y}" for y in YEARS)
+    out[f"chain{tag}"] = " UNION ALL ".join(f"SELECT {y} AS origin_year, from_code, to_code, weight FROM c{tag}{y}" for y in years)
     return out
 
 
-PARTS |= _chain_parts(BASE)
-PARTS |= {
-    # totals re-coded to the base vintage
-    "btot": """SELECT p.year, coalesce(c.to_code, p.code) AS code, sum(p.value*coalesce(c.weight,1.0)) AS value FROM ptot p LEFT JOIN chain c ON c.origin_year=p.year AND c.from_code=p.code GROUP BY 1,2""",
-    "sgm": f"""SELECT period, direction, from_code, to_code, group_id FROM ori WHERE period='{BASE - 1}{BASE}' AND direction='a_to_b'""",
-    "smp": f"""SELECT DISTINCT s.vintage_b_code AS code, s.group_id FROM ge s JOIN summ m USING (period, group_id) WHERE s.period='{BASE - 1}{BASE}' AND m.a_to_b_ambiguous""",
-    "bsh0": """SELECT b.year, s.group_id, s.code, coalesce(b.value,0) AS value FROM smp s JOIN btot b ON b.code=s.code""",
-    "bsh": """SELECT *, value/sum(value) OVER (PARTITION BY year, group_id) AS share FROM bsh0""",
-    "pairs": """SELECT x.year AS x_year, y.year AS y_year, x.group_id, x.code, x.share AS share_t, y.share AS share_t1, x.value AS value_x, y.value AS value_y FROM bsh x JOIN bsh y ON x.group_id=y.group_id AND x.code=y.code AND y.year=x.year+1""",
-}
+def step_of(year: int, sign: int) -> tuple[str, str]:
+    return (f"{year}{year + 1}", "a_to_b") if sign > 0 else (f"{year - 1}{year}", "b_to_a")
+
+
+def panel_parts(target: int, tag: str = "") -> dict[str, str]:
+    """Sample, totals, shares and pairs of neighbouring years at the target."""
+    return {
+        f"btot{tag}": f"""SELECT p.year, coalesce(c.to_code, p.code) AS code, sum(p.value*coalesce(c.weight,1.0)) AS value FROM ptot p LEFT JOIN chain{tag} c ON c.origin_year=p.year AND c.from_code=p.code GROUP BY 1,2""",
+        f"smp{tag}": f"""SELECT DISTINCT s.vintage_b_code AS code, s.group_id FROM ge s JOIN summ m USING (period, group_id) WHERE s.period='{target - 1}{target}' AND m.a_to_b_ambiguous""",
+        f"bsh0{tag}": f"""SELECT b.year, s.group_id, s.code, coalesce(b.value,0) AS value FROM smp{tag} s JOIN btot{tag} b ON b.code=s.code""",
+        f"bsh{tag}": f"""SELECT *, value/sum(value) OVER (PARTITION BY year, group_id) AS share FROM bsh0{tag}""",
+        f"pairs{tag}": pairs_of(f"bsh{tag}"),
+    }
+
+
+def pairs_of(shares: str) -> str:
+    return f"""SELECT x.year AS x_year, y.year AS y_year, x.group_id, x.code, x.share AS share_t, y.share AS share_t1, x.value AS value_x, y.value AS value_y FROM {shares} x JOIN {shares} y ON x.group_id=y.group_id AND x.code=y.code AND y.year=x.year+1"""
+
+
+PARTS |= chain_parts(BASE) | chain_parts(BASE, "q", "uniq") | panel_parts(BASE)
 
 
 def statement(body: str) -> str:
-    """A statement with the fixture and all parts in scope (unused ones are
-    not evaluated)."""
-    parts = ",\n".join(f"{name} AS ({text})" for name, text in PARTS.items())
-    return f"WITH RECURSIVE {CTES.strip()},\n{parts}\n{body}"
+    """A statement with the fixture and the parts that it uses in scope."""
+    names = {name.split("(")[0]: name for name in PARTS}
+    used: dict[str, None] = {}  # in order of need
+
+    def need(text: str, within: str = "") -> None:
+        for n in re.findall(r"\w+", text):
+            if n in names and n != within and n not in used:
+                need(PARTS[names[n]], n)
+                used[n] = None
+
+    need(body)
+    parts = [f"{names[n]} AS ({PARTS[names[n]]})" for n in used]
+    return "WITH RECURSIVE " + ",\n".join([CTES.strip(), *parts]) + "\n" + body

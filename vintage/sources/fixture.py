@@ -1,8 +1,9 @@
 """Trade panel and correspondence derived from the given tables.
 
-200 product slots in 50 blocks of four carry a code for each year; a block is
-re-coded at most twice, by one of five patterns. The statement is the same
-text for Spark and for the DuckDB oracle.
+Every row of ``part`` is a product, in blocks of four, and carries a code for
+each year; a block is re-coded at most twice, by one of five patterns. So groups,
+chains and code lists grow with the tables. A code has 8 digits, enough for 25
+million parts. The statement is the same text for Spark and for the DuckDB oracle.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Common table expressions: slot0, yrs, slot1, slot, edges, trade.
 CTES = """
-slot0 AS (SELECT CAST(p_partkey AS INT) s, CAST(floor(p_partkey/4) AS INT) b, CAST(p_partkey % 4 AS INT) r FROM part WHERE p_partkey < 200),
+slot0 AS (SELECT CAST(p_partkey AS BIGINT) s, CAST(floor(p_partkey/4) AS BIGINT) b, CAST(p_partkey % 4 AS INT) r FROM part),
 yrs AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) yr FROM lineitem),
 slot1 AS (SELECT s, b, r, b%5 AS p, yr, CASE WHEN b%5=4 THEN 0 ELSE CAST(floor((yr-1995-(b%3)+2)/3) AS INT) END AS v FROM slot0 CROSS JOIN yrs),
-slot AS (SELECT s, yr, p, v, lpad(CAST(10000*(b+1)+100*v+ CASE
+slot AS (SELECT s, yr, p, v, lpad(CAST(100+16*b+4*v+ CASE
     WHEN p=1 AND v%2=1 THEN 0
     WHEN p=2 AND v%2=0 THEN CAST(floor(r/2) AS INT)
     WHEN p=2 THEN r%2
@@ -30,7 +31,7 @@ trade_rows AS (SELECT concat('C',lpad(CAST(c_nationkey AS STRING),2,'0')) AS REP
     CASE WHEN c_nationkey%5=s_nationkey%5 THEN 'I' ELSE 'E' END AS TRADE_TYPE, code AS PRODUCT_NC, CASE WHEN l_returnflag='A' THEN '2' ELSE '1' END AS FLOW,
     CAST(year(l_shipdate) AS INT) AS yr, CAST(month(l_shipdate) AS INT) AS mon, l_extendedprice, l_quantity
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey
-    JOIN slot ON slot.s=l_partkey%200 AND slot.yr=year(l_shipdate)),
+    JOIN slot ON slot.s=l_partkey AND slot.yr=year(l_shipdate)),
 trade AS (SELECT REPORTER, PARTNER, TRADE_TYPE, PRODUCT_NC, FLOW, yr AS PERIOD, sum(l_extendedprice) AS VALUE_EUR, sum(l_quantity) AS QUANTITY_KG
   FROM trade_rows GROUP BY 1,2,3,4,5,6),
 trade_monthly AS (SELECT REPORTER, PARTNER, TRADE_TYPE, PRODUCT_NC, FLOW, yr*100+mon AS PERIOD, sum(l_extendedprice) AS VALUE_EUR, sum(l_quantity) AS QUANTITY_KG

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table under the shared folder that
     ``spark.checkpoint.dir`` names, and read back: computed once, and safe
-    when executors are lost. Only where the setting is absent (tests, one
-    machine) a folder of our own is used."""
+    when executors are lost. The table goes when the driver ends. Only where all
+    run on one machine (tests) may the setting be absent: then a folder of our
+    own is used; a cluster without it is refused."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-vintage-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/vintage-{uuid.uuid4().hex[:16]}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the cluster's own cleaning applies
+            return
