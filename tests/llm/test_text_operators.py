@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -46,7 +47,72 @@ def test_battery_tells_random_tokens_from_ordinary(documents):
     texts = [f"w {k} z" for k in keys] + [f"w {n} z" for n in names]
     rows = {r.doc_id: r for r in secret_scan.scan(documents(texts)).collect()}
     found = [any(s.kind == "random" for s in rows[i].spans) for i in range(len(texts))]
-    assert sum(found[:40]) >= 34 and sum(found[40:]) <= 1
+    assert sum(found[:40]) >= 34 and sum(found[40:]) <= 0.05 * sum(found)  # LEVEL
+
+
+def plain_p(token):
+    """The battery in plain Python."""
+    core = token.rstrip("=")
+    letters = next((x for _, x in secret_scan.ALPHABETS if set(core) <= set(x)), None)
+    n = len(core)
+    if letters is None or n < secret_scan.CLASSES[0] or n * math.log2(len(letters)) < secret_scan.MIN_BITS:
+        return None
+    k, places = len(letters), [letters.index(c) + 1 for c in core]
+    tail = lambda z: max(0.5 * math.erfc(z / math.sqrt(2)), 1e-20)
+    chi = sum(core.count(c) ** 2 for c in letters) * k / n - n
+    p = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n)))]
+    high = [x > k / 2 for x in places]
+    up, turns = sum(high), sum(a != b for a, b in zip(high, high[1:]))
+    both = 2 * up * (n - up)
+    spread = both * (both - n) / (n * n * (n - 1))
+    p.append(min(1, 2 * tail(abs(turns - both / n) / math.sqrt(spread) if spread > 0 else 9.0)))
+    mean = (k + 1) / 2
+    lag = sum((a - mean) * (b - mean) for a, b in zip(places, places[1:]))
+    p.append(min(1, 2 * tail(abs(lag) / ((k * k - 1) / 12 * math.sqrt(n - 1)))))
+    return 1 - (1 - min(p)) ** 3
+
+
+def test_p_values_equal_plain_python(spark):
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for _, a in secret_scan.ALPHABETS for n in (20, 25, 33, 64, 150)]
+    tokens += ["a" * 30 + "1", "0123456789" * 3, "short1", "thequickbrownfoxjumps2024over", "Q" * 22 + "7==", "a/b_c" * 6, "x" * 19 + "1"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.p_value(F.col("t")).alias("p")).collect()
+    for r in rows:
+        want = plain_p(r.t)
+        assert (r.p is None) == (want is None), r.t
+        if want is not None:
+            assert r.p == pytest.approx(want, abs=2e-6)
+
+
+def test_false_share_of_what_is_reported(documents):
+    rng = random.Random(7)
+    words = "the tion and data file user path index report summer meeting number value change list north".split()
+    secrets = {n: [("".join(rng.choice(a) for _ in range(n)), True) for _ in range(60)] for n, a in ((24, secret_scan.ALPHABETS[7][1]), (32, secret_scan.ALPHABETS[1][1]), (44, secret_scan.ALPHABETS[6][1]), (80, secret_scan.ALPHABETS[8][1]))}
+
+    def ordinary(n):
+        out = ""
+        while len(out) < n:
+            out += rng.choice(words) + rng.choice(["", "", "_", "-", str(rng.randint(1, 2030))])
+        return out[:n] + "7"
+
+    for n in secrets:
+        rows = secrets[n] + [(ordinary(n), False) for _ in range(240)]
+        got = secret_scan.scan(documents([f"see NAME={t} end" for t, _ in rows])).select("doc_id", "spans").collect()
+        hit = {r.doc_id: any(s.kind in ("random", "hex") for s in r.spans) for r in got}
+        reported = [i for i in hit if hit[i]]
+        true = sum(rows[i][1] for i in reported)
+        print(n, "recall", true / 60, "precision", true / len(reported))
+        assert true >= (0.93 if n > 28 else 0.7) * 60, (n, true)  # recall; the tests tell less of short tokens
+        assert true >= 0.85 * len(reported), (n, true, len(reported))  # precision: the level and a deviation
+
+
+def test_values_are_judged_without_names_and_paths(documents):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice(secret_scan.ALPHABETS[6][1]) for _ in range(40))
+    texts = [f"AWS_SESSION_KEY={key()}" for _ in range(15)] + [f"https://host/a/path/{key()}?x" for _ in range(15)] + [f"x ?sig={key()}== y" for _ in range(15)]
+    rows = secret_scan.scan(documents(texts)).orderBy("doc_id").collect()
+    found = [[texts[r.doc_id][s.start : s.stop] for s in r.spans] for r in rows]
+    assert sum(any(40 <= len(x) <= 42 for x in f) for f in found) >= 42
 
 
 def test_redact(documents):

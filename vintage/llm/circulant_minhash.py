@@ -6,8 +6,9 @@ coordinate k of the signature is the least value that a second permutation,
 shifted circularly by k, gives to the set: two permutations make all
 coordinates. ``BANDS`` bands of ``ROWS`` coordinates name buckets.
 
-Equal sets are one class from the start (by a 128-bit digest of the set), so a
-group of copies is one node. In a bucket, not all pairs are tried:
+Equal sets are one class from the start, so a group of copies is one node: a
+class is named by the size and a cryptographic digest (BLAKE2b, 128 bits) of the
+sorted set, for which no two different inputs are known to agree. In a bucket, not all pairs are tried:
 
 1. every member against the least member;
 2. members not yet connected to a member picked by a hash of bucket and member,
@@ -21,22 +22,31 @@ Links, components and signatures stay in tables; none comes to the driver.
 A link of similarity 0.8 is missed by all 40 bands of 6 with probability
 (1 - 0.8**6)**40, about 5e-6.
 
+Keys that hold many rows (the representative of a large group, a large
+component, the digest of many copies) are dealt over several tasks in each join.
+The universe holds 2**20 places: texts of near a million different shingles
+fill it, have nearly equal signatures, and are then all compared, exactly.
+
 Edge cases: null or wordless text has an empty set and is linked with nothing;
-fewer words than ``size`` make one shingle; rows with equal ids and texts
-are one class and all kept or dropped together; a null id never wins over
-another id, and a component of null ids only has a null component and is kept.
+fewer words than ``size`` make one shingle; texts of any length are read whole;
+rows with equal ids and texts are one class and all kept or dropped together; ids
+that repeat with other texts are rows of their own; a null id never wins over
+another id, and a component of null ids only has a null component and is kept;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import materialize, mix, shingle_hashes, table, word_hashes
+from vintage.llm.common import hot_keys, materialize, mix, shingle_hashes, spread_join, table, word_hashes
 from vintage.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -89,56 +99,51 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a = mix(shingles).sum(dtype=np.uint64)
-        b = mix(shingles ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
+    return struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+
+
+SET = ["n", "digest_a", "digest_b"]
 
 
 def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n (shingles), digest_a, digest_b and bands of every row."""
+    """key, text_hash, n (shingles), digest_a, digest_b and bands of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = _permutations(BANDS * ROWS)
         for b in batches:
             rows = []
-            for t in b[text]:
+            for t in b["_text"]:
                 s = shingle_set(t, size)
                 rows.append((len(s), *set_digest(s), band_keys(make.signature(s)) if len(s) else []))
-            out = pd.DataFrame(rows, columns=["n", "digest_a", "digest_b", "bands"])
+            out = pd.DataFrame(rows, columns=[*SET, "bands"])
             out.insert(0, key, b[key].array)
+            out.insert(1, "text_hash", b["text_hash"].array)
             yield out
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n long, digest_a long, digest_b long, bands array<long>")
-
-
-def node_of() -> Column:
-    return F.xxhash64("n", "digest_a", "digest_b")
+    src = df.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    return src.mapInPandas(run, f"`{key}` {kind}, text_hash long, n long, digest_a long, digest_b long, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of rows (node, text) whose text has that node's set;
-    a row reached through a repeated key may hold another text."""
+    """(node, shingles) of rows (node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t, size) for t in b["text"]]
-            digests = [set_digest(s) for s in sets]
-            yield pd.DataFrame({
-                "node": b["node"], "n": [len(s) for s in sets], "digest_a": [d[0] for d in digests], "digest_b": [d[1] for d in digests],
-                "shingles": [s.view(np.int64) for s in sets],
-            })
+            for s in range(0, len(b), 1000):
+                some = b.iloc[s : s + 1000]
+                yield pd.DataFrame({"node": some["node"], "shingles": [shingle_set(t, size).view(np.int64) for t in some["text"]]})
 
-    made = df.select("node", "text").mapInPandas(run, "node long, n long, digest_a long, digest_b long, shingles array<long>")
-    return made.where(F.col("node") == node_of()).select("node", "shingles")
+    return df.select("node", "text").mapInPandas(run, "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+    """The pairs (u, v) whose full sets are similar enough. ``pairs`` is a
+    written table: it is read to find its hot members."""
+    n, both = pairs.count(), pairs
+    for side, other, name in (("u", "v", "a"), ("v", "u", "b")):
+        hot = hot_keys(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_c")), [side], n)
+        both = spread_join(both, sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), [side], hot, [other])
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
@@ -199,15 +204,18 @@ def compare_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (least key that can be reached) and kept
-    (it is that key) of every row of ``df``."""
-    rows = materialize(signatures(df, size, key, text).withColumn("node", node_of()), "signatures")
-    classes = materialize(
-        rows.where("n > 0").groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
-    )
+    """key, text_hash (xxhash64 of the text), n_shingles, component_id (least
+    key that can be reached) and kept (it is that key and the row is of the text
+    that has it there) of every row of ``df``."""
+    rows = materialize(signatures(df, size, key, text), "signatures")
+    least = F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), "text_hash"))
+    classes = rows.where("n > 0").groupBy(*SET).agg(least.alias("least"), F.count(F.lit(1)).alias("_c"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "node", "n")
-    shared = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(members.join(shared, "bucket").select("bucket", "node", "n", "first"), "members")
+    shared = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    shared = materialize(shared, "buckets")
+    crowded = hot_keys(shared, ["bucket"], shared.agg(F.sum("_c")).first()[0] or 0)
+    members = materialize(spread_join(members, shared.select("bucket", "first"), ["bucket"], crowded, ["node"]), "members")
 
     def fits(a, b):
         """Sets of sizes a and b can be similar enough at all."""
@@ -216,11 +224,12 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     pairs = members.where((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n")))
     pairs = pairs.select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
     pairs = materialize(pairs, "pairs")
-    # full sets, of one text for each class that shares a bucket
-    wanted = members.select("node").distinct()
-    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    holders = wanted.join(classes.select("node", "least"), "node")
-    holding = texts.join(holders, texts["_key"].eqNullSafe(holders["least"])).select("node", "text")
+    # full sets, of one text for each class that shares a bucket: its least key and that row's text
+    own = ["_null", "_key", "text_hash"]
+    holders = members.select("node").distinct().join(classes.select("node", "least"), "node")
+    holders = holders.select("node", F.col("least.no").alias("_null"), F.coalesce(F.col("least.key").cast("string"), F.lit("")).alias("_key"), F.col("least.text_hash").alias("text_hash"))
+    texts = df.select(F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    holding = texts.where(F.length("text") > 0).dropDuplicates(own).join(holders, own)
     sets = materialize(shingle_sets(holding, size), "sets")
 
     links = materialize(confirm(pairs, sets, percent), "links")
@@ -232,9 +241,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
             F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("m"),
             F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n", "part")).alias("first"),
         ).where("lo <> hi")
-        placed = placed.join(open_.select("bucket", "first", "m"), "bucket")
+        placed = materialize(spread_join(placed, open_.select("bucket", "first", "m"), ["bucket"], crowded, ["node"]), "open")
         if last:
-            placed = materialize(placed.drop("first"), "open")
             few = placed.where(F.col("m") <= FEW)
             other = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
             pairs = few.join(other, "bucket").where((F.col("part") < F.col("part_v")) & fits(F.col("n"), F.col("n_v")))
@@ -242,7 +250,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
         else:
             pairs = placed.where((F.col("part") != F.col("first.part")) & fits(F.col("n"), F.col("first.n")))
             pairs = pairs.select(F.col("first.node").alias("u"), F.col("node").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         new = confirm(pairs, sets, percent)
         if last:
             new = new.union(compare_blocks(placed.where(F.col("m") > FEW), sets, percent))
@@ -251,14 +259,21 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
             links = links.union(new)
             found = components(links)
 
-    named = classes.select("node", "least").join(found.withColumnRenamed("id", "node"), "node", "left")
-    named = named.select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    out = rows.select(key, "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
-    out = out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    named = classes.select(*SET, "node", "least", "_c").join(found.withColumnRenamed("id", "node"), "node", "left")
+    named = materialize(named.select(*SET, "least", "_c", F.coalesce("component", "node").alias("component")), "named")
+    smallest = named.groupBy("component").agg(F.min("least").alias("first"))
+    large = hot_keys(named.groupBy("component").agg(F.count(F.lit(1)).alias("_c")), ["component"], named.count())
+    named = materialize(spread_join(named, smallest, ["component"], large, SET).select(*SET, "_c", "first"), "named")
+    copied = hot_keys(named, SET, rows.count())
+    out = spread_join(rows.drop("bands"), named.drop("_c"), SET, copied, ["text_hash", key], "left")
+    is_first = F.col(key).eqNullSafe(F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    empty = F.col("n") == 0
+    return out.select(
+        F.col(key), "text_hash", F.col("n").alias("n_shingles"), F.when(empty, F.col(key)).otherwise(F.col("first.key")).alias("component_id"),
+        (empty | is_first).alias("kept"),
+    )
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Fixed: the word pattern of the contracts, and its complement.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,32 @@ def _clean() -> None:
             return
 
 
+#: A key is hot if it has more rows than LEAST_HOT, and than the rows divided by HOT_KEYS.
+LEAST_HOT, HOT_KEYS = 200, 10_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """keys..., _fan: in how many parts to deal the rows of each hot key.
+    ``counts`` has keys... and _c (rows of the key), ``total`` their sum; at most
+    HOT_KEYS keys can be hot, so the table may come to the driver and be broadcast."""
+    most = max(LEAST_HOT, -(-total // HOT_KEYS))
+    rows = counts.where(F.col("_c") > most).select(*keys, F.ceil(F.col("_c") / most).cast("int").alias("_fan")).collect()
+    schema = StructType([*counts.select(*keys).schema, StructField("_fan", IntegerType())])
+    return counts.sparkSession.createDataFrame([tuple(r) for r in rows], schema) if rows else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, salt: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each value of
+    ``keys``. Rows of hot keys are dealt by a hash of the ``salt`` columns over
+    ``_fan`` parts, to each of which the row of ``right`` is copied."""
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_fan")).cast("int"), F.lit(0))).drop("_fan")
+    copied = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import materialize
+from vintage.llm.common import hot_keys, materialize, spread_join
+
+
+def _counts(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,19 +18,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then jumps to the
     label's own label, so the rounds grow with the logarithm of a chain's
-    length. Labels are written to the shared folder after each round; only
-    one sum comes to the driver, to see whether anything changed.
+    length. Labels are written to the shared folder as they change; only
+    one sum comes to the driver, to see whether anything did. Hubs and the
+    labels of large components are hot keys of the joins, and are dealt out.
     """
     both = links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct()
     both = materialize(both, "links")
+    hubs = hot_keys(_counts(both, "v"), ["v"], both.count())
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), "labels")
-    before = None
+    n, before = labels.count(), None
     while True:
         now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now is None or now == before:
             return labels
         before = now
-        near = both.join(labels, both.v == labels.id).groupBy("u").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels.id == near.u).select("id", F.least("component", "m").alias("c"))
-        own = new.select(F.col("id").alias("at"), F.col("c").alias("further"))
-        labels = materialize(new.join(own, new.c == own["at"]).select("id", F.least("c", "further").alias("component")), "labels")
+        shared = hot_keys(_counts(labels, "component"), ["component"], n)
+        own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        jumped = spread_join(labels, own, ["component"], shared, ["id"])
+        jumped = materialize(jumped.select("id", F.least("component", "further").alias("component")), "labels")
+        near = spread_join(both, jumped.withColumnRenamed("id", "v"), ["v"], hubs, ["u"]).groupBy("u").agg(F.min("component").alias("m"))
+        labels = materialize(jumped.join(near, jumped.id == near.u).select("id", F.least("component", "m").alias("component")), "labels")

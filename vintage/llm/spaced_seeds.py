@@ -4,19 +4,23 @@ Tokens are lower-cased words with ASCII punctuation left out. A mask
 picks some token positions of a window and ignores the others, so a window
 whose changed tokens fall on ignored positions has the same hash. Hashes of
 all windows of the benchmark under every mask are joined with those of the
-documents; around each hit the whole diagonal (document position less item
-position) is compared, and the stretch of most matches with at least four to each
+documents; around each hit the diagonal (document position less item
+position) is compared as far as the region of the hits reaches, ``MARGIN`` words to
+either side of them, and the stretch of most matches with at least four to each
 mismatch is the overlap. A document is contaminated by an item if the
 overlap has ``least_words`` matching words, or 80 % of a shorter item.
 
-Document windows are first held against a bitmap of ``BITS`` bits made from
-the benchmark's hashes: its size is fixed, so it may be broadcast whatever
-the benchmark; it only leaves out windows that cannot join. What passes is
-joined through a shuffle.
+Document windows are first held against a bitmap made from the benchmark's
+hashes, of 32 bits for each hash and ``MOST_BITS`` at most, so it may be
+broadcast whatever the benchmark; it only leaves out windows that cannot join.
+What passes is joined through a shuffle; windows and items that very many
+regions share are dealt over several tasks.
 
 Edge cases: null or empty texts and items have no windows and no overlap; items
-of fewer words than a mask spans have masks of their own length; repeated rows of an id
-count once; a null id is reported as a null id; extra columns are ignored.
+of fewer words than a mask spans have masks of their own length; texts of any
+length are read whole; repeated rows of an id and text count once; a null id,
+of a document or an item, is reported as a null id, and each item row is an item
+of its own; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import materialize, mix, table, word_hashes
+from vintage.llm.common import hot_keys, materialize, mix, spread_join, table, word_hashes
 
 #: Fixed masks: 1 reads a position, 0 ignores it.
 MASKS = ("110110101101", "111001011011", "110101100111", "101110011101", "11111111")
 SPAN = max(map(len, MASKS))
-BITS = 1 << 24
+MOST_BITS = 1 << 27
 #: Words kept on either side of a stretch of hits.
 MARGIN = 64
 
@@ -74,50 +78,60 @@ def window_hashes(words: np.ndarray, lengths: tuple[int, ...]) -> Iterator[np.nd
         yield mix(h)
 
 
-def bit_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(BITS)).astype(np.int64)
+def bit_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
 def item_seeds(items: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(h, item_id, at, bit_a, bit_b) of every masked window of every item."""
+    """(h, item, at) of every masked window of every item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, w in zip(b["item_id"], b["words"]):
+            for i, w in zip(b["item"], b["item_words"]):
                 w = np.asarray(w, np.int64).view(np.uint64)
                 own = (len(w),) if len(w) in lengths else ()
                 for h in window_hashes(w, own):
-                    one, two = bit_places(h)
-                    yield pd.DataFrame({"h": h.view(np.int64), "item_id": np.full(len(h), i), "at": np.arange(len(h)), "bit_a": one, "bit_b": two})
+                    yield pd.DataFrame({"h": h.view(np.int64), "item": np.full(len(h), i), "at": np.arange(len(h))})
 
-    return items.select("item_id", "words").mapInPandas(run, "h long, item_id long, at int, bit_a long, bit_b long")
+    return items.select("item", "item_words").mapInPandas(run, "h long, item long, at int")
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
-    """Packed bits of all hashes; at most BITS / 64 rows come to the driver."""
-    bits = seeds.select(F.explode(F.array("bit_a", "bit_b")).alias("bit"))
-    packed = bits.groupBy((F.col("bit") / 64).cast("long").alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = np.zeros(BITS // 64, np.int64)
+    """Bytes of a bitmap with two bits for each hash; at most MOST_BITS / 64
+    rows come to the driver."""
+    bits = 1 << 16
+    need = min(MOST_BITS, 32 * seeds.count())
+    while bits < need:
+        bits *= 2
+    u = lambda c: F.pmod(c, F.lit(bits))  # noqa: E731  a power of two, so as of unsigned numbers
+    each = seeds.select(F.explode(F.array(u(F.col("h")), u(F.shiftrightunsigned("h", 32)))).alias("bit"))
+    packed = each.groupBy((F.col("bit") / 64).cast("long").alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
     for r in packed.collect():
         out[r.place] = r.bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str) -> DataFrame:
     """Stretches of documents with windows that may be in the benchmark:
-    key, start, words (with a margin) and hits (h, at)."""
+    key, text_hash, start, words (with a margin) and hits (h, at)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         there = bits.value
+        columns = [key, "text_hash", "start", "words", "hits"]
         for b in batches:
             rows = []
-            for k, t in zip(b[key], b[text]):
+            for k, x, t in zip(b[key].array, b["text_hash"], b["_text"]):
                 words = tokens(t)
                 at, found = [], []
                 for h in window_hashes(words, lengths):
-                    one, two = bit_places(h)
-                    hit = np.flatnonzero(there[one])
-                    hit = hit[there[two[hit]]]
+                    one, two = bit_places(h, 8 * len(there))
+                    hit = np.flatnonzero(_set(there, one))
+                    hit = hit[_set(there, two[hit])]
                     at.append(hit)
                     found.append(h[hit])
                 at, found = np.concatenate(at), np.concatenate(found)
@@ -128,11 +142,15 @@ def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str
                 for s in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > MARGIN) + 1):
                     start, stop = max(0, at[s[0]] - MARGIN), at[s[-1]] + SPAN + MARGIN
                     hits = [{"h": h, "at": a} for h, a in zip(found[s].view(np.int64).tolist(), at[s].tolist())]
-                    rows.append((k, start, words[start:stop].view(np.int64), hits))
-            yield pd.DataFrame(rows, columns=[key, "start", "words", "hits"])
+                    rows.append((k, x, start, words[start:stop].view(np.int64), hits))
+                if len(rows) >= 1000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, start int, words array<long>, hits array<struct<h:long,at:int>>")
+    src = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    return src.mapInPandas(run, f"`{key}` {kind}, text_hash long, start int, words array<long>, hits array<struct<h:long,at:int>>")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, worst: int = 4) -> int:
@@ -151,40 +169,50 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, worst: int = 4) -> in
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, overlap) of every document and item that overlap."""
+    """(key, text_hash, item_id, overlap) of every document and item that
+    overlap; ``text_hash`` is xxhash64 of the document's text."""
     spark = docs.sparkSession
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"item_id": b["item_id"], "words": [tokens(t).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"item_id": b["item_id"].array, "item_words": [tokens(t).view(np.int64) for t in b["_text"]]})
 
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    items = materialize(items.mapInPandas(split, "item_id long, words array<long>").where(F.size("words") > 0), "items")
-    short = items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct()
+    id_kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("_text"))
+    items = items.mapInPandas(split, f"item_id {id_kind}, item_words array<long>").where(F.size("item_words") > 0)
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    short = items.select(F.size("item_words").alias("n")).where(F.col("n") < SPAN).distinct()
     lengths = tuple(sorted(r.n for r in short.collect()))  # SPAN values at most
     seeds = materialize(item_seeds(items, lengths), "seeds")
     bits = spark.sparkContext.broadcast(bitmap(seeds))
-    found = regions(docs, bits, lengths, key, text)
-    found = materialize(found.withColumn("region", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), "start", "words")), "regions")
+    found = materialize(regions(docs, bits, lengths, key, text).withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = found.select("region", "start", F.explode("hits").alias("hit")).select("region", F.col("hit.h").alias("h"), (F.col("hit.at") - F.col("start")).alias("p"))
-    pairs = hits.join(seeds.select("h", "item_id", "at"), "h").select("region", "item_id", (F.col("p") - F.col("at")).alias("shift")).distinct()
-    both = pairs.join(found.select("region", key, F.col("words").alias("doc")).distinct(), "region").join(items.withColumnRenamed("words", "item"), "item_id")
+
+    counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("_c"))
+    common = hot_keys(counts, ["h"], found.agg(F.sum(F.size("hits"))).first()[0] or 0)
+    pairs = spread_join(hits, seeds, ["h"], common, ["region", "p"]).select("region", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
+    pairs = materialize(pairs, "pairs")
+    leaked = hot_keys(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("_c")), ["item"], pairs.count())
+    both = pairs.join(found.select("region", key, "text_hash", F.col("words").alias("doc")), "region")
+    both = spread_join(both, items, ["item"], leaked, ["region", "shift"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = [overlap(np.asarray(d), np.asarray(i), s) for d, i, s in zip(b["doc"], b["item"], b["shift"])]
-            size = [len(i) for i in b["item"]]
-            out = pd.DataFrame({key: b[key], "item_id": b["item_id"], "overlap": n})
+            n = [overlap(np.asarray(d), np.asarray(i), s) for d, i, s in zip(b["doc"], b["item_words"], b["shift"])]
+            size = [len(i) for i in b["item_words"]]
+            out = pd.DataFrame({key: b[key].array, "text_hash": b["text_hash"], "item": b["item"], "item_id": b["item_id"].array, "overlap": n})
             yield out[[m >= min(least_words, -(-8 * z // 10)) for m, z in zip(n, size)]]
 
     kind = docs.schema[key].dataType.simpleString()
-    checked = both.select(key, "item_id", "shift", "doc", "item").mapInPandas(verify, f"`{key}` {kind}, item_id long, overlap int")
-    return checked.groupBy(key, "item_id").agg(F.max("overlap").alias("overlap"))
+    checked = both.select(key, "text_hash", "item", "item_id", "shift", "doc", "item_words").mapInPandas(
+        verify, f"`{key}` {kind}, text_hash long, item long, item_id {id_kind}, overlap int"
+    )
+    return checked.groupBy(key, "text_hash", "item", "item_id").agg(F.max("overlap").alias("overlap")).drop("item")
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, each with its items and largest overlap."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("max_overlap")
+        F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("overlap").alias("max_overlap")
     )
