@@ -10,8 +10,12 @@ last keep the columns of ``documents``:
 4. secret scans: spans are replaced by a mark, and n_chars follows the text;
 5. SentencePiece: ids of each text, and digests of ids and of the decoded text.
 
-Null ids and texts follow the operators: a null text has no words and goes in
-stage 1; a null id is an id like any other. An empty table gives an empty one.
+Rows are told apart by id and text, so an id that two texts share is decided
+for each of them; rows with equal id and text are one document (ties), of which one
+stays. Null ids and texts follow the operators: a null text has no words and
+goes in stage 1; a null id is an id like any other. Texts of any length are taken
+whole. An empty table gives an empty one. Columns that ``documents`` has beside
+its own pass through the first four stages unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,20 +26,30 @@ from pyspark.sql import functions as F
 from vintage.llm import circulant_minhash, quality_rules, secret_scan, sentencepieces, spaced_seeds
 from vintage.llm.common import materialize, table
 
+#: Names of a row's identity while stages are joined; no table has them.
+_ROW = ["__id_is_null", "__id", "__text_hash"]
+
+
+def _identity(doc_id, text_hash) -> list:
+    return [x.alias(n) for x, n in zip((doc_id.isNull(), F.coalesce(doc_id.cast("string"), F.lit("")), text_hash), _ROW)]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *_identity(F.col("doc_id"), F.xxhash64("text")))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")), threshold=None)
-    return judged.where("kept").select(docs.columns)
+    return quality_rules.passed(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = circulant_minhash.near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = circulant_minhash.near_duplicates(docs, size=5).where("kept").select(*_identity(F.col("doc_id"), F.col("text_hash"))).distinct()
+    return _identified(docs).join(kept, _ROW, "left_semi").dropDuplicates([*_ROW, "text"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = spaced_seeds.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = spaced_seeds.contaminated(docs, table(spark, sf_dir, "benchmark")).select(*_identity(F.col("doc_id"), F.col("text_hash"))).distinct()
+    return _identified(docs).join(found, _ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
