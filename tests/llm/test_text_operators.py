@@ -102,18 +102,20 @@ def test_false_share_of_what_is_reported(documents):
         reported = [i for i in hit if hit[i]]
         true = sum(rows[i][1] for i in reported)
         print(n, "recall", true / 60, "precision", true / len(reported))
-        # the tests have little power over tokens of under 28 characters: about three in four, either way
-        assert true >= (0.93 if n > 28 else 0.7) * 60, (n, true)  # recall
-        assert true >= (0.85 if n > 28 else 0.7) * len(reported), (n, true, len(reported))  # precision: the level and a deviation
+        # the tests have little power over short tokens
+        assert true >= (0.93 if n > 28 else 0.5) * 60, (n, true)  # recall
+        assert true >= (0.85 if n > 28 else 0.75) * len(reported), (n, true, len(reported))  # precision: the level and a deviation
 
 
 def test_values_are_judged_without_names_and_paths(documents):
     rng = random.Random(3)
-    key = lambda: "".join(rng.choice(secret_scan.ALPHABETS[6][1]) for _ in range(40))
-    texts = [f"AWS_SESSION_KEY={key()}" for _ in range(15)] + [f"https://host/a/path/{key()}?x" for _ in range(15)] + [f"x ?sig={key()}== y" for _ in range(15)]
+    keys = ["".join(rng.choice(secret_scan.ALPHABETS[6][1]) for _ in range(40)) for _ in range(45)]
+    forms = ["AWS_SESSION_KEY={}", "https://host/a/path/{}?x", "x ?sig={}== y"]
+    texts = [forms[i % 3].format(k) for i, k in enumerate(keys)]
     rows = secret_scan.scan(documents(texts)).orderBy("doc_id").collect()
     found = [[texts[r.doc_id][s.start : s.stop] for s in r.spans] for r in rows]
-    assert sum(any(40 <= len(x) <= 42 for x in f) for f in found) >= 42
+    assert sum(any(k in x for x in f) for k, f in zip(keys, found)) >= 42
+    assert not any("SESSION" in x or "sig" in x for f in found for x in f)
 
 
 def test_redact(documents):

@@ -22,7 +22,8 @@ so their number there, over the share of random ones that lies there, estimates
 random ones in all (the least of the estimates by one, two or all of those bins); what lies above a cut beyond
 the share of these that should is false. The cut is the lowest whose estimated
 false share is at most ``LEVEL``, or whose false tokens are no more than one
-standard deviation of that estimate (small classes), and p is above 0.01 in any case. Under
+standard deviation of that estimate (small classes); it never goes below a stretch
+of p that holds more false tokens than random ones, nor below 0.01. Under
 28 characters the tests have little power: ordinary tokens reach high p and bias the
 estimate, so about one in four reported ones may be false there (see the tests). The estimate works on counts by class and p-value bin (a few hundred
 rows whatever the corpus), not on ranked candidates.
@@ -233,6 +234,10 @@ def cut_off(bins: dict[int, int], level: float) -> int:
     best, seen = 0, 0
     for b in range(MOST_BIN):
         seen += bins.get(b, 0)
+        # where half of the next five bins are false, and not by chance, nothing more is taken
+        here, random_here = sum(bins.get(x, 0) for x in range(b, b + 5)), random * (10 ** (-b / 10) - 10 ** (-(b + 5) / 10))
+        if here - random_here > max(here / 2, math.sqrt(random_here) + 1):
+            break
         false = seen - random * (1 - 10 ** (-(b + 1) / 10))
         if false <= max(level * seen, slack):
             best = b + 1
