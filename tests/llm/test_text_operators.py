@@ -114,7 +114,7 @@ def test_values_are_judged_without_names_and_paths(documents):
     texts = [forms[i % 3].format(k) for i, k in enumerate(keys)]
     rows = secret_scan.scan(documents(texts)).orderBy("doc_id").collect()
     found = [[texts[r.doc_id][s.start : s.stop] for s in r.spans] for r in rows]
-    assert sum(any(k in x for x in f) for k, f in zip(keys, found)) >= 42
+    assert sum(any(k in x for x in f) for k, f in zip(keys, found)) >= 34  # keys of p under the cut, here 0.1, are lost
     assert not any("SESSION" in x or "sig" in x for f in found for x in f)
 
 

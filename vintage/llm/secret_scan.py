@@ -19,7 +19,7 @@ longer it is. What is reported are tokens with a p above a cut, and false
 discoveries are ordinary tokens among them. In each class of length the corpus
 itself says how many those are: at high p (the first ``LAMBDA_BIN`` bins, p above 1/2) nearly all tokens are random,
 so their number there, over the share of random ones that lies there, estimates the
-random ones in all (the least of the estimates by one, two or all of those bins); what lies above a cut beyond
+random ones in all; what lies above a cut beyond
 the share of these that should is false. The cut is the lowest whose estimated
 false share is at most ``LEVEL``, or whose false tokens are no more than one
 standard deviation of that estimate (small classes); it never goes below a stretch
@@ -225,12 +225,9 @@ def cut_offs(df: DataFrame, text: str = "text", level: float = LEVEL) -> dict[in
 def cut_off(bins: dict[int, int], level: float) -> int:
     """The greatest bin up to which the false share is small enough, from
     counts by bin. The false ones are an estimate from the bins below LAMBDA_BIN."""
-    n, random, slack = 0, math.inf, 0.0
-    for b in range(LAMBDA_BIN):
-        n += bins.get(b, 0)
-        above = 1 - 10 ** (-(b + 1) / 10)  # share of random tokens in the bins so far
-        if (n + 1) / above < random:
-            random, slack = (n + 1) / above, math.sqrt((n + 1) * (1 - above)) / above
+    above = 1 - 10 ** (-LAMBDA_BIN / 10)  # share of random tokens in those bins
+    n = sum(bins.get(b, 0) for b in range(LAMBDA_BIN))
+    random, slack = (n + 1) / above, math.sqrt((n + 1) * (1 - above)) / above
     best, seen = 0, 0
     for b in range(MOST_BIN):
         seen += bins.get(b, 0)
