@@ -277,3 +277,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), size=4)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The contract by comparing all pairs that share a shingle, for small tables.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w)=0 THEN [] WHEN len(w)<4 THEN [array_to_string(w,' ')] ELSE list_transform(range(1, len(w)-2), lambda i: array_to_string(w[i:i+3],' ')) END) AS g FROM w),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM g a JOIN g b ON a.g=b.g AND a.r<>b.r GROUP BY 1,2),
+l AS (SELECT u, v FROM p JOIN n x ON x.r=u JOIN n y ON y.r=v WHERE 100*c >= 80*(x.n+y.n-c)),
+reach(node, root) AS (SELECT r, r FROM w UNION SELECT l.v, reach.root FROM reach JOIN l ON l.u=reach.node),
+least AS (SELECT node, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r=reach.root GROUP BY 1)
+SELECT w.doc_id, coalesce(n,0) AS n_shingles, component_id, w.doc_id=component_id AS kept FROM w JOIN least ON least.node=w.r LEFT JOIN n ON n.r=w.r"""
