@@ -11,8 +11,10 @@ Trained in numpy on a sample of labelled rows of documented size
 
 Edge cases: null text, an empty text or one without a letter is ``und`` with
 score 0; with no labelled row everything is ``und``; with one language only, that
-language has score 1; rows with a null label are not learned from; repeated
-rows give repeated rows; other columns are not looked at.
+language has score 1; rows with a null label are not learned from; a null id is
+kept as such, predicted, and not learned from; texts of any length are read
+whole; repeated rows give repeated rows; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import id_bucket, table
+from vintage.llm.common import exact, id_bucket, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -196,9 +198,10 @@ def predict(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "te
             for i in np.flatnonzero([n == "" for n in names]):
                 p = sums[i] / sums[i].sum()
                 names[i], scores[i] = net.labels[int(p.argmax())], min(1.0, float(p.max()))
-            yield pd.DataFrame({key: b[key], "lang_pred": names, "score": scores})
+            yield pd.DataFrame({key: b[key].array, "lang_pred": names, "score": scores})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    src, kind, back = exact(df.select(F.col(key), F.col(text)), [key])
+    return back(src.mapInPandas(run, kind + ", lang_pred string, score double"))
 
 
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import hot_keys, materialize, mix, shingle_hashes, spread_join, table, word_hashes
+from vintage.llm.common import exact, hot_keys, materialize, mix, shingle_hashes, spread_join, table, word_hashes
 from vintage.llm.graph import components
 
 BANDS, ROWS = 40, 6
@@ -120,9 +120,8 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
             out.insert(1, "text_hash", b["text_hash"].array)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    src = df.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    return src.mapInPandas(run, f"`{key}` {kind}, text_hash long, n long, digest_a long, digest_b long, bands array<long>")
+    src, kind, back = exact(df.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), [key])
+    return back(src.mapInPandas(run, kind + ", text_hash long, n long, digest_a long, digest_b long, bands array<long>"))
 
 
 def shingle_sets(df: DataFrame, size: int) -> DataFrame:

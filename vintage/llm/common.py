@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,20 @@ def _clean() -> None:
             return
 
 
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def exact(df: DataFrame, columns: list[str]) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """``df`` with integers among ``columns`` as text, the schema of these
+    columns, and what turns them back: pandas has no integers with nulls, and
+    would round ids beyond 2**53 in a batch that holds a null."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+    whole = [c for c, k in kinds.items() if k in _INTEGERS]
+    out = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole}) if whole else df
+    schema = ", ".join(f"`{c}` {'string' if c in whole else k}" for c, k in kinds.items())
+    return out, schema, lambda made: made.withColumns({c: F.col(f"`{c}`").cast(kinds[c]) for c in whole}) if whole else made
+
+
 #: A key is hot if it has more rows than LEAST_HOT, and than the rows divided by HOT_KEYS.
 LEAST_HOT, HOT_KEYS = 200, 10_000
 

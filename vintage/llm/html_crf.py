@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import table
+from vintage.llm.common import exact, table
 
 #: Fixed lists of HTML element names. Elements whose content is never shown:
 HIDDEN = frozenset("noscript template svg math object select canvas audio video foreignobject".split())
@@ -467,7 +467,7 @@ def train(rows: list[str], built_pages: int = 500) -> Field:
 def extract(pages: DataFrame, field: Field, key: str = "page_id", html: str = "html") -> DataFrame:
     """``pages`` without its html, with text (main text) and n_chars."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", text string, n_chars long"
+    pages, schema, back = exact(pages.select(*[f"`{c}`" for c in (*keep, html)]), keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -478,7 +478,7 @@ def extract(pages: DataFrame, field: Field, key: str = "page_id", html: str = "h
                 texts.append("\n".join(b.text for b, y in zip(own, labels) if y))
             yield batch[keep].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    return back(pages.mapInPandas(run, schema + ", text string, n_chars long"))
 
 
 def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@
 Edge cases: null text is the empty text and is scored as such; labels that are
 null or not 0/1 are not learned from; several labels of one id count by their
 mean (1 from a half on); with no labels every score is 0.5, with one class only it
-is that class's smoothed share; repeated rows give repeated rows.
+is that class's smoothed share; a null id is kept as such, scored, and not
+learned from; texts of any length are read whole; repeated rows give repeated
+rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import id_bucket, materialize, table
+from vintage.llm.common import exact, id_bucket, materialize, table
 
 STATS = (
     "log_bytes", "log_words", "mean_word", "longest_word", "upper", "digit", "symbol", "exclaim", "bar", "stop", "comma",
@@ -66,8 +68,8 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             out.insert(0, key, b[key].array)
             yield out
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS)
-    return df.select(key, text).mapInPandas(run, schema)
+    src, kind, back = exact(df.select(F.col(key), F.col(text)), [key])
+    return back(src.mapInPandas(run, kind + ", " + ", ".join(f"{s} double" for s in STATS)))
 
 
 # ------------------------------------------------------------------ trees

@@ -10,9 +10,14 @@ when full), because joining 10**11 word occurrences back through a shuffle
 would move many times the corpus, while the documents themselves need no
 shuffle at all. Chunks over ``LONGEST`` characters are segmented directly.
 
+So the method is kept within a worker only: a chunk is segmented once in each, and
+again if its table was emptied. A table of the whole corpus was weighed and left;
+the README has the figures.
+
 Edge cases: null text is the empty text; an empty text has the end id only and
-decodes to the empty text; repeated rows give repeated rows; extra columns are
-kept by ``encode`` unless they clash with its own names, which then win.
+decodes to the empty text; texts of any length are encoded whole; repeated rows
+give repeated rows; a null id is kept as such; an empty table gives no rows; extra
+columns are kept by ``encode`` unless they clash with its own names, which then win.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import table
+from vintage.llm.common import exact, table
 
 MARK = "▁"
 LONGEST = 64
@@ -125,7 +130,7 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, table_si
     """Add ids (array of int), decoded (string) to every row of ``df``."""
     model = model or default_model()
     keep = [c for c in df.columns if c not in ("ids", "decoded")]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", ids array<int>, decoded string"
+    src, schema, back = exact(df.select(*[f"`{c}`" for c in keep]), keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _table(model, table_size)
@@ -133,14 +138,14 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, table_si
             got = [rows.encode(t) for t in b[text]]
             yield b.assign(ids=[np.array(g[1].split(), np.int32) for g in got], decoded=[g[2] for g in got])
 
-    return df.select(keep).mapInPandas(run, schema)
+    return back(src.mapInPandas(run, schema + ", ids array<int>, decoded string"))
 
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, table_size: int = 300_000) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256, made inside the
     task so that neither ids nor decoded texts leave it."""
     model = model or default_model()
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    src, schema, back = exact(df.select(F.col(key), F.col(text)), [key])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = _table(model, table_size)
@@ -153,7 +158,7 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text", model: str |
             out.insert(0, key, b[key].array)
             yield out
 
-    return df.select(F.col(key), F.col(text)).mapInPandas(run, schema)
+    return back(src.mapInPandas(run, schema + ", n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ mismatch is the overlap. A document is contaminated by an item if the
 overlap has ``least_words`` matching words, or 80 % of a shorter item.
 
 Document windows are first held against a bitmap made from the benchmark's
-hashes, of 32 bits for each hash and ``MOST_BITS`` at most, so it may be
+hashes, of 512 bits for each hash and ``MOST_BITS`` at most, so it may be
 broadcast whatever the benchmark; it only leaves out windows that cannot join.
 What passes is joined through a shuffle; windows and items that very many
 regions share are dealt over several tasks.
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import hot_keys, materialize, mix, spread_join, table, word_hashes
+from vintage.llm.common import exact, hot_keys, materialize, mix, spread_join, table, word_hashes
 
 #: Fixed masks: 1 reads a position, 0 ignores it.
 MASKS = ("110110101101", "111001011011", "110101100111", "101110011101", "11111111")
@@ -100,7 +100,7 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
     """Bytes of a bitmap with two bits for each hash; at most MOST_BITS / 64
     rows come to the driver."""
     bits = 1 << 16
-    need = min(MOST_BITS, 32 * seeds.count())
+    need = min(MOST_BITS, 512 * seeds.count())
     while bits < need:
         bits *= 2
     u = lambda c: F.pmod(c, F.lit(bits))  # noqa: E731  a power of two, so as of unsigned numbers
@@ -112,8 +112,18 @@ def bitmap(seeds: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+class Bits:
+    """A bitmap as a worker reads it: a byte for each bit up to 32 MB, else packed."""
+
+    def __init__(self, packed: np.ndarray) -> None:
+        self.size = 8 * len(packed)
+        self.packed = packed
+        self.bytes = np.unpackbits(packed, bitorder="little").view(bool) if self.size <= 1 << 25 else None
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        if self.bytes is not None:
+            return self.bytes[at]
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str) -> DataFrame:
@@ -121,7 +131,7 @@ def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str
     key, text_hash, start, words (with a margin) and hits (h, at)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        there = bits.value
+        there = Bits(bits.value)
         columns = [key, "text_hash", "start", "words", "hits"]
         for b in batches:
             rows = []
@@ -129,9 +139,9 @@ def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str
                 words = tokens(t)
                 at, found = [], []
                 for h in window_hashes(words, lengths):
-                    one, two = bit_places(h, 8 * len(there))
-                    hit = np.flatnonzero(_set(there, one))
-                    hit = hit[_set(there, two[hit])]
+                    one, two = bit_places(h, there.size)
+                    hit = np.flatnonzero(there.has(one))
+                    hit = hit[there.has(two[hit])]
                     at.append(hit)
                     found.append(h[hit])
                 at, found = np.concatenate(at), np.concatenate(found)
@@ -148,9 +158,8 @@ def regions(docs: DataFrame, bits, lengths: tuple[int, ...], key: str, text: str
                     rows = []
             yield pd.DataFrame(rows, columns=columns)
 
-    kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    return src.mapInPandas(run, f"`{key}` {kind}, text_hash long, start int, words array<long>, hits array<struct<h:long,at:int>>")
+    src, kind, back = exact(docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")), [key])
+    return back(src.mapInPandas(run, kind + ", text_hash long, start int, words array<long>, hits array<struct<h:long,at:int>>"))
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, worst: int = 4) -> int:
@@ -177,9 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, k
         for b in batches:
             yield pd.DataFrame({"item_id": b["item_id"].array, "item_words": [tokens(t).view(np.int64) for t in b["_text"]]})
 
-    id_kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("_text"))
-    items = items.mapInPandas(split, f"item_id {id_kind}, item_words array<long>").where(F.size("item_words") > 0)
+    items, id_kind, back = exact(benchmark.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("_text")), ["item_id"])
+    items = back(items.mapInPandas(split, id_kind + ", item_words array<long>")).where(F.size("item_words") > 0)
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     short = items.select(F.size("item_words").alias("n")).where(F.col("n") < SPAN).distinct()
     lengths = tuple(sorted(r.n for r in short.collect()))  # SPAN values at most
@@ -193,20 +201,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, k
     pairs = spread_join(hits, seeds, ["h"], common, ["region", "p"]).select("region", "item", (F.col("p") - F.col("at")).alias("shift")).distinct()
     pairs = materialize(pairs, "pairs")
     leaked = hot_keys(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("_c")), ["item"], pairs.count())
-    both = pairs.join(found.select("region", key, "text_hash", F.col("words").alias("doc")), "region")
+    both = pairs.join(found.select("region", F.col("words").alias("doc")), "region")
     both = spread_join(both, items, ["item"], leaked, ["region", "shift"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = [overlap(np.asarray(d), np.asarray(i), s) for d, i, s in zip(b["doc"], b["item_words"], b["shift"])]
             size = [len(i) for i in b["item_words"]]
-            out = pd.DataFrame({key: b[key].array, "text_hash": b["text_hash"], "item": b["item"], "item_id": b["item_id"].array, "overlap": n})
+            out = pd.DataFrame({"region": b["region"], "item": b["item"], "overlap": n})
             yield out[[m >= min(least_words, -(-8 * z // 10)) for m, z in zip(n, size)]]
 
-    kind = docs.schema[key].dataType.simpleString()
-    checked = both.select(key, "text_hash", "item", "item_id", "shift", "doc", "item_words").mapInPandas(
-        verify, f"`{key}` {kind}, text_hash long, item long, item_id {id_kind}, overlap int"
-    )
+    checked = both.select("region", "item", "shift", "doc", "item_words").mapInPandas(verify, "region long, item long, overlap int")
+    checked = checked.groupBy("region", "item").agg(F.max("overlap").alias("overlap"))
+    checked = spread_join(checked.join(found.select("region", key, "text_hash"), "region"), items.select("item", "item_id"), ["item"], leaked, ["region"])
     return checked.groupBy(key, "text_hash", "item", "item_id").agg(F.max("overlap").alias("overlap")).drop("item")
 
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import materialize, prefix_hashes, span_hashes, table
+from vintage.llm.common import exact, materialize, prefix_hashes, span_hashes, table
 
 LENGTH = 400
 GRAM = 32
@@ -443,9 +443,8 @@ def deduplicated(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text:
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
-    kind = df.schema[key].dataType.simpleString()
-    out = docs.join(spans, ["row", "size"], "left").select(F.col(key), F.col(text), "spans")
-    return out.mapInPandas(cut, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out, kind, back = exact(docs.join(spans, ["row", "size"], "left").select(F.col(key), F.col(text), "spans"), [key])
+    return back(out.mapInPandas(cut, kind + ", n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
