@@ -125,10 +125,13 @@ def signatures(df: DataFrame, size: int, key: str = "doc_id", text: str = "text"
 
 
 def shingle_sets(df: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of rows (node, text)."""
+    """(node, shingles) of rows (node, text), one row for each node of a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
+            b = b[~(b["node"].isin(seen) | b["node"].duplicated())]
+            seen.update(b["node"])
             for s in range(0, len(b), 1000):
                 some = b.iloc[s : s + 1000]
                 yield pd.DataFrame({"node": some["node"], "shingles": [shingle_set(t, size).view(np.int64) for t in some["text"]]})
@@ -228,7 +231,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, key: str =
     holders = members.select("node").distinct().join(classes.select("node", "least"), "node")
     holders = holders.select("node", F.col("least.no").alias("_null"), F.coalesce(F.col("least.key").cast("string"), F.lit("")).alias("_key"), F.col("least.text_hash").alias("text_hash"))
     texts = df.select(F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    holding = texts.where(F.length("text") > 0).dropDuplicates(own).join(holders, own)
+    # rows of equal id and text meet in one task; where a skewed one is split, a set may come twice, which changes no link
+    holding = texts.where(F.length("text") > 0).join(holders, own)
     sets = materialize(shingle_sets(holding, size), "sets")
 
     links = materialize(confirm(pairs, sets, percent), "links")
