@@ -225,3 +225,41 @@ def test_pipeline(spark, tmp_path, documents, prose):
 def test_registered_names():
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in entries.QUERIES}
     assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["quality rules", "near duplicates"]
+
+
+@pytest.mark.parametrize(("length", "changed", "least"), [(10, 0, 1.0), (11, 1, 1.0), (12, 2, 1.0), (13, 2, 1.0), (14, 2, 1.0), (15, 3, 0.997), (16, 3, 1.0), (18, 3, 1.0)])
+def test_masks_find_substituted_passages(length, changed, least):
+    """Of all placements of the changed words, the share that some window of some mask ignores."""
+    hit = total = 0
+    for out in itertools.combinations(range(length), changed):
+        total += 1
+        hit += any(all(m[j] == "0" or at + j not in out for j in range(len(m))) for m in spaced_seeds.MASKS for at in range(length - len(m) + 1))
+    assert hit >= least * total
+
+
+def test_substituted_passages_equal_brute_force(documents, spark):
+    """Items cut out and changed at random: what is reported is what comparing every diagonal finds."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [" ".join(word() for _ in range(n)) for n in (60, 30, 12, 11, 10, 5, 3)]
+    texts = []
+    for k in range(400):
+        w = rng.choice(items).split()
+        n = rng.randrange(min(8, len(w)), min(len(w), 26) + 1)
+        at = rng.randrange(len(w) - n + 1)
+        w = w[at : at + n]
+        for j in rng.sample(range(n), rng.randrange(n // 5 + 1)):
+            w[j] = word()
+        texts.append(" ".join([word() for _ in range(rng.randrange(30))] + w + [word() for _ in range(rng.randrange(30))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap for r in spaced_seeds.contaminated(documents(texts), bench).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        doc = spaced_seeds.tokens(t)
+        for j, item in enumerate(items):
+            own = spaced_seeds.tokens(item)
+            most = max(spaced_seeds.overlap(doc, own, s) for s in range(-len(own), len(doc)))
+            if most >= min(10, -(-8 * len(own) // 10)):
+                want[i, j] = most
+    assert got.keys() <= want.keys() and all(got[k] == want[k] for k in got)
+    assert len(want) > 150 and len(got) >= 0.99 * len(want)
