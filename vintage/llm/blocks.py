@@ -14,9 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame
+
+from vintage.llm.common import materialize
 
 #: Tokens after which a block is closed; a longer document is a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
+#: Spark's own setting: shuffle files of a query go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Numbers(dict):
@@ -52,6 +57,19 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for a frame that is used once: as its rows are in a
+    table, its shuffle files are of no more use and need not wait for the driver's
+    garbage collection."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(_CLEAN, before)
+
+
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct codes, and for each code its place among them."""
     order = np.argsort(codes, kind="stable")

@@ -40,8 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.blocks import BLOCK, Numbers, distinct, pack, unpack
-from vintage.llm.common import id_bucket, materialize, mix, table, words_of
+from vintage.llm.blocks import BLOCK, Numbers, distinct, pack, unpack, written
+from vintage.llm.common import id_bucket, mix, table, words_of
 
 #: Entries (a block's distinct word or bigram) that a shard sums at about.
 SHARD = 1 << 21
@@ -256,13 +256,13 @@ def scored(blocks: DataFrame, weights: np.ndarray, total: int, known: int) -> Da
 def score_texts(docs: DataFrame, held_out: Column, learned: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every row; counts come from the rows where ``learned`` is true."""
-    blocks = materialize(text_blocks(docs, held_out, learned, key, text), "blocks")
+    blocks = written(text_blocks(docs, held_out, learned, key, text), "blocks")
     sums = blocks.agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"), F.count(F.lit(1)).alias("n")).first()
     n_0, n_1 = sums.n_0 or 0, sums.n_1 or 0
     shards = 1 << max(0, (2 * sums.n * BLOCK // SHARD - 1).bit_length())
-    answers = materialize(answered(asked(blocks, shards)), "answers")
+    answers = written(answered(asked(blocks, shards)), "answers")
     known = answers.agg(F.sum("known")).first()[0] or 0
-    full = materialize(counted(blocks, answers), "counted")
+    full = written(counted(blocks, answers), "counted")
     tally = held_out_tally(full, (n_0, n_1)).collect()  # BUCKETS * (STEPS * POWERS + 2) ** 2 rows at most
     weights = learned_weights(np.array([r.code for r in tally], np.int64), np.array([r.n for r in tally], float), known)
     out = scored(full, weights, n_0 + n_1, known)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vintage.llm.blocks import BLOCK, Numbers, pack, unpack
+from vintage.llm.blocks import BLOCK, Numbers, pack, unpack, written
 from vintage.llm.common import hot_keys, materialize, mix, spread_join, table
 from vintage.llm.spaced_seeds import Bits, bit_places, bitmap
 
@@ -172,7 +172,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` written, with ``id``: whole numbers from 1 without gaps."""
-    out = materialize(df.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    out = written(df.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
     before, starts = 1, []
     for part, n in sorted((r.part, r.n) for r in out.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # one a partition
         starts.append((part, before))
@@ -295,19 +295,19 @@ def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, percent: int
     """lang, phrase, a, l, r, n, score of every phrase of 2 to ``longest`` words
     (LONGEST at most) that occurs ``least`` times and is not dropped."""
     spark = docs.sparkSession
-    blocks = materialize(word_blocks(docs, text, lang), "blocks")
-    totals = materialize(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    blocks = written(word_blocks(docs, text, lang), "blocks")
+    totals = written(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = block_words(blocks).groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    words = materialize(numbered(words, "common"), "words")
+    words = written(numbered(words, "common"), "words")
     size = words.agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a")).first()
     bits, entries = max(1, int(size.n).bit_length()), size.a or 0
     if bits > 32:
         raise ValueError("more common words than 32 bits can number")
-    streams = materialize(coded(blocks, words), "streams")
+    streams = written(coded(blocks, words), "streams")
     phrases, common = None, None
     for n in range(2, longest + 1):
         skip = min(2 * bits, max(0, -(-entries // SHARD) - 1).bit_length())
-        level = materialize(common_phrases(filters(streams, n, bits, skip, common), n, bits, skip, least), f"phrases-{n}")
+        level = written(common_phrases(filters(streams, n, bits, skip, common), n, bits, skip, least), f"phrases-{n}")
         phrases = level if phrases is None else phrases.unionByName(level)
         entries = level.agg(F.sum("a")).first()[0] or 0
         if not entries:
