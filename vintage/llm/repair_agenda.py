@@ -209,7 +209,7 @@ def _grouped(df: DataFrame, key: list[str], one: Callable[[pd.DataFrame], tuple]
         if held is not None and len(held):
             yield pd.DataFrame([one(held)], columns=columns)
 
-    return df.repartition(*key).sortWithinPartitions(*key, "at").mapInPandas(run, schema)
+    return df.repartition(parts(df.sparkSession), *key).sortWithinPartitions(*key, "at").mapInPandas(run, schema)  # as many tasks however few bytes: the work is in Python
 
 
 def segments(facts: DataFrame) -> DataFrame:
