@@ -62,7 +62,7 @@ def test_weights_of_one_measure_only(spark, facts):
 
 def test_unsolved_fits_are_refused(spark, facts, links, monkeypatch):
     # the patch reaches this process only; the fit runs in workers, so the status is planted in the table
-    fitted = spark.createDataFrame([("20002001", "a_to_b", "VALUE_EUR", "20002001_g000001", code(1), code(11), 1.0, "max_iter", 0.0)], "period string, direction string, measure string, group_id string, from_code string, to_code string, weight double, status string, objective double")
+    fitted = spark.createDataFrame([("20002001", "a_to_b", "VALUE_EUR", "20002001_g000001", code(1), code(11), 1.0, "max_iter")], "period string, direction string, measure string, group_id string, from_code string, to_code string, weight double, status string")
     monkeypatch.setattr(estimation, "fitted_weights", lambda moments, groups: fitted)
     groups = concordance.build_groups(links)
     out = estimation.estimate(facts, groups, ["VALUE_EUR"])

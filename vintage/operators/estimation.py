@@ -1,21 +1,19 @@
 """Estimation of conversion weights from trade shares.
 
 Everything is keyed by period, direction, measure and group. What reaches the
-grouped fit are moments, codes by codes, however many trade rows there are.
+fits (see ``fits``) are moments, codes by codes, however many trade rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.functions.codes import by_measure, flow_is, normalise_code, not_in
 from vintage.operators.concordance import Groups, ambiguous_groups, code_groups, deterministic_maps, oriented
+from vintage.operators.fits import GROUP, fixed_links, link_table, one_free_code, several_free_codes
 from vintage.operators.weights import merge_ambiguous, refused
 from vintage.sources.storage import checkpointed
 
@@ -39,8 +37,9 @@ def side_shares(
     rows = rows.groupBy("year", "code", "REPORTER", "PARTNER").agg(*[F.sum(m).alias(m) for m in measures])
     codes = code_groups(groups).join(ambiguous_groups(groups), ["period", "group_id"])
     found = by_measure(rows.join(codes, ["year", "code"]), measures).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    total = F.sum("value").over(W.partitionBy(*KEY, "side"))
-    return found.withColumn("total", total).select(
+    found = checkpointed(found)
+    total = found.groupBy(*KEY, "side").agg(F.sum("value").alias("total"))  # not a window: a giant group's pairs stay where they are
+    return found.join(total, [*KEY, "side"]).select(
         *KEY, "side", "code", "REPORTER", "PARTNER", "value", "total", F.try_divide("value", "total").alias("share")
     )
 
@@ -53,7 +52,7 @@ def group_totals(shares: DataFrame, groups: Groups, measures: Iterable[str] = ("
             ("total", F.coalesce(F.sum(F.when(side == s, F.col("value"))), F.lit(0.0))), ("n_rows", F.count(F.when(side == s, 1))),
             ("n_pairs", F.countDistinct(F.when(side == s, F.struct("REPORTER", "PARTNER")))))
     ])
-    every = ambiguous_groups(groups).crossJoin(shares.sparkSession.createDataFrame([(m,) for m in measures], "measure string"))
+    every = ambiguous_groups(groups).crossJoin(F.broadcast(shares.sparkSession.createDataFrame([(m,) for m in measures], "measure string")))
     out = every.join(by, KEY, "left").na.fill(0)
     zero_a, zero_b = F.col("total_a") <= 0, F.col("total_b") <= 0
     reason = F.when(zero_a & zero_b, "zero_total_a_b").when(zero_a, "zero_total_a").when(zero_b, "zero_total_b")
@@ -104,99 +103,46 @@ def normal_moments(shares: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- fit
-def simplex_rows(b: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Each row projected on the simplex over its allowed links."""
-    z = np.where(allowed, b, -np.inf)
-    u = -np.sort(-z, axis=1)
-    finite = np.isfinite(u)
-    css = np.cumsum(np.where(finite, u, 0.0), axis=1) - 1
-    k = np.arange(1, z.shape[1] + 1)
-    with np.errstate(invalid="ignore"):
-        ok = finite & (u - css / k > 0)
-    last = ok.shape[1] - 1 - np.argmax(ok[:, ::-1], axis=1)
-    theta = css[np.arange(len(z)), last] / (last + 1)
-    return np.where(allowed, np.maximum(np.where(allowed, b, 0.0) - theta[:, None], 0.0), 0.0)
-
-
-def constrained_fit(m: np.ndarray, n: np.ndarray, allowed: np.ndarray, tol: float = 1e-10, most: int = 20_000) -> tuple[np.ndarray, str]:
-    """min tr(B'MB) - 2 tr(B'N) over row-stochastic B on the allowed links, by
-    accelerated projected gradients with restarts. Codes without trade have no
-    gradient and keep equal weights."""
-    b = allowed / allowed.sum(axis=1, keepdims=True)
-    top = float(np.linalg.eigvalsh(m)[-1]) if m.size else 0.0
-    if top <= 0 or allowed.sum() == len(allowed):
-        return b, "solved"
-    v, t = b, 1.0
-    for _ in range(most):
-        new = simplex_rows(v - (m @ v - n) / top, allowed)
-        if float(np.sum((v - new) * (new - b))) > 0:  # the momentum points uphill
-            t, v = 1.0, b
-            new = simplex_rows(v - (m @ v - n) / top, allowed)
-        s = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, step, b, t = new + (t - 1) / s * (new - b), np.abs(new - b).max(), new, s
-        if step < tol:
-            return b, "solved"
-    return b, "max_iter"
-
-
-def fitted_weights(moments: DataFrame, groups: Groups, extra: tuple[str, ...] = ()) -> DataFrame:
-    """KEY..., extra..., from_code, to_code, weight of every link of the fitted
-    groups, with status and objective (without |Y|^2); ``extra`` are further
-    key columns of the moments, such as a resampling run. E7"""
+def fitted_weights(moments: DataFrame, groups: Groups, extra: tuple[str, ...] = (), start: DataFrame | None = None) -> DataFrame:
+    """KEY..., extra..., from_code, to_code, weight, status of every link of the
+    fitted groups; ``extra`` are further key columns of the moments, such as a
+    resampling run, and ``start`` (KEY..., extra..., from_code, to_code, weight) is where
+    refits begin. E7"""
     key = [*KEY, *extra]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.select(*key).schema)
-    schema = kinds + ", from_code string, to_code string, weight double, status string, objective double"
-    links = oriented(groups.edges).join(moments.select(*key).distinct(), ["period", "direction", "group_id"])
-    links = links.select(*key, F.lit("link").alias("kind"), F.col("from_code").alias("i"), F.col("to_code").alias("j"), F.lit(1.0).alias("value"))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        link = rows[rows["kind"] == "link"]
-        a, c = sorted(link["i"].unique()), sorted(link["j"].unique())
-        at, to = {x: k for k, x in enumerate(a)}, {x: k for k, x in enumerate(c)}
-        m, n, ok = np.zeros((len(a), len(a))), np.zeros((len(a), len(c))), np.zeros((len(a), len(c)), bool)
-        for kind, i, j, value in zip(rows["kind"], rows["i"], rows["j"], rows["value"]):
-            if kind == "m":
-                m[at[i], at[j]] = value
-            elif kind == "n":
-                n[at[i], to[j]] = value
-            elif kind == "link":
-                ok[at[i], to[j]] = True
-        b, status = constrained_fit(m, n, ok)
-        objective = float(np.sum(b * (m @ b)) - 2 * np.sum(b * n))
-        i, j = np.nonzero(ok)
-        out = pd.DataFrame({"from_code": [a[k] for k in i], "to_code": [c[k] for k in j], "weight": b[i, j]})
-        head = {k: rows[k].iloc[0] for k in key}
-        return out.assign(**head, status=status, objective=objective)[[*key, "from_code", "to_code", "weight", "status", "objective"]]
-
-    return moments.select(*key, "kind", "i", "j", "value").unionByName(links).groupBy(*key).applyInPandas(fit, schema)
+    moments = checkpointed(moments)
+    links = link_table(oriented(groups.edges)).join(moments.select(*key).distinct(), GROUP)
+    links = checkpointed(links)
+    plain = fixed_links(links.where("n_free = 0"), key).unionByName(one_free_code(links, moments, key)).withColumn("status", F.lit("solved"))
+    return plain.unionByName(several_free_codes(links, moments, key, start))
 
 
 def pure_split_weights(moments: DataFrame, groups: Groups) -> DataFrame:
-    """The fit in closed form where a group has one from-code: N / M projected
-    on the simplex, all in SQL. E7a"""
-    links = oriented(groups.edges)
-    single = links.groupBy("period", "direction", "group_id").agg(F.countDistinct("from_code").alias("n")).where("n = 1").drop("n")
-    links = links.join(single, ["period", "direction", "group_id"]).join(moments.select(*KEY).distinct(), ["period", "direction", "group_id"])
-    m = moments.where("kind = 'm' and i = j").select(*KEY, F.col("i").alias("from_code"), F.col("value").alias("m"))
-    n = moments.where("kind = 'n'").select(*KEY, F.col("i").alias("from_code"), F.col("j").alias("to_code"), F.col("value").alias("n"))
-    z = links.join(m, [*KEY, "from_code"]).join(n, [*KEY, "from_code", "to_code"], "left")
-    z = z.withColumn("z", F.try_divide(F.coalesce("n", F.lit(0.0)), F.col("m")))
-    w = W.partitionBy(*KEY, "from_code").orderBy(F.desc("z"), "to_code")
-    z = z.withColumns({"k": F.row_number().over(w), "css": F.sum("z").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1})
-    z = z.withColumn("theta", F.max_by(F.when(F.col("z") * F.col("k") > F.col("css"), F.col("css") / F.col("k")), F.when(F.col("z") * F.col("k") > F.col("css"), F.col("k"))).over(W.partitionBy(*KEY, "from_code")))
-    return z.select(*KEY, "from_code", "to_code", F.greatest(F.col("z") - F.col("theta"), F.lit(0.0)).alias("weight"))
-
-
-def fit_diagnostics(weights: DataFrame, totals: DataFrame, groups: Groups) -> DataFrame:
+    """The fit in closed form where a group has one from-code, all in SQL. E7a"""
+    links = link_table(oriented(groups.edges)).where("n_links = n_to").join(moments.select(*KEY).distinct(), GROUP)
+    return one_free_code(links, moments, KEY)
+
+
+def objectives(weights: DataFrame, moments: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """key..., objective: tr(B'MB) - 2 tr(B'N), from the entries that are not 0."""
+    b = weights.where("weight <> 0").select(*key, "from_code", "to_code", "weight")
+    one = b.select(*key, F.col("from_code").alias("i"), F.col("to_code").alias("t"), F.col("weight").alias("b_i"))
+    two = b.select(*key, F.col("from_code").alias("j"), F.col("to_code").alias("t"), F.col("weight").alias("b_j"))
+    m = moments.where("kind = 'm'").select(*key, "i", "j", "value").join(one, [*key, "i"]).join(two, [*key, "j", "t"])
+    n = moments.where("kind = 'n'").select(*key, "i", F.col("j").alias("t"), "value").join(one, [*key, "i", "t"])
+    parts = m.select(*key, (F.col("value") * F.col("b_i") * F.col("b_j")).alias("v")).unionByName(n.select(*key, (-2 * F.col("value") * F.col("b_i")).alias("v")))
+    return parts.groupBy(*key).agg(F.sum("v").alias("objective"))
+
+
+def fit_diagnostics(weights: DataFrame, totals: DataFrame, groups: Groups, moments: DataFrame) -> DataFrame:
     """One row for each fitted group. E8"""
     rows = weights.groupBy(*KEY, "from_code").agg(F.sum("weight").alias("s"))
     rows = rows.groupBy(*KEY).agg(F.max(F.abs(F.col("s") - 1)).alias("max_row_sum_deviation"))
     by = weights.groupBy(*KEY).agg(
-        F.first("status").alias("status"), F.first("objective").alias("objective"), F.count(F.lit(1)).alias("n_vars"),
-        F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"),
+        F.first("status").alias("status"), F.count(F.lit(1)).alias("n_vars"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"),
     )
     size = groups.summary.select("period", "group_id", "n_vintage_a", "n_vintage_b", "n_edges")
-    return by.join(rows, KEY).join(totals.select(*KEY, "n_pairs_a", "n_pairs_b"), KEY).join(size, ["period", "group_id"])
+    out = by.join(rows, KEY).join(objectives(weights, moments), KEY, "left").na.fill(0.0, ["objective"])
+    return out.join(totals.select(*KEY, "n_pairs_a", "n_pairs_b"), KEY).join(size, ["period", "group_id"])
 
 
 def unsolved(diagnostics: DataFrame) -> DataFrame:
@@ -231,10 +177,10 @@ def estimate(
     shares = checkpointed(side_shares(trade, groups, flow, measures, exclude))
     totals = checkpointed(group_totals(shares, groups, measures))
     used = usable_shares(shares, totals)
-    moments = normal_moments(used)
+    moments = checkpointed(normal_moments(used))
     weights = checkpointed(fitted_weights(moments, groups))
-    diagnostics = fit_diagnostics(weights, totals, groups)
-    fixed = deterministic_maps(groups).crossJoin(trade.sparkSession.createDataFrame([(m,) for m in measures], "measure string"))
+    diagnostics = fit_diagnostics(weights, totals, groups, moments)
+    fixed = deterministic_maps(groups).crossJoin(F.broadcast(trade.sparkSession.createDataFrame([(m,) for m in measures], "measure string")))
     steps = merge_ambiguous(solved_only(weights) if fail_on_status else weights, fixed, ["period", "direction", "measure"])
     return {
         "shares": used, "totals": totals, "moments": moments, "weights_ambiguous": weights, "weights_deterministic": fixed,

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.functions import metrics as M
 from vintage.functions.codes import panel_label
 from vintage.operators.concordance import Groups
-from vintage.operators.estimation import KEY, fitted_weights, solved_only
+from vintage.operators.estimation import KEY, fitted_weights, normal_moments, solved_only
+from vintage.sources.storage import checkpointed
 
 LINK = ["period", "direction", "measure", "group_id", "from_code", "to_code"]
 
@@ -22,14 +23,14 @@ def reported(weights: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def holdout_bins(shares: DataFrame, n_bins: int, seed: int = 1) -> DataFrame:
     """KEY..., REPORTER, PARTNER, bin: pairs of a group dealt to bins of equal
-    size (up to one) by the rank of a seeded hash. R2
+    size (up to one) by the rank of a seeded MD5 hash, which any engine can repeat. R2
 
     The rank is global over a period, direction and measure: ranks within hash
     buckets, plus what earlier buckets hold, so no window sees all rows."""
     pairs = shares.select(*KEY, "REPORTER", "PARTNER").distinct()
     run = ["period", "direction", "measure"]
-    h = F.xxhash64(F.lit(seed), *KEY, "REPORTER", "PARTNER")
-    pairs = pairs.withColumns({"_h": h, "_b": F.shiftrightunsigned(h, 56)})
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *KEY, "REPORTER", "PARTNER"))
+    pairs = pairs.withColumn("_h", h).withColumn("_b", F.left("_h", F.lit(3)))
     sizes = pairs.groupBy(*run, "_b").agg(F.count(F.lit(1)).alias("_m"))
     before = F.sum("_m").over(W.partitionBy(*run).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select(*run, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -44,40 +45,59 @@ def without_bin(shares: DataFrame, bins: DataFrame, omitted: int) -> DataFrame:
     return shares.join(out, [*KEY, "REPORTER", "PARTNER"], "left_anti")
 
 
-def bin_moments(shares: DataFrame, bins: DataFrame) -> DataFrame:
-    """KEY..., bin, kind, i, j, value: moments of every leave-one-bin-out fit
-    from one pass. R4
+def bin_moments(shares: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moments, emptied): KEY..., bin, kind, i, j, value of every leave-one-bin-out
+    fit whose bin holds pairs of the group, from one pass; and KEY..., bin of those
+    where a side is left without trade, which are not fitted, as in E3. R4
 
-    Raw values keep M additive: for bin b, M_b = (all - bin) / T_a^2 and
-    N_b = (all - bin) / (T_a T_b) with the totals that remain. Groups whose
-    remaining total is zero on a side are left out, as E3 does.
+    Raw values keep M additive: M_b = (what other bins hold) / T_a^2 and N_b =
+    (what other bins hold) / (T_a T_b) with the totals that remain. What others hold is
+    the sum before the bin and the sum after it, not a difference, whose rounding
+    would hide that codes can't be told apart. Without pairs in the bin both moments are
+    what they are in the full fit.
     """
     on = [*KEY, "REPORTER", "PARTNER"]
-    rows = shares.join(bins, on)
+    rows = checkpointed(shares.join(bins, on))
     is_from = (F.col("side") == "a") == (F.col("direction") == "a_to_b")
     x = rows.where(is_from).select(*on, "bin", F.col("code").alias("i"), F.col("value").alias("x"))
-    x2 = x.select(*on, F.col("i").alias("j"), F.col("x").alias("y"))
-    y = rows.where(~is_from).select(*on, F.col("code").alias("j"), F.col("value").alias("y"))
-    per = None
-    for kind, right in (("m", x2), ("n", y)):
-        part = x.join(right, on).groupBy(*KEY, "bin", F.lit(kind).alias("kind"), "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-        per = part if per is None else per.unionByName(part)
-    whole = per.groupBy(*KEY, "kind", "i", "j").agg(F.sum("v").alias("all"))
-    totals = rows.groupBy(*KEY, "bin").agg(F.sum(F.when(is_from, F.col("value"))).alias("tx"), F.sum(F.when(~is_from, F.col("value"))).alias("ty"))
-    all_bins = F.broadcast(bins.select("bin").distinct())
-    sums = totals.groupBy(*KEY).agg(F.coalesce(F.sum("tx"), F.lit(0.0)).alias("sx"), F.coalesce(F.sum("ty"), F.lit(0.0)).alias("sy"))
-    rest = sums.crossJoin(all_bins).join(totals, [*KEY, "bin"], "left").select(
-        *KEY, "bin", (F.col("sx") - F.coalesce("tx", F.lit(0.0))).alias("tx"), (F.col("sy") - F.coalesce("ty", F.lit(0.0))).alias("ty")
-    ).where("tx > 1e-9 and ty > 1e-9")
-    left = whole.join(rest, KEY).join(per, [*KEY, "bin", "kind", "i", "j"], "left")
-    scale = F.when(F.col("kind") == "m", F.col("tx") * F.col("tx")).otherwise(F.col("tx") * F.col("ty"))
-    return left.select(*KEY, "bin", "kind", "i", "j", (F.greatest(F.col("all") - F.coalesce("v", F.lit(0.0)), F.lit(0.0)) / scale).alias("value"))
-
-
-def bin_weights(moments: DataFrame, groups: Groups) -> DataFrame:
-    """LINK..., bin, weight of all refits in one job, the bin one more key of
-    the fit; an unsolved one raises. R4"""
-    return solved_only(fitted_weights(moments, groups, ("bin",))).select(*LINK, "bin", "weight")
+    every = rows.select(*on, F.col("code").alias("j"), F.col("value").alias("y"), F.when(is_from, "m").otherwise("n").alias("kind"))
+    per = x.join(every, on).groupBy(*KEY, "bin", "kind", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    entry = [*KEY, "kind", "i", "j"]
+    per = checkpointed(per.select("*", *_others(["v"], entry)))  # a window has a row for each bin at most
+    whole = per.groupBy(*entry).agg(F.sum("v").alias("all"))
+    zero = F.lit(0.0)
+    totals = rows.groupBy(*KEY, "bin").agg(F.coalesce(F.sum(F.when(is_from, F.col("value"))), zero).alias("tx"), F.coalesce(F.sum(F.when(~is_from, F.col("value"))), zero).alias("ty"))
+    rest = checkpointed(totals.select(*KEY, "bin", *_others(["tx", "ty"], KEY)))
+    some = F.expr("other_tx > 0 and other_ty > 0")
+    left = whole.join(rest.where(some), KEY).join(per, [*entry, "bin"], "left")
+    scale = F.col("other_tx") * F.when(F.col("kind") == "m", F.col("other_tx")).otherwise(F.col("other_ty"))
+    value = F.coalesce("other_v", "all") / scale
+    return left.select(*KEY, "bin", "kind", "i", "j", value.alias("value")), rest.where(~some).select(*KEY, "bin")
+
+
+def _others(columns: list[str], by: list[str]) -> list[Column]:
+    """other_<column>: its sum over the other bins."""
+    w = W.partitionBy(*by).orderBy("bin")
+    before, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    return [(F.coalesce(F.sum(c).over(before), F.lit(0.0)) + F.coalesce(F.sum(c).over(after), F.lit(0.0))).alias(f"other_{c}") for c in columns]
+
+
+def bin_weights(shares: DataFrame, bins: DataFrame, groups: Groups) -> DataFrame:
+    """LINK..., bin, weight of all refits; an unsolved one raises. R4
+
+    A bin without a pair of the group leaves its moments as they are, so the full
+    fit is the refit. The others start at the full fit, and end there at once where
+    it still is the least."""
+    full = checkpointed(fitted_weights(normal_moments(shares), groups))
+    moments, emptied = bin_moments(shares, bins)
+    moments = checkpointed(moments)
+    key = [*KEY, "bin"]
+    changed = moments.select(*key).distinct()
+    start = full.join(changed, KEY).select(*key, "from_code", "to_code", "weight")
+    refits = solved_only(fitted_weights(moments, groups, ("bin",), start)).select(*LINK, "bin", "weight")
+    every = solved_only(full).select(*LINK, "weight").crossJoin(F.broadcast(bins.select("bin").distinct()))  # as many rows as there are bins
+    same = every.join(changed.unionByName(emptied), key, "left_anti")
+    return refits.unionByName(same.select(*LINK, "bin", "weight"))
 
 
 def link_importance(shares: DataFrame, weights: DataFrame) -> DataFrame:

@@ -599,12 +599,12 @@ def holdout_bins(spark, sf_dir):
 @query()
 def bin_weights(spark, sf_dir):
     g, used, bins = _robust(spark, sf_dir)
-    return robustness.bin_weights(robustness.bin_moments(used, bins), g)
+    return robustness.bin_weights(used, bins, g)
 
 
 def _link_runs(spark, sf_dir):
     g, used, bins = _robust(spark, sf_dir)
-    runs = checkpointed(robustness.reported(robustness.bin_weights(robustness.bin_moments(used, bins), g), ("bin",)))
+    runs = checkpointed(robustness.reported(robustness.bin_weights(used, bins, g), ("bin",)))
     summary = robustness.link_summary(runs, N_BINS)
     return used, checkpointed(summary)
 
