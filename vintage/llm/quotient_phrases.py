@@ -1,6 +1,7 @@
 """Operator 13: phrases mined with counting quotient filters.
 
-Words that are common enough get numbers, and a phrase of n words is their
+Words that are common enough get numbers: a block's distinct words go by 128-bit
+hashes to shards, which sum their counts and answer each block. A phrase of n words is their
 numbers packed into n * B bits, B bits a number. A Feistel network permutes these
 bits invertibly; the top bits of the result are the quotient and all the rest is the
 remainder, so a filter loses nothing: it keeps for each quotient how many
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +127,7 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 def word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """block, lang, words (zipped, by line), counts, stream (0: end of a piece), n (words)."""
+    """block, lang, words (zipped, by line), counts, stream (0: end of a piece), n (words), n_distinct."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made, held, size = TaskContext.get().partitionId(), 0, {}, 0
@@ -136,8 +138,8 @@ def word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 stream = np.concatenate(streams)
                 counts = np.bincount(stream, minlength=len(numbers))[1:]
                 words = zstandard.ZstdCompressor(level=1).compress(b"\n".join([*numbers][1:]))
-                rows.append((f"{part}-{made}-{k}", g, words, pack(counts), pack(stream), int(counts.sum())))
-            return pd.DataFrame(rows, columns=["block", "lang", "words", "counts", "stream", "n"])
+                rows.append((f"{part}-{made}-{k}", g, words, pack(counts), pack(stream), int(counts.sum()), len(counts)))
+            return pd.DataFrame(rows, columns=["block", "lang", "words", "counts", "stream", "n", "n_distinct"])
 
         for b in batches:
             for g, t in zip(b["_lang"], b["_text"]):
@@ -153,50 +155,88 @@ def word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield closed()
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("_lang"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, "block string, lang string, words binary, counts binary, stream binary, n long")
+    return rows.mapInPandas(run, "block string, lang string, words binary, counts binary, stream binary, n long, n_distinct long")
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """lang, word, block, number, n: a block's distinct words."""
+def _keys(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit hashes of a language's words as two halves, and their order."""
+    head = lang.encode() + b"\n"
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(head + w) for w in words), ">u8").astype(np.uint64).reshape(-1, 2)
+    high, low = both[:, 0], both[:, 1]
+    return high, low, np.lexsort((low, high))
+
+
+def _words(zipped: bytes, n: int) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(zipped).split(b"\n") if n else []
+
+
+def asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """shard, block, and the keys and counts of a block's distinct words."""
+    bits = shards.bit_length() - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                counts = unpack(r.counts).astype(np.int64)
-                if len(counts):
-                    words = zstandard.ZstdDecompressor().decompress(r.words).decode().split("\n")
-                    yield pd.DataFrame({"lang": r.lang, "word": words, "block": r.block, "number": np.arange(1, len(counts) + 1), "n": counts})
+                counts = unpack(r.counts)
+                high, low, order = _keys(r.lang, _words(r.words, len(counts)))
+                high, low, counts = high[order], low[order], counts[order]
+                edges = np.searchsorted(high, np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - bits)).tolist() if shards > 1 else []
+                cut = [0, *edges, len(counts)]
+                rows = [(k, r.block, pack(high[i:j], rising=True), pack(low[i:j]), pack(counts[i:j])) for k, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                yield pd.DataFrame(rows, columns=["shard", "block", "high", "low", "counts"])
 
-    return blocks.select("lang", "words", "block", "counts").mapInPandas(run, "lang string, word string, block string, number int, n long")
+    return blocks.select("block", "lang", "words", "counts").mapInPandas(run, "shard int, block string, high binary, low binary, counts binary")
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written, with ``id``: whole numbers from 1 without gaps."""
-    out = written(df.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
-    before, starts = 1, []
-    for part, n in sorted((r.part, r.n) for r in out.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # one a partition
-        starts.append((part, before))
-        before += n
-    starts = df.sparkSession.createDataFrame(starts, "part int, start long")
-    return out.join(F.broadcast(starts), "part").withColumn("id", F.col("nth") + F.col("start")).drop("part", "nth", "start")
+def answered(requests: DataFrame, shards: int, least: int) -> DataFrame:
+    """block, shard, the number of each word asked for (0: not common), which of
+    them this block is to spell (each common word is spelt by one block), and the counts of these."""
 
-
-def coded(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """block, ids: the streams with the numbers of common words; 0 else."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        high, low, counts = (list(map(unpack, part[c])) for c in ("high", "low", "counts"))
+        stops = np.cumsum([len(c) for c in counts])
+        high, low, counts = np.concatenate(high), np.concatenate(low), np.concatenate(counts).astype(np.int64)
+        order = np.lexsort((low, high))
+        first = np.ones(len(order), bool)
+        first[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        at = np.flatnonzero(first)
+        sums = np.add.reduceat(counts[order], at)
+        often = sums >= least
+        ids = np.where(often, (np.cumsum(often) - 1) * shards + int(part["shard"].iloc[0]) + 1, 0)
+        mine, spell, a = np.empty(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        mine[order] = ids[np.cumsum(first) - 1]
+        spell[order[at[often]]] = 1
+        a[order[at]] = sums
+        rows = zip(*[np.split(x, stops[:-1]) for x in (mine, spell, a)])
+        return pd.DataFrame([(b, k, pack(i), pack(s), pack(c[s > 0])) for b, k, (i, s, c) in zip(part["block"], part["shard"], rows)], columns=["block", "shard", "ids", "spell", "a"])
+
+    return requests.groupBy("shard").applyInPandas(run, "block string, shard int, ids binary, spell binary, a binary")
+
+
+def coded(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """ids (the streams with the numbers of common words; 0 else), lang, and
+    the id, a and word of what the block spells."""
 
     def run(block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        r = block.iloc[0]
+        r, got = block.iloc[0], got.sort_values("shard")
         stream = unpack(r["stream"]).astype(np.int64)
-        ids = np.zeros(int(stream.max(initial=0)) + 1, np.int64)
-        ids[got["number"].to_numpy()] = got["id"].to_numpy()
+        ids, own, spelt = np.zeros(int(stream.max(initial=0)) + 1, np.int64), np.zeros(0, np.int64), []
+        if len(got):
+            words = _words(r["words"], len(ids) - 1)
+            order = _keys(r["lang"], words)[2]
+            told = np.concatenate([unpack(x) for x in got["ids"]]).astype(np.int64)
+            ids[order + 1] = told
+            mine = np.flatnonzero(np.concatenate([unpack(x) for x in got["spell"]]))
+            own, spelt = told[mine], [words[k].decode() for k in order[mine]]
         out = ids[stream]
         # of a run of zeros one is enough
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
-        return pd.DataFrame({"ids": [pack(out[keep])]})
+        a = np.concatenate([unpack(x) for x in got["a"]]).astype(np.int64) if len(got) else own
+        return pd.DataFrame({"ids": [pack(out[keep])], "lang": [r["lang"]], "id": [own.tolist()], "a": [a.tolist()], "word": [spelt]})
 
-    found = block_words(blocks).join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "number", "id")
-    return blocks.select("block", "stream").groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, "ids binary")
+    schema = "ids binary, lang string, id array<long>, a array<long>, word array<string>"
+    return blocks.select("block", "lang", "words", "stream").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
 
 # ----------------------------------------------------------------- phrases
@@ -297,16 +337,17 @@ def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, percent: int
     spark = docs.sparkSession
     blocks = written(word_blocks(docs, text, lang), "blocks")
     totals = written(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = block_words(blocks).groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    words = written(numbered(words, "common"), "words")
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a")).first()
-    bits, entries = max(1, int(size.n).bit_length()), size.a or 0
+    shards = _shards(blocks.agg(F.sum("n_distinct")).first()[0] or 0)
+    streams = written(coded(blocks, answered(asked(blocks, shards), shards, least)), "streams")
+    words = streams.select("lang", F.explode(F.arrays_zip("id", "a", "word")).alias("w")).select(F.col("w.id").alias("id"), "lang", F.col("w.word").alias("word"), F.col("w.a").alias("a"))
+    words = written(words, "words")
+    size = words.agg(F.max("id").alias("id"), F.sum("a").alias("a")).first()
+    bits, entries = max(1, int(size.id or 0).bit_length()), size.a or 0
     if bits > 32:
         raise ValueError("more common words than 32 bits can number")
-    streams = written(coded(blocks, words), "streams")
     phrases, common = None, None
     for n in range(2, longest + 1):
-        skip = min(2 * bits, max(0, -(-entries // SHARD) - 1).bit_length())
+        skip = min(2 * bits, _shards(entries).bit_length() - 1)
         level = written(common_phrases(filters(streams, n, bits, skip, common), n, bits, skip, least), f"phrases-{n}")
         phrases = level if phrases is None else phrases.unionByName(level)
         entries = level.agg(F.sum("a")).first()[0] or 0
@@ -317,6 +358,11 @@ def mine(docs: DataFrame, least: int = 100, longest: int = LONGEST, percent: int
     return phrase_scores(words, phrases.drop("h"), totals, percent)
 
 
+def _shards(entries: int) -> int:
+    """A power of two of shards of about SHARD entries."""
+    return 1 << max(0, -(-entries // SHARD) - 1).bit_length()
+
+
 def ranked(phrases: DataFrame, most: int) -> DataFrame:
     """The first ``most`` of each language by score, count and phrase. A
     language's phrases are dealt over tasks that keep as many each."""
