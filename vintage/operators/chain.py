@@ -112,9 +112,11 @@ def chain_origin(steps: DataFrame, universe: DataFrame, origin: int, target: int
     return Chained(_tag(now, **tags), _tag(diag, **tags) if diag is not None else None, _tag(bad, **tags) if bad is not None else None)
 
 
-def chain_range(steps: DataFrame, universe: DataFrame, first: int, last: int, target: int, measures: list[str], revised: DataFrame | None = None, final: bool = True) -> Chained:
+def chain_range(steps: DataFrame, universe: DataFrame, first: int, last: int, target: int, measures: list[str], revised: DataFrame | None = None, final: bool = True, ready: dict[int, DataFrame] | None = None) -> Chained:
     """Every year of first..last to the target, folded from the right: a year
-    reuses the chain of the year next to it. C4, C5"""
+    reuses the chain of the year next to it. Chains of ``ready`` (origin -> LINK) are taken
+    as they are; the result has the others only. C4, C5"""
+    ready = ready or {}
     weights, bad, diag = None, None, None
 
     def add(new: DataFrame | None, old: DataFrame | None) -> DataFrame | None:
@@ -122,11 +124,14 @@ def chain_range(steps: DataFrame, universe: DataFrame, first: int, last: int, ta
 
     codes = _codes(universe, target, measures)
     same = codes.select("measure", F.col("code").alias("from_code"), F.col("code").alias("to_code"), F.lit(1.0).alias("weight"))
-    if first <= target <= last:
+    if first <= target <= last and target not in ready:
         weights = _tag(same, origin_year=target, target_year=target, direction="identity")
     for sign, years in ((1, range(target - 1, first - 1, -1)), (-1, range(target + 1, last + 1))):
         later = None
         for year in years:
+            if year in ready:
+                later = ready[year]
+                continue
             own_revised = _revised(revised, year, year + sign)
             step, gone = complete_step(_step(steps, year, year + sign), _codes(universe, year, measures), own_revised)
             if later is None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.functions import metrics as M
@@ -66,41 +65,33 @@ def carry_rows(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return both.groupBy(*[c for c in both.columns if c != "value"]).agg(F.sum("value").alias("value"))
 
 
-def scaled_flows(rows: DataFrame, group_map: DataFrame, level: str = "bilateral") -> DataFrame:
-    """year, unit..., group_id, code, flow: value over the denominator's total;
-    groups with trade only. B4, B5"""
-    unit = LEVELS[level]
-    found = rows.join(group_map, "code").groupBy("year", *unit, "group_id", "code").agg(F.sum("value").alias("value"))
-    total = F.sum("value").over(W.partitionBy("year", *DENOMINATOR[level], "group_id"))
-    return found.withColumn("_t", total).where("_t > 0").withColumn("flow", F.col("value") / F.col("_t")).drop("_t", "value")
+def scaled_flows(rows: DataFrame, group_map: DataFrame, level: str = "bilateral", by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., year, unit..., group_id, code, flow: value over the denominator's
+    total; groups with trade only. ``by`` are further keys of both tables. B4, B5"""
+    unit, of = LEVELS[level], [*by, "year", *DENOMINATOR[level], "group_id"]
+    found = rows.join(group_map, [*by, "code"]).groupBy(*by, "year", *unit, "group_id", "code").agg(F.sum("value").alias("value"))
+    total = found.groupBy(*of).agg(F.sum("value").alias("_t")).where("_t > 0")  # not a window: a giant group's pairs stay where they are
+    return found.join(total, of).withColumn("flow", F.col("value") / F.col("_t")).select(*by, "year", *unit, "group_id", "code", "flow")
 
 
-def completed_panel(flows: DataFrame, group_map: DataFrame, level: str = "bilateral") -> DataFrame:
-    """year, unit..., group_id, code, lag, flow: units seen in a group in either
+def completed_panel(flows: DataFrame, group_map: DataFrame, level: str = "bilateral", by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., year, unit..., group_id, code, lag, flow: units seen in a group in either
     of two neighbouring years, times the group's codes, 0 where absent. B6, B7"""
-    unit = LEVELS[level]
-    years = flows.select("year").distinct()
-    pairs = years.select((F.col("year") + 1).alias("year")).join(years, "year")
+    unit = [*by, *LEVELS[level]]
+    years = flows.select(*by, "year").distinct()
+    pairs = years.select(*by, (F.col("year") + 1).alias("year")).join(years, [*by, "year"])
     seen = flows.select("year", *unit, "group_id").distinct()
-    either = seen.union(seen.withColumn("year", F.col("year") + 1)).distinct().join(pairs, "year", "left_semi")
-    cells = either.join(group_map.select("group_id", "code").distinct(), "group_id")
+    either = seen.union(seen.withColumn("year", F.col("year") + 1)).distinct().join(pairs, [*by, "year"], "left_semi")
+    cells = either.join(group_map.select(*by, "group_id", "code").distinct(), [*by, "group_id"])
     key = ["year", *unit, "group_id", "code"]
     now = flows.select(*key, "flow")
     before = flows.select((F.col("year") + 1).alias("year"), *unit, "group_id", "code", F.col("flow").alias("lag"))
     return cells.join(now, key, "left").join(before, key, "left").na.fill(0.0, ["flow", "lag"])
 
 
-def contaminating_codes(edges: DataFrame, at: int, years: list[int]) -> dict[int, DataFrame]:
-    """Non-bijective codes (code) of other years than ``at``: of the step that
-    leads on from a later year, or into an earlier one. B8"""
-    bad = nonbijective_codes(edges)
-    period = {y: f"{y}{y + 1}" if y >= at else f"{y - 1}{y}" for y in years}
-    return {y: bad.where((F.col("period") == period[y]) & (F.col("side") == ("a" if y >= at else "b"))).select("code") for y in years}
-
-
 def contaminated_groups(group_map: DataFrame, codes: dict[int, DataFrame], edges: DataFrame, at: int) -> DataFrame:
-    """group_id, code of the group map hit by codes of other years (see
-    ``contaminating_codes``), carried to its vintage ``at``. B8, B9"""
+    """group_id, code of the group map hit by codes of other years
+    (year -> code), carried to its vintage ``at``. B8, B9"""
     out = None
     for y, bad in codes.items():
         hit = group_map.join(carry_codes(bad, edges, y, at), "code", "left_semi").select("group_id", "code")
@@ -108,6 +99,26 @@ def contaminated_groups(group_map: DataFrame, codes: dict[int, DataFrame], edges
     return out.distinct()
 
 
+def contamination(maps: DataFrame, edges: DataFrame, break_a: int, years: list[int]) -> DataFrame:
+    """year, side, group_id, code: codes of the groups (side, code, group_id)
+    that non-bijective links of other steps reach. Steps that end by ``break_a`` are
+    carried on to the a side, those after the break back to the b side; a step's own far
+    side cannot be carried through it. B8"""
+    out = None
+    for y in years:
+        if y + 1 <= break_a:
+            side, source, at = "b", y + 1, break_a
+        elif y >= break_a + 1:
+            side, source, at = "a", y, break_a + 1
+        else:
+            continue
+        bad = nonbijective_codes(edges.where(F.col("period") == f"{y}{y + 1}")).where(F.col("side") == side).select("code")
+        own = maps.where(F.col("side") == ("a" if at == break_a else "b"))
+        hit = own.join(carry_codes(bad, edges, source, at), "code", "left_semi").select(F.lit(y).alias("year"), "side", "group_id", "code")
+        out = hit if out is None else out.union(hit)
+    return out
+
+
 def deterministic_basis(universe: DataFrame, group_map: DataFrame, year: int) -> DataFrame:
     """code, group_id of all codes of a year; those outside the groups are
     groups of their own. B10"""
@@ -118,10 +129,40 @@ def deterministic_basis(universe: DataFrame, group_map: DataFrame, year: int) ->
 
 
 def basis_side(year: Column, break_a: Column) -> Column:
-    """B11"""
+    """The side of the break whose vintage a pair of years is measured in, by its later year. B11"""
     return F.when(year <= break_a, "a").otherwise("b")
 
 
+def carried_to_sides(rows: DataFrame, edges: DataFrame, break_a: int, first: int, last: int) -> DataFrame:
+    """side, year and units, code, value: facts in the vintage of their side of
+    the break between ``break_a`` and the year after, from one join of the facts with
+    the code maps of both. The two years at the break are carried to both, so that
+    the pair across it can be built on either side. B11"""
+    rows = rows.where(F.col("year").between(first, last))
+    codes = checkpointed(rows.select("year", "code").distinct())
+    maps = None
+    for side, basis, lo, hi in (("a", break_a, first, break_a + 1), ("b", break_a + 1, break_a, last)):
+        own = code_map(codes.where(F.col("year").between(lo, hi)), edges, basis, lo, hi).withColumn("side", F.lit(side))
+        maps = own if maps is None else maps.unionByName(own)
+    return checkpointed(carry_rows(rows, maps))
+
+
+def side_maps(edges: DataFrame, groups: DataFrame, period: str) -> DataFrame:
+    """side, code, group_id of the codes of chosen groups (group_id) at a break. B11"""
+    at = edges.where(F.col("period") == period).join(groups.select("group_id"), "group_id", "left_semi")
+    a = at.select(F.lit("a").alias("side"), F.col("vintage_a_code").alias("code"), "group_id")
+    return a.union(at.select(F.lit("b"), "vintage_b_code", "group_id")).distinct()
+
+
+def side_panels(carried: DataFrame, maps: DataFrame, break_a: int, level: str = "bilateral") -> DataFrame:
+    """side, year, unit..., group_id, code, lag, flow, across: completed panels of
+    each side; the pair across the break is there for both, and marked. B11"""
+    flows = scaled_flows(carried, maps, level, ("side",))
+    panel = completed_panel(flows, maps, level, ("side",))
+    across = F.col("year") == break_a + 1
+    return panel.withColumn("across", across).where(across | (F.col("side") == basis_side(F.col("year"), F.lit(break_a))))
+
+
 def persistence(panel: DataFrame, by: tuple[str, ...] = ("year",)) -> DataFrame:
     """by..., coef, se, n, r2_45 of flow on its lag. B12"""
     coef = M.slope_hc1(panel, "lag", "flow", by)

@@ -104,6 +104,58 @@ def chained_relations(edges: DataFrame, universe: DataFrame, anchor: int, years:
     return out
 
 
+def relation_table(edges: DataFrame, universe: DataFrame, first: int, last: int, sign: int = 1) -> DataFrame:
+    """level, year, from_code, to_code: the relation over 2**level steps from
+    each year, forwards (sign 1) or back (-1). Each step is completed by identity on every
+    code ever seen, so that carrying a code on is a link like any other and the
+    product is associative. A level is one join, for all years at once. D5"""
+    s, o = ("a", "b") if sign > 0 else ("b", "a")
+    e = edges.select(F.col(f"vintage_{s}_year").cast("int").alias("year"), F.col(f"vintage_{s}_code").alias("from_code"), F.col(f"vintage_{o}_code").alias("to_code")).distinct()
+    e = checkpointed(e.where(F.col("year").between(first, last) & (F.col("year") + sign).between(first, last)))
+    codes = universe.select("code").union(edges.select("vintage_a_code")).union(edges.select("vintage_b_code")).distinct()
+    years = range(first, last) if sign > 0 else range(first + 1, last + 1)
+    every = codes.select(F.explode(F.array(*[F.lit(y) for y in years])).alias("year"), F.col("code").alias("from_code"))
+    rest = every.join(e, ["year", "from_code"], "left_anti").withColumn("to_code", F.col("from_code"))
+    now = checkpointed(e.unionByName(rest))
+    out, level = now.withColumn("level", F.lit(0)), 0
+    while 2 << level <= last - first:
+        right = now.select((F.col("year") - sign * (1 << level)).alias("year"), F.col("from_code").alias("mid"), F.col("to_code").alias("last"))
+        now = checkpointed(now.withColumnRenamed("to_code", "mid").join(right, ["year", "mid"]).select("year", "from_code", F.col("last").alias("to_code")).distinct())
+        level += 1
+        out = out.unionByName(now.withColumn("level", F.lit(level)))
+    return out
+
+
+def relations_between(table: DataFrame, universe: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """anchor, compare_year, from_code, to_code of all (anchor, compare year)
+    pairs of one direction, from the codes seen at each anchor: a join for each
+    binary digit of the longest span, whatever the number of pairs. D8"""
+    spark = table.sparkSession
+    longest = max(abs(t - a) for a, t in pairs)
+    rows = spark.createDataFrame(pairs, "anchor int, compare_year int")
+    start = universe.where(F.col("year").isin(sorted({a for a, _ in pairs}))).select(F.col("year").alias("anchor"), F.col("code").alias("from_code")).distinct()
+    now = start.join(F.broadcast(rows), "anchor").withColumns({"at": F.col("anchor"), "to_code": F.col("from_code")})
+    for level in range(longest.bit_length()):
+        step = table.where(F.col("level") == level).select(F.col("year").alias("at"), F.col("from_code").alias("to_code"), F.col("to_code").alias("next"))
+        moves = F.abs(F.col("compare_year") - F.col("anchor")).bitwiseAND(F.lit(1 << level)) != 0
+        far = now.where(moves).join(step, ["at", "to_code"])
+        sign = F.when(F.col("compare_year") > F.col("anchor"), 1).otherwise(-1)
+        far = far.withColumns({"to_code": F.col("next"), "at": (F.col("at") + sign * (1 << level)).cast("int")}).drop("next").distinct()
+        now = checkpointed(now.where(~moves).unionByName(far))
+    return now.select("anchor", "compare_year", "from_code", "to_code")
+
+
+def all_link_distributions(edges: DataFrame, universe: DataFrame, first: int, last: int) -> DataFrame:
+    """anchor, compare_year, class, n, share for every two years of first..last. D8"""
+    out = None
+    for sign in (1, -1):
+        pairs = [(a, t) for a in range(first, last + 1) for t in range(first, last + 1) if (t - a) * sign > 0]
+        part = relations_between(relation_table(edges, universe, first, last, sign), universe, pairs)
+        out = part if out is None else out.unionByName(part)
+    key = ["anchor", "compare_year"]
+    return class_counts(relation_classes(out, key), key)
+
+
 def chained_link_distribution(edges: DataFrame, universe: DataFrame, anchor: int, years: list[int]) -> DataFrame:
     """compare_year, class, n, share of the anchor's codes, which must be the
     same number in every year. D8"""

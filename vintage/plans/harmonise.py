@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.operators import apply, chain, concordance, estimation
+from vintage.operators import apply, chain, chain_store, concordance, estimation
 from vintage.operators.weights import assert_empty, finalise, invalid, missing_codes
 from vintage.sources.storage import checkpointed
 
@@ -15,10 +15,12 @@ KEYS = ["origin_year", "target_year", "direction", "measure"]
 def harmonise(
     trade: DataFrame, edges: DataFrame, target: int, first: int, last: int, measures: tuple[str, ...] = ("VALUE_EUR", "QUANTITY_KG"),
     steps: DataFrame | None = None, chains: DataFrame | None = None, strict: bool = False, assume_identity: bool = True,
-    do_apply: bool = True, flow: str = "1",
+    do_apply: bool = True, flow: str = "1", store: str | None = None,
 ) -> dict[str, DataFrame]:
     """Every stage can be skipped by giving its result (``steps``, ``chains``)
-    or switched off. Returns the tables that were made. Z1-Z3, Z5-Z7
+    or switched off. Returns the tables that were made. With a ``store`` (a path),
+    chains are kept there, and only those whose steps or codes have changed since are
+    built again; ``out["built"]`` lists their origins. Z1-Z3, Z5-Z7, S10
 
     Refused, with an error that names some rows: years of links that do not
     follow each other, unsolved fits, weights that cannot be finalised, origin
@@ -37,10 +39,16 @@ def harmonise(
             out |= {k: made[k] for k in ("diagnostics", "summary")}
             steps = checkpointed(made["weights"])
         out["steps"] = steps
-        made = chain.chain_range(steps, universe, first, last, target, list(measures), revised, final=False)
-        out |= {"chain_diagnostics": made.diagnostics, "unresolved": made.unresolved}
-        chain.assert_complete(made, universe)
-        chains = made.weights
+        if store is None:
+            made = chain.chain_range(steps, universe, first, last, target, list(measures), revised, final=False)
+            chains = made.weights
+        else:
+            chains, built, made = chain_store.refresh(store, steps, universe, first, last, target, list(measures), revised)
+            out["built"] = trade.sparkSession.createDataFrame([(y,) for y in built], "origin_year int")
+        if made is not None:
+            out |= {"chain_diagnostics": made.diagnostics, "unresolved": made.unresolved}
+        whole = chain.Chained(chains, None, made.unresolved if made is not None else None)
+        chain.assert_complete(whole, universe)
     chains = checkpointed(finalise(chains, KEYS))
     assert_empty(invalid(chains, KEYS), "chained weights that are not valid")
     out["chains"] = chains

@@ -14,10 +14,16 @@ _written: list[tuple[SparkSession, str]] = []
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table under the shared folder that
     ``spark.checkpoint.dir`` names, and read back: computed once, and safe
-    when executors are lost. The table goes when the driver ends. Only where all
-    run on one machine (tests) may the setting be absent: then a folder of our
+    when executors are lost. The table goes when the driver ends."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends. Only where
+    all run on one machine (tests) may the setting be absent: then a folder of our
     own is used; a cluster without it is refused."""
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -28,8 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def _clean() -> None:
