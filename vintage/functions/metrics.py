@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vintage.operators.skew import crowded_keys, dealt_join
+from vintage.sources.storage import checkpointed
+
 
 def finite(*columns: Column) -> Column:
     out = F.lit(True)
@@ -101,24 +104,53 @@ def slope_hc1(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
     return out.select(*by, "coef", F.sqrt(scale * F.try_divide(F.col("_meat"), F.col("_xx") * F.col("_xx"))).alias("se"), "n")
 
 
-def average_rank(value: str, by: tuple[str, ...]) -> Column:
-    """Rank with ties at their mean. M11"""
-    w = W.partitionBy(*by).orderBy(value)
-    ties = F.count(F.lit(1)).over(W.partitionBy(*by, value))
-    return F.rank().over(w) + (ties - 1) / 2
-
+def value_ranks(df: DataFrame, column: str, by: tuple[str, ...]) -> DataFrame:
+    """by..., column, n (rows of this value), before (rows of lower values).
 
-def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
-    """by..., spearman; NULL under two rows. M11"""
-    ranked = df.where(finite(F.col(x), F.col(y))).withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
-    return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 2, F.corr("_rx", "_ry")).alias("spearman"))
+    Values are counted first, so ties are one row, and dealt by ranges; a rank is
+    that within its range and what the ranges before hold. No task sees all
+    values of a key. M11, M12"""
+    spark = df.sparkSession
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = checkpointed(counts.repartitionByRange(ranges, *by, column).withColumn("_p", F.spark_partition_id()))
+    earlier = W.unboundedPreceding, -1
+    within = F.coalesce(F.sum("n").over(W.partitionBy("_p", *by).orderBy(column).rowsBetween(*earlier)), F.lit(0))
+    sizes = counts.groupBy("_p", *by).agg(F.sum("n").alias("_m"))  # keys and ranges together at most
+    sizes = sizes.select("_p", *by, F.coalesce(F.sum("_m").over(W.partitionBy(*by).orderBy("_p").rowsBetween(*earlier)), F.lit(0)).alias("_before"))
+    return counts.withColumn("_w", within).join(sizes, ["_p", *by]).select(*by, column, "n", (F.col("_w") + F.col("_before")).alias("before"))
 
 
-def spread_summary(column: str) -> list[Column]:
-    """Exact quantiles and shares under fixed limits. M12"""
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
+    """by..., spearman; NULL under two rows; ties have their mean rank. M11"""
+    rows = checkpointed(df.where(finite(F.col(x), F.col(y))).select(*by, x, y))
+    n = rows.count()
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        rank = value_ranks(rows, c, by).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+        rows = dealt_join(rows, rank, [*by, c], crowded_keys(rows, [*by, c], n), [y if c == x else "_rx"])
+    return rows.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 2, F.corr("_rx", "_ry")).alias("spearman"))
+
+
+def quantiles(df: DataFrame, column: str, by: tuple[str, ...], points: tuple[int, ...] = (50, 75, 90, 95)) -> DataFrame:
+    """by..., p<point>...: exact quantiles in percent, between two values in
+    proportion, read from ranks. M12"""
+    ranks = value_ranks(df.where(finite(F.col(column))), column, by)
+    total = ranks.groupBy(*by).agg(F.sum("n").alias("_n"))
+    rows = ranks.join(total, list(by))
+    picks = []
+    for p in points:
+        h = (F.col("_n") - 1) * (p / 100)
+        for name, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(column))).alias(f"_{name}{p}"))
+    picked = rows.groupBy(*by).agg(F.max("_n").alias("_n"), *picks)
+    h = lambda p: (F.col("_n") - 1) * (p / 100)
+    return picked.select(*by, *[(F.col(f"_lo{p}") + (F.col(f"_hi{p}") - F.col(f"_lo{p}")) * (h(p) - F.floor(h(p)))).alias(f"p{p}") for p in points])
+
+
+def limit_shares(column: str) -> list[Column]:
+    """Shares under and over fixed limits. M12"""
     c = F.col(column)
-    out = [F.percentile(c, F.lit(q / 100)).alias(f"p{q}") for q in (50, 75, 90, 95)]
-    out += [F.avg((c <= t).cast("double")).alias(f"share_le_{str(t)[2:]}") for t in (0.05, 0.10)]
+    out = [F.avg((c <= t).cast("double")).alias(f"share_le_{str(t)[2:]}") for t in (0.05, 0.10)]
     return [*out, F.avg((c > 0.20).cast("double")).alias("share_gt_20")]
 
 

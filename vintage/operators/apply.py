@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from vintage.functions.codes import normalise_code
 from vintage.operators.weights import STRATEGIES, assert_empty, finalise, missing_codes
+from vintage.sources.storage import bucketed
 
 MEASURES = ("VALUE_EUR", "QUANTITY_KG")
 CODE = "PRODUCT_NC"
+#: output -> measure and whose weights
+WIDE = {f"{m}_w_{name}": (m, tag) for tag, name in (("VALUE_EUR", "value"), ("QUANTITY_KG", "quantity")) for m in MEASURES}
 
 
 def with_year(trade: DataFrame) -> DataFrame:
@@ -46,8 +49,14 @@ def _pivoted(weights: DataFrame, on: list[str], tags: list[str], assume_identity
 def _weighted(trade: DataFrame, weights: DataFrame, on: list[str], outputs: dict[str, tuple[str, str]], assume_identity: bool) -> DataFrame:
     """Outputs (measure, tag of its weights) by the new code and the ids."""
     tags = sorted({t for _, t in outputs.values()})
+    return recode_pivoted(trade, _pivoted(weights, on, tags, assume_identity), on, outputs, assume_identity)
+
+
+def recode_pivoted(trade: DataFrame, pivoted: DataFrame, on: list[str], outputs: dict[str, tuple[str, str]], assume_identity: bool = True) -> DataFrame:
+    """The same with weights that have a column for each tag (see
+    ``store_for_recoding``): one join and one aggregate."""
     ids = [c for c in trade.columns if c not in MEASURES]
-    both = trade.join(_pivoted(weights, on, tags, assume_identity), [*on, CODE], "left" if assume_identity else "inner")
+    both = trade.join(pivoted, [*on, CODE], "left" if assume_identity else "inner")
     same = F.col("to_code").isNull()
     return both.groupBy(*[i for i in ids if i != CODE], F.coalesce("to_code", CODE).alias(CODE)).agg(*[
         F.coalesce(F.sum(F.col(m) * F.when(same, 1.0).otherwise(F.coalesce(F.col(f"w_{t}"), F.lit(0.0)))), F.lit(0.0)).alias(name) for name, (m, t) in outputs.items()
@@ -67,8 +76,22 @@ def apply_strategy(trade: DataFrame, weights: DataFrame, strategy: str = "weight
 def apply_wide(trade: DataFrame, weights: DataFrame, assume_identity: bool = True, on: tuple[str, ...] = ("origin_year",)) -> DataFrame:
     """Both measures under value weights and under quantity weights, with the
     gates of ``apply_strategy``. A3, A5, A6"""
-    outputs = {f"{m}_w_{name}": (m, tag) for tag, name in (("VALUE_EUR", "value"), ("QUANTITY_KG", "quantity")) for m in MEASURES}
-    return _apply(trade, weights, outputs, assume_identity, list(on))
+    return _apply(trade, weights, WIDE, assume_identity, list(on))
+
+
+def store_for_recoding(trade: DataFrame, weights: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(facts, pivoted weights) as tables in equal buckets of (origin_year, code),
+    sorted: ``recode_stored`` joins them bucket by bucket, without moving a row. Facts are laid
+    out once and re-coded to any number of targets. S1, S2"""
+    on = ["origin_year", CODE]
+    final = finalise(weights.select("origin_year", "measure", "from_code", "to_code", "weight"), ["origin_year", "measure"])
+    pivoted = _pivoted(final, ["origin_year"], sorted(MEASURES), True)
+    return bucketed(trade, on, buckets), bucketed(pivoted, on, buckets)
+
+
+def recode_stored(facts: DataFrame, pivoted: DataFrame) -> DataFrame:
+    """``apply_wide`` on stored tables. A3"""
+    return recode_pivoted(facts, pivoted, ["origin_year"], WIDE)
 
 
 def _apply(trade: DataFrame, weights: DataFrame, outputs: dict[str, tuple[str, str]], assume_identity: bool, on: list[str]) -> DataFrame:

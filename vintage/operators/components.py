@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vintage.operators.skew import crowded_keys, dealt_join
 from vintage.sources.storage import checkpointed
 
 
@@ -14,18 +15,25 @@ def components(edges: DataFrame, key: list[str]) -> DataFrame:
 
     A round takes the least label among the neighbours and then jumps to the
     label's own label, so rounds grow with the logarithm of the longest path.
-    Only a count of changed labels comes to the driver.
+    Only counts and crowded keys come to the driver: a hub's links, and the
+    nodes of a giant component at the jump to its label, are dealt over several tasks.
     """
     both = edges.select(*key, "u", "v").union(edges.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = checkpointed(both)
+    n_links = both.count()
+    hubs = crowded_keys(both, [*key, "v"], n_links)
     labels = both.groupBy(*key, F.col("u").alias("node")).agg(F.min("v").alias("m")).select(*key, "node", F.least("node", "m").alias("component"))
     labels = checkpointed(labels)
     while True:
-        near = both.join(labels.select(*key, F.col("node").alias("v"), "component"), [*key, "v"])
+        near = dealt_join(both, labels.select(*key, F.col("node").alias("v"), "component"), [*key, "v"], hubs, ["u"])
         near = near.groupBy(*key, F.col("u").alias("node")).agg(F.min("component").alias("m"))
         new = labels.join(near, [*key, "node"]).select(*key, "node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        if n_links > 10_000:  # the table is read three times below
+            new = checkpointed(new)
         jump = new.select(*key, F.col("node").alias("c"), F.col("c").alias("further"))
-        new = checkpointed(new.join(jump, [*key, "c"]).select(*key, "node", "old", F.least("c", "further").alias("component")))
+        giant = crowded_keys(new, [*key, "c"], n_links)
+        new = dealt_join(new, jump, [*key, "c"], giant, ["node"])
+        new = checkpointed(new.select(*key, "node", "old", F.least("c", "further").alias("component")))
         labels = new.drop("old")
         if new.where("old <> component").isEmpty():
             return labels

@@ -119,7 +119,8 @@ def link_summary(runs: DataFrame, n_runs: int) -> DataFrame:
 
 def robustness_row(summary: DataFrame, by: tuple[str, ...] = ("period", "direction", "measure")) -> DataFrame:
     """R7"""
-    return summary.groupBy(*by).agg(F.count(F.lit(1)).alias("n_links"), *M.spread_summary("w_range"))
+    counts = summary.groupBy(*by).agg(F.count(F.lit(1)).alias("n_links"), *M.limit_shares("w_range"))
+    return counts.join(M.quantiles(summary, "w_range", by), list(by))
 
 
 def target_years(first: int, last: int) -> list[int]:

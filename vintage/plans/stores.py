@@ -35,6 +35,37 @@ def refreshed_chains(spark, sf_dir):
     return chains.select("origin_year", F.col("origin_year").isin(built).alias("built"), "from_code", "to_code", *r6("weight"))
 
 
+# ------------------------------------------------------------ stored layout
+@query(_recode_sql("trade", "t.PERIOD", _WIDE))
+def apply_stored(spark, sf_dir):
+    """Re-coding of facts and weights that are stored in equal buckets."""
+    rows, w = _applied(spark, sf_dir)
+    facts, pivoted = apply.store_for_recoding(rows, w, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _rounded(apply.recode_stored(facts, pivoted))
+
+
+# ------------------------------------------------------------ ranks at scale
+PARTS["lnk"] = "SELECT v.origin_year, v.from_code, v.to_code, v.weight AS v, q.weight AS q FROM chain v JOIN chainq q USING (origin_year, from_code, to_code)"
+
+
+def _both_weights(spark, sf_dir) -> DataFrame:
+    w = checkpointed(uniform_chains(spark, sf_dir, BOTH).weights)
+    w = w.groupBy("origin_year", "from_code", "to_code").pivot("measure", BOTH).agg(F.round(F.sum("weight"), 9))
+    return w.select(F.lit("all").alias("links"), "origin_year", F.col("VALUE_EUR").alias("v"), F.col("QUANTITY_KG").alias("q"))
+
+
+@query("""SELECT round(corr(rx, ry),6) AS spearman FROM (SELECT rank() OVER (ORDER BY v)+(count(*) OVER (PARTITION BY v)-1)/2.0 AS rx, rank() OVER (ORDER BY q)+(count(*) OVER (PARTITION BY q)-1)/2.0 AS ry FROM (SELECT round(v,9) AS v, round(q,9) AS q FROM lnk))""")
+def weight_rank_correlation(spark, sf_dir):
+    """Rank correlation of value and quantity weights over all chained links. M11"""
+    return M.spearman(_both_weights(spark, sf_dir), "v", "q", ("links",)).select(*r6("spearman"))
+
+
+@query("SELECT origin_year, " + ", ".join(f"round(quantile_cont(v,{p / 100}),6) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM lnk GROUP BY 1")
+def weight_quantiles(spark, sf_dir):
+    """Quantiles of the chained weights of each origin. M12"""
+    return M.quantiles(_both_weights(spark, sf_dir), "v", ("origin_year",), (5, 25, 50, 75, 95)).select("origin_year", *r6("p5", "p25", "p50", "p75", "p95"))
+
+
 # ------------------------------------------------------------------- months
 def _sink(spark, sf_dir) -> str:
     """A sink fed by three files: two with the halves of all months, one that

@@ -37,6 +37,15 @@ def shared_path(spark: SparkSession) -> str:
     return path
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` as a table in sorted buckets by ``keys``, in the shared folder: joins of
+    tables with as many buckets of the same keys need no exchange."""
+    spark, name = df.sparkSession, f"vintage_{uuid.uuid4().hex[:16]}"
+    laid = df.repartition(buckets, *keys)  # a file for each bucket
+    laid.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", shared_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads is there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
