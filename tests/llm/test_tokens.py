@@ -115,3 +115,17 @@ def test_shards_empty_and_repeated(spark, documents, tmp_path):
         asked = spark.createDataFrame([(5,), (None,), (6,)], "doc_id long")
         found = ts.find(blocks, asked).collect()
         assert sorted((r.start, r.n_tokens) for r in found) == sorted((r.start, r.n_tokens) for r in rows if r.doc_id in (5, None))
+
+
+def test_starts_of_many_write_partitions(spark):
+    """10,000 write partitions, several blocks each: sums of all before, without a row of them in the plan."""
+    rows = spark.range(30_000).select((F.col("id") % 10_000).cast("int").alias("partition"), (F.col("id") % 13).alias("n_ids"))
+    out = ts.starts(rows)
+    sizes = {}
+    for r in rows.collect():
+        sizes[r.partition] = sizes.get(r.partition, 0) + r.n_ids
+    total, want = 0, {}
+    for p in sorted(sizes):
+        want[p], total = total, total + sizes[p]
+    assert {r.partition: r.start for r in out.collect()} == want
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000

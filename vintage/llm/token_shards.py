@@ -40,6 +40,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vintage.llm.common import mix, parts, scratch, table
@@ -401,17 +402,22 @@ def write_shards(
 
 # ---------------------------------------------------------------- reading
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks with ``base`` over the whole dataset. Sums of ids are one
-    row for each write partition, a number fixed when writing."""
+    """The blocks with ``base`` over the whole dataset."""
     blocks = spark.read.parquet(path)
-    sums = sorted(blocks.groupBy("partition").agg(F.sum("n_ids").alias("n")).collect())
-    before, total = {}, 0
-    for p, n in sums:
-        before[p], total = total, total + n
-    if not before:
-        return blocks
-    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return blocks.withColumn("base", F.col("base") + start[F.col("partition")].cast("long"))
+    names = blocks.columns
+    return blocks.join(starts(blocks.select("partition", "n_ids")), "partition").withColumn("base", F.col("base") + F.col("start")).select(*names)
+
+
+def starts(sizes: DataFrame, at_once: int = 1000) -> DataFrame:
+    """(partition, start): ids of all write partitions before each, from rows
+    (partition, n_ids). Running sums within ``at_once`` partitions, plus what
+    the ones before hold; joined by partition, so the plan has no row of them."""
+    sums = sizes.groupBy("partition").agg(F.sum("n_ids").alias("n")).withColumn("run", F.floor(F.col("partition") / at_once))
+    earlier = W.unboundedPreceding, -1
+    runs = sums.groupBy("run").agg(F.sum("n").alias("m"))
+    runs = runs.select("run", F.coalesce(F.sum("m").over(W.orderBy("run").rowsBetween(*earlier)), F.lit(0)).alias("before"))  # one row to at_once partitions
+    own = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("partition").rowsBetween(*earlier)), F.lit(0))
+    return sums.withColumn("own", own).join(runs, "run").select("partition", (F.col("own") + F.col("before")).alias("start"))
 
 
 def look_up(block, keys: np.ndarray, is_null: np.ndarray | None = None, occurrence: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
