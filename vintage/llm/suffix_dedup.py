@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import exact, materialize, prefix_hashes, span_hashes, table
+from vintage.llm.common import exact, hot_keys, materialize, prefix_hashes, span_hashes, spread_join, table
 
 LENGTH = 400
 GRAM = 32
@@ -278,10 +278,14 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, text: str = "text", mos
     same = ["anchor", "context", "check"]
     contexts = found.groupBy(same).agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("row", "size", F.col("places")[0].alias("place"), "before", "after")).alias("one"))
     shared = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    contexts = materialize(contexts.join(shared, "anchor").select(*same, "n", "one", "kinds"), "contexts")
+    shared = materialize(shared, "shared")
+    # an anchor with very many contexts, and a context in very many texts, are dealt over several tasks
+    crowded = hot_keys(shared.select("anchor", F.col("kinds").alias("_c")), ["anchor"], shared.agg(F.sum("kinds")).first()[0] or 0)
+    contexts = materialize(spread_join(contexts, shared.select("anchor", "kinds"), ["anchor"], crowded, ["context", "check"]).select(*same, "n", "one", "kinds"), "contexts")
 
     # contexts that repeat as a whole
-    whole = found.join(contexts.where("n > 1").select(same), same).select(
+    copied = hot_keys(contexts.select(*same, F.col("n").alias("_c")), same, contexts.agg(F.sum("n")).first()[0] or 0)
+    whole = spread_join(found, contexts.where("n > 1").select(same), same, copied, ["row", "size"]).select(
         "row", "size", F.transform("places", lambda p: F.struct((p - F.col("before")).alias("lo"), (p + F.col("after")).alias("hi"))).alias("spans")
     )
 
@@ -371,9 +375,13 @@ def hot_spans(held: DataFrame, length: int) -> DataFrame:
     key = ["anchor", "piece", "core", "hi", "lo", "h", "g"]
     kinds = cut.groupBy(key).agg(F.sum("n").alias("m"), F.min(F.struct(*who)).alias("one"))
     shared = kinds.groupBy("anchor", "piece", "core").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = materialize(kinds.join(shared, ["anchor", "piece", "core"]), "kinds")
+    shared, kinds = materialize(shared, "shared"), materialize(kinds, "all-kinds")
+    piece = ["anchor", "piece", "core"]
+    crowded = hot_keys(shared.select(*piece, F.col("kinds").alias("_c")), piece, shared.agg(F.sum("kinds")).first()[0] or 0)
+    kinds = materialize(spread_join(kinds, shared, piece, crowded, ["h", "g"]), "kinds")
     d = lambda lo, hi: F.array(F.struct((F.col("place") - F.col(hi)).alias("lo"), (F.col("place") - F.col(lo) + length).alias("hi")))
-    whole = cut.where("n = 1").join(kinds.where("m > 1").select(key), key).select("row", "size", d("lo", "hi").alias("spans"))
+    copied = hot_keys(kinds.select(*key, F.col("m").alias("_c")), key, kinds.agg(F.sum("m")).first()[0] or 0)
+    whole = spread_join(cut.where("n = 1"), kinds.where("m > 1").select(key), key, copied, ["row", "size", "place"]).select("row", "size", d("lo", "hi").alias("spans"))
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
