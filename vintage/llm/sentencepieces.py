@@ -126,7 +126,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(df: DataFrame, text: str = "text", model: str | None = None, table_size: int = 300_000) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", model: str | None = None, table_size: int = 150_000) -> DataFrame:
     """Add ids (array of int), decoded (string) to every row of ``df``."""
     model = model or default_model()
     keep = [c for c in df.columns if c not in ("ids", "decoded")]
@@ -141,7 +141,7 @@ def encode(df: DataFrame, text: str = "text", model: str | None = None, table_si
     return back(src.mapInPandas(run, schema + ", ids array<int>, decoded string"))
 
 
-def digest(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, table_size: int = 300_000) -> DataFrame:
+def digest(df: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, table_size: int = 150_000) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256, made inside the
     task so that neither ids nor decoded texts leave it."""
     model = model or default_model()
