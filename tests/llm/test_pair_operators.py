@@ -223,7 +223,7 @@ def test_pipeline(spark, tmp_path, documents, prose):
 
 
 def test_registered_names():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in entries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in entries.QUERIES}
     assert [n for n, _ in corpus_pipeline.STAGES][:2] == ["quality rules", "near duplicates"]
 
 
