@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vintage.llm import circulant_minhash, entries, spaced_seeds, suffix_dedup
+from vintage.llm.common import prefix_hashes, word_hashes
 from vintage.llm.graph import components
 
 
@@ -76,6 +77,46 @@ def test_near_duplicates_odd_ids(documents, prose):
     assert circulant_minhash.near_duplicates(documents([])).count() == 0
 
 
+def test_blocks_meet_all_sets_that_can_be_linked(spark, monkeypatch):
+    """Sizes from one shingle to thousands, in one bucket: every two sets of near
+    sizes meet in a task, no task holds much more than two blocks' shingles, and
+    the links are those of all pairs."""
+    monkeypatch.setattr(circulant_minhash, "BLOCK", 30)
+    monkeypatch.setattr(circulant_minhash, "BLOCK_SHINGLES", 4000)
+    rng = np.random.default_rng(5)
+    sets = []
+    for i in range(160):
+        old = sets[rng.integers(len(sets))] if sets and i % 2 else rng.integers(0, 1 << 40, int(1.06 ** rng.integers(0, 120)) + 1)
+        sets.append(np.unique(np.concatenate([old[rng.random(len(old)) < 0.95], rng.integers(0, 1 << 40, 1)])))
+    placed = spark.createDataFrame([(9, i, i // 2, len(s)) for i, s in enumerate(sets)], "bucket long, node long, part long, n long")
+    tasks = collections.defaultdict(dict)
+    for r in circulant_minhash.dealt_blocks(placed, 80).collect():
+        tasks[r.size_class, r.i, r.j][r.node] = r.n
+    assert max(sum(t.values()) for t in tasks.values()) < 4 * 4000
+    met = {pair for t in tasks.values() for pair in itertools.combinations(sorted(t), 2)}
+    want = set()
+    for u, v in itertools.combinations(range(len(sets)), 2):
+        a, b = len(sets[u]), len(sets[v])
+        if u // 2 != v // 2 and 100 * min(a, b) >= 80 * max(a, b):
+            assert (u, v) in met
+            both = len(np.intersect1d(sets[u], sets[v]))
+            if 100 * both >= 80 * (a + b - both):
+                want.add((u, v))
+    held = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "node long, shingles array<long>")
+    got = {(r.u, r.v) for r in circulant_minhash.compare_blocks(placed, held, 80).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_words_made_to_collide_in_the_polynomial():
+    """The two sequences of Thue and Morse agree under any polynomial modulo 2**64."""
+    bits = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    one, two = (np.where(b, ord("b"), ord("a")).astype(np.uint8) for b in (bits, 1 - bits))
+    ends = [prefix_hashes(w)[-1] for w in (one, two)]
+    assert ends[0] == ends[1]
+    hashes = word_hashes(np.concatenate([one, [32], two, [32], one]).astype(np.uint8))[0]
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
 def test_signature_is_circulant():
     p = circulant_minhash.Permutations(8)
     s = np.array([5 << 44, 9 << 44, 77 << 44], np.uint64)

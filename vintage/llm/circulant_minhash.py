@@ -38,6 +38,7 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 
@@ -51,8 +52,9 @@ from vintage.llm.graph import components
 
 BANDS, ROWS = 40, 6
 UNIVERSE = 1 << 20
-#: Buckets of up to FEW members are compared pair by pair, larger ones in blocks.
-FEW, BLOCK = 8, 256
+#: Buckets of up to FEW members are compared pair by pair, larger ones in blocks
+#: of about BLOCK members or BLOCK_SHINGLES shingles.
+FEW, BLOCK, BLOCK_SHINGLES = 8, 256, 1 << 21
 
 
 class Permutations:
@@ -170,14 +172,38 @@ def common_counts(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
     return out
 
 
-def compare_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different parts of large buckets. A bucket is cut
-    into blocks of about BLOCK members, and each two of its blocks are compared
-    in a task of their own, which gives back the links alone."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
-    dealt = placed.select("bucket", "node", "part", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+def dealt_blocks(placed: DataFrame, percent: int) -> DataFrame:
+    """bucket, size_class, i, j, node, part, n: which members of large buckets
+    meet in which task.
+
+    Sets whose sizes are too far apart cannot be linked, so a member meets only
+    its own class of sizes and the next one (bounds of classes stand in the
+    ratio that ``percent`` allows, so linked sets are never further apart). Each
+    class with the next is cut into blocks of about BLOCK members or BLOCK_SHINGLES
+    shingles, whichever are more, and each two of its blocks are a task's work. So
+    a set is copied once for each block of its own class and of a neighbour."""
+    own = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    met = placed.select("bucket", "node", "part", "n", own.alias("own_class"))
+    met = met.withColumn("size_class", F.explode(F.array(F.col("own_class") - 1, "own_class")))
+    sums = met.groupBy("bucket", "size_class").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("own_class").alias("least_class"), F.count(F.lit(1)).alias("_c"),
+    )
+    # a class with none of its own but the next one's members is compared there
+    sums = materialize(sums.where("lo <> hi AND least_class = size_class"), "blocks")
+    large = hot_keys(sums, ["bucket", "size_class"], sums.agg(F.sum("_c")).first()[0] or 0)
+    dealt = spread_join(met, sums.select("bucket", "size_class", "blocks"), ["bucket", "size_class"], large, ["node"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "node", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.select("bucket", "size_class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "n")
+
+
+def compare_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different parts of large buckets: each two blocks of
+    ``dealt_blocks`` are compared in a task of their own, which gives back the
+    links alone. A pair that two tasks see is one link."""
+    task = ["bucket", "size_class", "i", "j"]
+    dealt = dealt_blocks(placed, percent).drop("n")
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
         own = [np.asarray(s) for s in part["shingles"]]
@@ -193,14 +219,14 @@ def compare_blocks(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
         held = None
         for b in batches:
             held = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (held[["bucket", "i", "j"]] == held[["bucket", "i", "j"]].iloc[-1]).all(axis=1)
-            for _, part in held[~last].groupby(["bucket", "i", "j"], sort=False):
+            last = (held[task] == held[task].iloc[-1]).all(axis=1)
+            for _, part in held[~last].groupby(task, sort=False):
                 yield links(part)
             held = held[last]
         if held is not None and len(held):
             yield links(held)
 
-    full = dealt.join(sets, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    full = dealt.join(sets, "node").repartition(*task).sortWithinPartitions(*task)
     found = full.mapInPandas(run, "u long, v long")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 

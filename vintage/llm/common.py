@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -169,6 +170,8 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Longest word that is hashed by the polynomial.
+LONG = 64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -176,13 +179,19 @@ _LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of the bytes, A-Z lower-cased if asked."""
+    """Hash, start and end of each word of the bytes, A-Z lower-cased if asked.
+    Words of more than LONG bytes go through xxh3: texts made to collide in the
+    polynomial modulo 2**64, whatever its base, are longer than that."""
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64), start, end
-    return span_hashes(prefix_hashes(_LOWER[data] if lower else data), start, end), start, end
+    data = _LOWER[data] if lower else data
+    out = span_hashes(prefix_hashes(data), start, end)
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out, start, end
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
