@@ -172,7 +172,9 @@ def fit(stats: DataFrame, labels: DataFrame, where: Column, key: str = "doc_id",
     known = labels.where(where & F.col(label).isin(0, 1) & F.col(key).isNotNull())
     known = known.groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(max_rows)
-    rows = stats.join(F.broadcast(known), key).select("_y", *STATS).dropna().limit(2 * max_rows).toPandas()
+    found = stats.join(F.broadcast(known), key).select("_y", *STATS, F.xxhash64(F.col(key), F.lit(3)).alias("_spot")).dropna()
+    # ids that repeat are bounded too, by least hash, so that the same rows are learned from in every run
+    rows = found.orderBy("_spot", "_y", *STATS).limit(2 * max_rows).drop("_spot").toPandas()
     rows = rows.sort_values(list(rows.columns))
     return fit_arrays(rows[list(STATS)].to_numpy(float), rows["_y"].to_numpy(float))
 
