@@ -58,13 +58,32 @@ class Net:
             tops.append(np.maximum(np.take_along_axis(y, at[-1][:, None], 1)[:, 0] + b, 0))
         return np.concatenate(tops, axis=1), at
 
-    def probabilities(self, windows: np.ndarray) -> np.ndarray:
-        x = self.vectors[windows]
-        tops = []
-        for w, f, b in zip(WIDTHS, self.filters, self.bias):
-            y = sum(x[:, j : j + SPAN].reshape(-1, VECTOR) @ f[j * VECTOR : (j + 1) * VECTOR] for j in range(w))
-            tops.append(np.maximum(y.reshape(len(windows), SPAN, FILTERS).max(axis=1) + b, 0))
-        z = np.concatenate(tops, axis=1) @ self.out + self.out_bias
+    def pair_tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each two bytes add to the responses: at the first two places of
+        all filters (65536 x all), and at the two that follow of the wider ones,
+        where a width of 3 has one of them (65536 x all but the first width's)."""
+        one = [[self.vectors @ f[j * VECTOR : (j + 1) * VECTOR] for j in range(w)] for w, f in zip(WIDTHS, self.filters)]
+        head = np.concatenate([t[0][:, None] + t[1][None, :] for t in one], axis=2)
+        tail = np.concatenate([t[2][:, None] + (t[3][None, :] if len(t) > 3 else np.zeros((1, 256, 1), t[2].dtype)) for t in one[1:]], axis=2)
+        return head.reshape(1 << 16, -1), tail.reshape(1 << 16, -1)
+
+    def probabilities(self, windows: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None, at_once: int = 16) -> np.ndarray:
+        """Softmax of each window; responses are sums of two rows of the pair
+        tables, for a few windows at a time, so that they stay in the cache."""
+        head, tail = tables or self.pair_tables()
+        pairs = (windows[:, :-1].astype(np.int32) << 8) | windows[:, 1:]
+        tops = np.empty((len(windows), head.shape[1]), head.dtype)
+        y = np.empty((at_once, SPAN, head.shape[1]), head.dtype)
+        more = np.empty((at_once, SPAN, tail.shape[1]), tail.dtype)
+        for s in range(0, len(windows), at_once):
+            some = pairs[s : s + at_once]
+            n = len(some)
+            np.take(head, some[:, :SPAN], axis=0, out=y[:n], mode="clip")
+            np.take(tail, some[:, 2 : 2 + SPAN], axis=0, out=more[:n], mode="clip")
+            y[:n, :, FILTERS:] += more[:n]
+            y[:n].max(axis=1, out=tops[s : s + n])
+        tops = np.maximum(tops + np.concatenate(self.bias), 0)
+        z = tops @ self.out + self.out_bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
@@ -167,6 +186,7 @@ def predict(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "te
     """key, lang_pred, score of every row, from every window of its text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = net.pair_tables() if net else None
         for b in batches:
             names, scores = ["und"] * len(b), np.zeros(len(b))
             sums = np.zeros((len(b), len(net.labels) if net else 0))
@@ -178,7 +198,7 @@ def predict(df: DataFrame, net: Net | None, key: str = "doc_id", text: str = "te
             def flush() -> None:
                 win, who, weigh = np.concatenate(held), np.concatenate(owner), np.concatenate(size)
                 for s in range(0, len(win), at_once):
-                    p = net.probabilities(win[s : s + at_once])
+                    p = net.probabilities(win[s : s + at_once], tables)
                     np.add.at(sums, who[s : s + at_once], p * weigh[s : s + at_once, None])
 
             for i, t in enumerate(b[text]):
