@@ -1,5 +1,6 @@
 """Stored chains, the monthly sink, relations by doubling, ranks, hubs and layouts."""
 
+import random
 import re
 
 import numpy as np
@@ -155,3 +156,64 @@ def test_stored_layout_needs_no_exchange_below_the_join(spark):
     assert "SortMergeJoin" in plan and not re.search(r"Exchange", below)
     want = apply.apply_wide(facts, w)
     assert found == rows(want, *out.columns)
+
+
+def jobs_of(spark, run):
+    """What ``run`` gives, and how many Spark jobs it took."""
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return run(), len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_components_take_few_jobs(spark):
+    """No rounds of joins over all links where a component's links lie near each other."""
+    n = F.col("id")
+    name = lambda c: F.format_string("%08d", c)
+    links = spark.range(30_000).select(F.lit("p").alias("g"), name(n).alias("u"), name(F.when(n % 5 == 4, n).otherwise(n + 1)).alias("v"))
+    out, jobs = jobs_of(spark, lambda: components.components(links, ["g"]))
+    assert jobs <= 12
+    assert out.where(F.col("component") != name(F.floor(F.col("node").cast("long") / 5) * 5)).isEmpty()
+    assert out.count() == 30_000
+
+
+def test_components_across_chunks(spark, monkeypatch):
+    """Far neighbours meet in several chunks; labels are linked in one chunk, and in rounds if there are too many. Keys keep apart."""
+    rng = random.Random(5)
+    pairs = [(rng.choice("xy"), rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    rows = [(g, f"{a:03d}", f"{b:03d}") for g, a, b in pairs] + [(None, "1", "2"), ("x", None, "2")]
+    root = {}
+
+    def find(p):
+        while root.setdefault(p, p) != p:
+            p = root[p]
+        return p
+
+    for g, a, b in rows[: len(pairs)]:
+        low, high = sorted([find((g, a)), find((g, b))])
+        root[high] = low
+    want = {p: find(p)[1] for p in list(root)}
+    edges = spark.createDataFrame(rows, "g string, u string, v string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for chunk in (40, 200, 1 << 18):
+            monkeypatch.setattr(components, "CHUNK", chunk)
+            got = {(r.g, r.node): r.component for r in components.components(edges, ["g"]).collect()}
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_query_derives_its_inputs_once(spark):
+    from vintage.sources import fixture
+
+    made = []
+    with fixture.once():
+        for _ in range(2):
+            fixture.held(spark, "x", "groups", lambda: made.append(1))
+        fixture.held(spark, "y", "groups", lambda: made.append(1))
+    assert len(made) == 2
+    fixture.held(spark, "x", "groups", lambda: made.append(1))  # nothing is kept outside of a query
+    assert len(made) == 3

@@ -10,7 +10,7 @@ from vintage.functions import codes as C
 from vintage.functions import metrics as M
 from vintage.operators import apply, chain, chain_store, concordance, estimation, figures, panels, persistence, structure, weights
 from vintage.plans.analysis import BREAK, FIRST, LAST, _base, _persistence_parts, _relations, _series, _strict_carry  # shared inputs
-from vintage.plans.core import BOTH, _WIDE, _NOISY, _applied, _recode_sql, _rounded, groups_of, query, r6, uniform_chains, uniform_steps
+from vintage.plans.core import BOTH, _WIDE, _NOISY, _applied, _recode_sql, _rounded, groups_of, query, r6, uniform_chains, uniform_steps, universe_of
 from vintage.plans.sql import BASE, PARTS, YEARS, chain_parts, step_of
 from vintage.sources import fixture, trade
 from vintage.sources.storage import checkpointed, shared_path
@@ -27,7 +27,7 @@ def refreshed_chains(spark, sf_dir):
     """A store of chains, after the weights of one step have changed: all chains
     as they now should be, and which of them were built again. S10, Z2"""
     edges, path = fixture.edges(spark, sf_dir), shared_path(spark)
-    steps, universe = checkpointed(uniform_steps(edges)), checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
+    steps, universe = checkpointed(uniform_steps(edges)), universe_of(spark, sf_dir)
     chain_store.refresh(path, steps, universe, FIRST, LAST, BASE, ["VALUE_EUR"])
     at = (F.col("period") == _CHANGED[0]) & (F.col("direction") == _CHANGED[1])
     other = uniform_steps(edges, "QUANTITY_KG").where(at).withColumn("measure", F.lit("VALUE_EUR"))
@@ -128,7 +128,7 @@ PARTS |= {
 CROSS JOIN (SELECT unnest(['1:1','m:1','1:n','m:n']) AS class) c LEFT JOIN ra_n r ON r.anchor=y.anchor AND r.compare_year=y.compare_year AND r.class=c.class""")
 def all_link_distributions(spark, sf_dir):
     """Classes of every anchor's codes in every other year, both ways in time. D8"""
-    edges, universe = checkpointed(fixture.edges(spark, sf_dir)), checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
+    edges, universe = fixture.edges(spark, sf_dir), universe_of(spark, sf_dir)
     return structure.all_link_distributions(edges, universe, FIRST, LAST).select("anchor", "compare_year", "class", "n", *r6("share"))
 
 
@@ -155,12 +155,12 @@ for _tag, _rows, _map in (("pa", "bila", "smpa"), ("pb", "bilb", "smp"), ("pac",
 def basis_persistence(spark, sf_dir):
     """Persistence of every pair of years in the vintage of its own side of the
     break, the pair across it in both, for the three row sets. B11, B12"""
-    edges, g = checkpointed(fixture.edges(spark, sf_dir)), groups_of(spark, sf_dir)
+    edges, g = fixture.edges(spark, sf_dir), groups_of(spark, sf_dir)
     amb = g.summary.where((F.col("period") == BREAK) & F.col("a_to_b_ambiguous")).select("group_id")
     maps = checkpointed(persistence.side_maps(g.edges, amb, BREAK))
     many = concordance.nonbijective_codes(edges.where(f"period = '{LAST - 1}{LAST}'")).where("side = 'a' and cast(code as bigint) % 32 < 16").select("code")
     hit = persistence.contaminated_groups(maps.where("side = 'b'").drop("side"), {LAST - 1: many}, edges, BASE).select("group_id").distinct()
-    universe, whole = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir))), None
+    universe, whole = universe_of(spark, sf_dir), None
     for side, year in (("a", BREAK_A), ("b", BASE)):
         part = persistence.deterministic_basis(universe, maps.where(F.col("side") == side), year).withColumn("side", F.lit(side))
         whole = part if whole is None else whole.unionByName(part)
@@ -191,7 +191,7 @@ def _reached(y: int) -> str:
 @query(" UNION ALL ".join(f"SELECT DISTINCT {y} AS year, '{'a' if y < BASE else 'b'}' AS side, group_id, code FROM {'smpa' if y < BASE else 'smp'} WHERE code IN ({_reached(y)})" for y in range(FIRST, LAST) if y != BREAK_A))
 def contamination(spark, sf_dir):
     """Codes of the ambiguous groups at the break that other revisions reach, by year. B8"""
-    edges, g = checkpointed(fixture.edges(spark, sf_dir)), groups_of(spark, sf_dir)
+    edges, g = fixture.edges(spark, sf_dir), groups_of(spark, sf_dir)
     amb = g.summary.where((F.col("period") == BREAK) & F.col("a_to_b_ambiguous")).select("group_id")
     return persistence.contamination(checkpointed(persistence.side_maps(g.edges, amb, BREAK)), edges, BREAK_A, list(range(FIRST, LAST)))
 
@@ -226,7 +226,7 @@ def weight_bounds(spark, sf_dir):
 def uncovered_codes(spark, sf_dir):
     """Origin codes without a chain, where those of a fifth of the codes were lost. C8"""
     edges = fixture.edges(spark, sf_dir)
-    universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
+    universe = universe_of(spark, sf_dir)
     w = uniform_chains(spark, sf_dir).weights.where("cast(from_code as bigint) % 5 <> 0")
     return chain.uncovered(chain.Chained(w, None, None), universe).select("origin_year", "from_code")
 
@@ -235,7 +235,7 @@ def uncovered_codes(spark, sf_dir):
 WHERE CAST(u.code AS BIGINT)%3=0""")
 def unaccepted_codes(spark, sf_dir):
     """Revised origin codes that the chains lack, where those of a third of the codes were lost. A10"""
-    universe = checkpointed(concordance.code_universe(fixture.trade(spark, sf_dir)))
+    universe = universe_of(spark, sf_dir)
     revised = concordance.revised_codes(groups_of(spark, sf_dir))
     return apply.unaccepted(uniform_chains(spark, sf_dir).weights.where("cast(from_code as bigint) % 3 <> 0"), revised, universe)
 
