@@ -287,3 +287,14 @@ def test_extraction(spark):
     assert got[60].text == "Head & line\nFirst para graph.\nSecond <one>."
     assert (got[99].text, got[99].n_chars) == ("", 0)
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_every_row_labelled_good_is_trusted(spark):
+    """No bound on the trusted rows, and all of their texts are counted."""
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), (F.col("id") % 25 != 0).cast("int").alias("quality"))
+    trusted = quality_rules.trusted_ids(labels)
+    assert trusted.count() == 24_000
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"))
+    texts = quality_rules._trusted_texts(docs, trusted, "doc_id", "text")
+    raw, zero, one = quality_rules._counts(docs, texts, "text")
+    assert sum(raw) == 3 * 25_000 and sum(zero) + sum(one) == 3 * 24_000 and min(sum(zero), sum(one)) > 0

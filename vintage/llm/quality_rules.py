@@ -12,10 +12,9 @@ two halves by a hash of their text (equal texts together), each half is scored
 with weights from the other, and the threshold is the ``QUANTILE`` of the
 scores of those that pass the base rules.
 
-The trusted target is the documents labelled of good quality. Their ids are a
-bounded sample (``max_trusted`` labelled rows, least hash first) so that they
-can be broadcast; the raw counts are over every document. The weights are
-``BUCKETS`` numbers whatever the corpus, so they are a literal in the plan.
+The trusted target is every document labelled of good quality: its ids are joined, and
+broadcast only where the planner finds them small; the raw counts are over every
+document. The weights are ``BUCKETS`` numbers whatever the corpus, so they are a literal in the plan.
 
 Everything is DataFrame expressions; nothing runs in Python on the executors.
 
@@ -34,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm.common import SPACE, table
+from vintage.llm.common import SPACE, materialize, table
 
 BUCKETS = 16384
 #: Of ``judge`` alone, for weights that are not held out; the queries take theirs from the data.
@@ -73,31 +72,33 @@ def _log_ratio(raw: list[int], target: list[int]) -> list[float]:
     return [math.log(t + smooth) - math.log(r + smooth) + shift for t, r in zip(target, raw)]
 
 
-def _marked(docs: DataFrame, trusted: DataFrame, key: str, text: str, how: str) -> DataFrame:
-    """``docs`` joined with the trusted ids, and _half: 0 or 1 of a trusted row, else null."""
-    mark = trusted.select(F.col(key).alias("__id"), F.lit(1).alias("__good")).distinct()
-    half = F.when(F.col("__good").isNotNull(), F.pmod(F.xxhash64(F.lit("half"), F.coalesce(F.col(text), F.lit(""))), F.lit(2)))
-    return docs.join(F.broadcast(mark), docs[key] == F.col("__id"), how).withColumn("__half", half)
+def _trusted_texts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """Text and __half (0 or 1) of every trusted document, written once; only ids and trusted texts outlast the join."""
+    mark = trusted.select(F.col(key).alias("__id")).distinct()
+    half = F.pmod(F.xxhash64(F.lit("half"), F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("int")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias(text))
+    return materialize(rows.join(mark, F.col("__key") == F.col("__id")).select(text, half.alias("__half")), "trusted")
 
 
-def _counts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> tuple[list[int], list[int], list[int]]:
-    """Features of each bucket in all documents and in either half of the trusted ones."""
-    w = _marked(docs, trusted, key, text, "left").select("__half", words(F.col(text)).alias("w"))
+def _features(docs: DataFrame, text: str, *also: str) -> DataFrame:
+    w = docs.select(*also, words(F.col(text)).alias("w"))
     features = F.concat(F.transform("w", _bucket), F.coalesce(_pairs(F.col("w")), F.array().cast("array<int>")))
-    counts = (
-        w.select("__half", F.explode(features).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("__half").alias("target"), F.sum("__half").alias("one"))
-    )
+    return w.select(*also, F.explode(features).alias("bucket"))
+
+
+def _counts(docs: DataFrame, texts: DataFrame, text: str) -> tuple[list[int], list[int], list[int]]:
+    """Features of each bucket in all documents and in either half of the trusted texts."""
     raw, zero, one = [0] * BUCKETS, [0] * BUCKETS, [0] * BUCKETS
-    for r in counts.collect():  # BUCKETS rows at most
-        raw[r.bucket], one[r.bucket] = r.raw, r.one or 0
-        zero[r.bucket] = r.target - one[r.bucket]
+    for r in _features(docs, text).groupBy("bucket").count().collect():  # BUCKETS rows at most
+        raw[r.bucket] = r["count"]
+    for r in _features(texts, text, "__half").groupBy("__half", "bucket").count().collect():  # twice as many
+        (one if r["__half"] else zero)[r.bucket] = r["count"]
     return raw, zero, one
 
 
 def weights(docs: DataFrame, trusted: DataFrame | None, key: str = "doc_id", text: str = "text") -> list[float]:
     """log(target / raw) of each bucket, from all documents; ``trusted`` has
-    the ids of the target (few enough to broadcast)."""
+    the ids of the target."""
     return fit(docs, trusted, key, text)[0]
 
 
@@ -105,16 +106,19 @@ def fit(docs: DataFrame, trusted: DataFrame | None, key: str = "doc_id", text: s
     """The weights and, if a quantile is given, the threshold."""
     if trusted is None:
         return [0.0] * BUCKETS, None if quantile is None else -math.inf
-    raw, zero, one = _counts(docs, trusted, key, text)
+    texts = _trusted_texts(docs, trusted, key, text)
+    raw, zero, one = _counts(docs, texts, text)
     by_bucket = _log_ratio(raw, [a + b for a, b in zip(zero, one)])
     if quantile is None:
         return by_bucket, None
     if not sum(zero) or not sum(one):
         return by_bucket, -math.inf
-    rows = base_columns(_marked(docs.select(key, text), trusted, key, text, "inner"), text)
+    rows = base_columns(texts, text)
     # the other half's weights; the row number is there as in judge
-    rows = rows.select("base_failed", score("__w", _log_ratio(raw, one) + _log_ratio(raw, zero), F.col("__half").cast("int") * BUCKETS).alias("s"), F.monotonically_increasing_id().alias("__row"))
-    found = rows.agg(F.percentile(F.when(~F.col("base_failed") & (F.col("__row") >= 0), F.col("s")), F.lit(quantile))).first()[0]
+    rows = rows.select("base_failed", score("__w", _log_ratio(raw, one) + _log_ratio(raw, zero), F.col("__half") * BUCKETS).alias("s"), F.monotonically_increasing_id().alias("__row"))
+    # counted by score to four places first: however many rows there are, few numbers reach the quantile
+    counted = rows.groupBy(F.round(F.when(~F.col("base_failed") & (F.col("__row") >= 0), F.col("s")), 4).alias("s")).count()
+    found = counted.agg(F.percentile("s", F.lit(quantile), F.col("count"))).first()[0]
     return by_bucket, -math.inf if found is None else found
 
 
@@ -192,10 +196,9 @@ def passed(docs: DataFrame, trusted: DataFrame | None, key: str = "doc_id", text
     return judged.where("kept").select("__row_of.*")
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = 20_000) -> DataFrame:
-    """Ids of at most ``max_trusted`` rows labelled good, least hash first."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all rows labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
