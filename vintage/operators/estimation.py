@@ -46,11 +46,13 @@ def side_shares(
 
 def group_totals(shares: DataFrame, groups: Groups, measures: Iterable[str] = ("VALUE_EUR",)) -> DataFrame:
     """KEY..., total, n_rows and n_pairs of both sides, skip_reason. E2, E3"""
-    side = F.col("side")
-    by = shares.groupBy(*KEY).agg(*[
+    # by pair first: counts of distinct pairs beside sums would copy every share for each of them
+    side, zero = F.col("side"), F.lit(0)
+    pairs = shares.groupBy(*KEY, "side", "REPORTER", "PARTNER").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    by = pairs.groupBy(*KEY).agg(*[
         f.alias(f"{name}_{s}") for s in ("a", "b") for name, f in (
-            ("total", F.coalesce(F.sum(F.when(side == s, F.col("value"))), F.lit(0.0))), ("n_rows", F.count(F.when(side == s, 1))),
-            ("n_pairs", F.countDistinct(F.when(side == s, F.struct("REPORTER", "PARTNER")))))
+            ("total", F.coalesce(F.sum(F.when(side == s, F.col("value"))), F.lit(0.0))), ("n_rows", F.coalesce(F.sum(F.when(side == s, F.col("n"))), zero)),
+            ("n_pairs", F.count(F.when(side == s, 1))))
     ])
     every = ambiguous_groups(groups).crossJoin(F.broadcast(shares.sparkSession.createDataFrame([(m,) for m in measures], "measure string")))
     out = every.join(by, KEY, "left").na.fill(0)
