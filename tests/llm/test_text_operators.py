@@ -298,3 +298,15 @@ def test_every_row_labelled_good_is_trusted(spark):
     texts = quality_rules._trusted_texts(docs, trusted, "doc_id", "text")
     raw, zero, one = quality_rules._counts(docs, texts, "text")
     assert sum(raw) == 3 * 25_000 and sum(zero) + sum(one) == 3 * 24_000 and min(sum(zero), sum(one)) > 0
+
+
+def test_trusted_ids_are_never_broadcast(spark, monkeypatch):
+    """They grow with the corpus; a switch from broadcast to shuffle made the disk grow faster than the input."""
+    made = []
+    monkeypatch.setattr(quality_rules, "materialize", lambda df, name: made.append(df) or df)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "c e"), (3, None)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(2,), (2,), (3,), (9,)], "doc_id long")
+    texts = quality_rules._trusted_texts(docs, trusted, "doc_id", "text")
+    assert sorted(r.text or "" for r in texts.collect()) == ["", "c d", "c e"]
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

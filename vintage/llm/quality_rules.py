@@ -12,8 +12,8 @@ two halves by a hash of their text (equal texts together), each half is scored
 with weights from the other, and the threshold is the ``QUANTILE`` of the
 scores of those that pass the base rules.
 
-The trusted target is every document labelled of good quality: its ids are joined, and
-broadcast only where the planner finds them small; the raw counts are over every
+The trusted target is every document labelled of good quality: its ids are joined in a
+shuffle, as they grow with the corpus; the raw counts are over every
 document. The weights are ``BUCKETS`` numbers whatever the corpus, so they are a literal in the plan.
 
 Everything is DataFrame expressions; nothing runs in Python on the executors.
@@ -77,7 +77,8 @@ def _trusted_texts(docs: DataFrame, trusted: DataFrame, key: str, text: str) ->
     mark = trusted.select(F.col(key).alias("__id")).distinct()
     half = F.pmod(F.xxhash64(F.lit("half"), F.coalesce(F.col(text), F.lit(""))), F.lit(2)).cast("int")
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias(text))
-    return materialize(rows.join(mark, F.col("__key") == F.col("__id")).select(text, half.alias("__half")), "trusted")
+    # never by broadcast, as the ids grow with the corpus: the work is of one kind, and in proportion, at every size
+    return materialize(rows.join(mark.hint("merge"), F.col("__key") == F.col("__id")).select(text, half.alias("__half")), "trusted")
 
 
 def _features(docs: DataFrame, text: str, *also: str) -> DataFrame:
