@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vintage.llm import circulant_minhash, entries, spaced_seeds, suffix_dedup
-from vintage.llm.common import prefix_hashes, word_hashes
+from vintage.llm import circulant_minhash, entries, graph, spaced_seeds, suffix_dedup
+from vintage.llm.common import materialize, prefix_hashes, word_hashes
 from vintage.llm.graph import components
 
 
@@ -133,6 +133,29 @@ def test_components_of_a_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_write_as_many_tables_whatever_the_path(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    order = np.random.default_rng(5).permutation(3000).tolist()
+    links = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long").repartition(7)
+    assert {r.component for r in components(links).collect()} == {0}
+    assert len(written) <= 5
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 40])
+def test_components_of_a_random_graph(spark, monkeypatch, chunk):
+    """Over several chunks; with small ones, what is left of them goes through the rounds."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    pairs = np.random.default_rng(6).integers(-500, 500, (700, 2)).tolist()
+    want = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in want:
+        for u, v in pairs:
+            if u != v:
+                want[u] = want[v] = min(want[u], want[v])
+    got = components(spark.createDataFrame(pairs, "u long, v long").repartition(9)).collect()
+    assert len(got) == len(want) and {r.id: r.component for r in got} == want
+
+
 # ---------------------------------------------------------- suffix removal
 def brute_removed(texts, length):
     raw = [(t or "").encode() for t in texts]
