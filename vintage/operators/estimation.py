@@ -31,17 +31,38 @@ def side_shares(
     The direction only decides which groups count as ambiguous; codes are
     normalised before the join, as they are when weights are applied.
     """
+    found = _side_values(trade, groups, flow, measures, exclude)
+    total = found.groupBy(*KEY, "side").agg(F.sum("value").alias("total"))  # not a window: a giant group's pairs stay where they are
+    return _with_share(found.join(total, [*KEY, "side"]))
+
+
+def _side_values(trade: DataFrame, groups: Groups, flow: str, measures: Iterable[str], exclude: Iterable[str]) -> DataFrame:
+    """KEY, side, code, REPORTER, PARTNER, value of ambiguous groups, written once."""
     exclude = tuple(exclude) or SPECIAL_CODES
     rows = trade.where(flow_is(flow) & not_in(F.col("REPORTER"), exclude) & not_in(F.col("PARTNER"), exclude))
     rows = rows.select(F.substring(F.col("PERIOD").cast("string"), 1, 4).alias("year"), normalise_code(F.col("PRODUCT_NC")).alias("code"), "REPORTER", "PARTNER", *measures)
+    codes = checkpointed(code_groups(groups).join(ambiguous_groups(groups), ["period", "group_id"]))
+    # rows of other codes go first; the sums and the join then find the rows dealt by year and code
+    rows = rows.join(codes.select("year", "code").distinct(), ["year", "code"], "left_semi")
     rows = rows.groupBy("year", "code", "REPORTER", "PARTNER").agg(*[F.sum(m).alias(m) for m in measures])
-    codes = code_groups(groups).join(ambiguous_groups(groups), ["period", "group_id"])
-    found = by_measure(rows.join(codes, ["year", "code"]), measures).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    found = checkpointed(found)
-    total = found.groupBy(*KEY, "side").agg(F.sum("value").alias("total"))  # not a window: a giant group's pairs stay where they are
-    return found.join(total, [*KEY, "side"]).select(
-        *KEY, "side", "code", "REPORTER", "PARTNER", "value", "total", F.try_divide("value", "total").alias("share")
-    )
+    return checkpointed(by_measure(rows.join(codes, ["year", "code"]), measures).withColumn("value", F.coalesce("value", F.lit(0.0))))
+
+
+def _with_share(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEY, "side", "code", "REPORTER", "PARTNER", "value", "total", F.try_divide("value", "total").alias("share"))
+
+
+def used_shares(
+    trade: DataFrame, groups: Groups, flow: str = "1", measures: Iterable[str] = ("VALUE_EUR",), exclude: Iterable[str] = SPECIAL_CODES
+) -> tuple[DataFrame, DataFrame]:
+    """(usable shares, totals of all groups), written: ``side_shares``, ``group_totals`` and
+    ``usable_shares`` with one join, as the totals of the sides are among those of the groups. E1-E3"""
+    measures = tuple(measures)
+    found = _side_values(trade, groups, flow, measures, exclude)
+    totals = checkpointed(group_totals(found, groups, measures))
+    fit = totals.where("skip_reason is null").select(*KEY, "total_a", "total_b")
+    total = F.when(F.col("side") == "a", F.col("total_a")).otherwise(F.col("total_b"))
+    return checkpointed(_with_share(found.join(fit, KEY).withColumn("total", total))), totals
 
 
 def group_totals(shares: DataFrame, groups: Groups, measures: Iterable[str] = ("VALUE_EUR",)) -> DataFrame:
@@ -176,9 +197,7 @@ def estimate(
     periods, directions and measures in one job. Shares and fits are written
     once. ``weights`` raises on fits that are not solved unless told not to;
     ``weights_ambiguous`` and ``diagnostics`` show them. E9, E11"""
-    shares = checkpointed(side_shares(trade, groups, flow, measures, exclude))
-    totals = checkpointed(group_totals(shares, groups, measures))
-    used = usable_shares(shares, totals)
+    used, totals = used_shares(trade, groups, flow, measures, exclude)
     moments = checkpointed(normal_moments(used))
     weights = checkpointed(fitted_weights(moments, groups))
     diagnostics = fit_diagnostics(weights, totals, groups, moments)
