@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -303,3 +304,161 @@ def _solved_sparse(one: pd.DataFrame) -> pd.DataFrame:
             cross[place[i, j]] = v
     x, solved = sparse_fit(a[m], b[m], value[m], cross, row, target, None if np.isnan(start).any() else start)
     return pd.DataFrame({"fit": one["fit"].iloc[0], "link": np.arange(1, len(row) + 1), "weight": x, "solved": solved})
+
+
+# ------------------------------------------------------------ refits by bin
+#: Rows of sums that a task takes at a time.
+ROWS = 1 << 19
+
+
+def bin_fits(sums: DataFrame, key: list[str], runs: list[int]) -> DataFrame:
+    """key..., from_code, to_code, weights, solved of groups of few links: the weight without
+    each bin of ``runs``, null where a side is then left without trade. ``sums`` (key..., kind, bin,
+    i, j, v) has whole groups in a partition, sorted by key: links (kind 0), sums by
+    bin of raw products (1: from by from, 2: from by to) and of values (3: from, 4: to)."""
+    out = ", ".join([*[f"{k} string" for k in (*key, "from_code", "to_code")], "weights array<double>", "solved boolean"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= ROWS:
+                table = pa.Table.from_batches(held)
+                cut = int(_groups_of(table, key)[1][-1])  # the last group may go on
+                if cut:
+                    yield from _bins_solved(table.slice(0, cut), key, runs)
+                held = table.slice(cut).combine_chunks().to_batches()
+                n = table.num_rows - cut
+        if n:
+            yield from _bins_solved(pa.Table.from_batches(held), key, runs)
+
+    return sums.mapInArrow(solve, out)
+
+
+def _groups_of(table: pa.Table, key: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group, and where groups start; rows are sorted by key."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in key:
+        at = table[k].combine_chunks().dictionary_encode()
+        at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).indices.to_numpy()
+        new[1:] |= at[1:] != at[:-1]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _bins_solved(table: pa.Table, key: list[str], runs: list[int]) -> Iterator[pa.RecordBatch]:
+    group, first = _groups_of(table, key)
+    kind, bins, v = (table[c].to_numpy() for c in ("kind", "bin", "v"))
+    codes = pa.chunked_array(table["i"].chunks + table["j"].chunks, pa.string()).combine_chunks().dictionary_encode()
+    place = np.argsort(np.argsort(np.array(codes.dictionary.to_pylist(), dtype=object)))[codes.indices.to_numpy()]
+    i, j, wide = place[: len(v)], place[len(v) :], len(codes.dictionary)
+    traded = np.zeros(len(first), bool)
+    traded[group[kind > 0]] = True
+    own = np.flatnonzero((kind == 0) & traded[group])
+    if not len(own):
+        return
+    own = own[np.lexsort((j[own], i[own], group[own]))]
+    side = {}  # numbers of codes within their group, from 0
+    for name, at in (("from", i), ("to", j)):
+        names = np.unique(group[own].astype(np.int64) * wide + at[own])
+        start = np.searchsorted(names, np.arange(len(first), dtype=np.int64) * wide)
+        side[name] = lambda r, x, names=names, start=start: np.searchsorted(names, group[r].astype(np.int64) * wide + x[r]) - start[group[r]]
+    row, target = side["from"](own, i), side["to"](own, j)
+    n_links = np.bincount(group[own], minlength=len(first))
+    link = np.concatenate([[0], np.cumsum(n_links)])  # where a group's links start
+    run = np.searchsorted(runs, bins)
+    weights, solved = np.full((len(own), len(runs)), np.nan), np.zeros(len(own), bool)
+    for m in np.unique(n_links[n_links > 0]):
+        every = np.flatnonzero(n_links == m)
+        codes_of = int(max(row[(n_links == m)[group[own]]].max(), target[(n_links == m)[group[own]]].max())) + 1
+        at_once = max(1, BATCH // (len(runs) * max(m * m, codes_of * codes_of)))
+        for s in range(0, len(every), at_once):
+            some = every[s : s + at_once]
+            number = np.full(len(first), -1)
+            number[some] = np.arange(len(some))
+            lo, hi = first[some[0]], first[some[-1] + 1] if some[-1] + 1 < len(first) else len(v)
+            r = lo + np.flatnonzero((number[group[lo:hi]] >= 0) & (kind[lo:hi] > 0))
+            shape = (len(some), len(runs), codes_of, codes_of)
+            moment, cross, sums = np.zeros(shape), np.zeros(shape), np.zeros((2, len(some), len(runs)))
+            for k, into, other in ((1, moment, ("from", j)), (2, cross, ("to", j))):
+                e = r[kind[r] == k]
+                into[number[group[e]], run[e], side["from"](e, i), side[other[0]](e, other[1])] = v[e]
+            for k in (3, 4):
+                e = r[kind[r] == k]
+                sums[k - 3, number[group[e]], run[e]] = v[e]
+            held = np.zeros((len(some), len(runs)), bool)
+            held[number[group[r]], run[r]] = True
+            links = link[some][:, None] + np.arange(m)
+            x, ok = _without_each(moment, cross, sums[0], sums[1], held, row[links], target[links])
+            weights[links] = x.transpose(0, 2, 1)
+            solved[links] = ok[:, None]
+    out = {k: table[k].take(pa.array(own)) for k in key} | {"from_code": table["i"].take(pa.array(own)), "to_code": table["j"].take(pa.array(own))}
+    flat = pa.array(weights.ravel(), pa.float64(), from_pandas=True)  # NaN is null
+    out["weights"] = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(runs)), flat)
+    yield from pa.table(out | {"solved": pa.array(solved)}).to_batches()
+
+
+def _others(x: np.ndarray) -> np.ndarray:
+    """Sums over the other bins (axis 1): what is before and what is after, not a difference,
+    whose rounding would hide that codes can't be told apart."""
+    before, after = np.zeros_like(x), np.zeros_like(x)
+    np.cumsum(x[:, :-1], axis=1, out=before[:, 1:])
+    after[:, :-1] = np.cumsum(x[:, :0:-1], axis=1)[:, ::-1]
+    return before + after
+
+
+def _without_each(moment: np.ndarray, cross: np.ndarray, tx: np.ndarray, ty: np.ndarray, held: np.ndarray, row: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights (groups, bins, links), solved (groups)): the full fit, and from there the fits
+    without each bin that holds pairs of the group; NaN where a side is left without trade."""
+    g, n_bins = held.shape
+    m = row.shape[1]
+    at = np.arange(g)[:, None]
+    same = target[:, :, None] == target[:, None, :]
+
+    def terms(mom: np.ndarray, cro: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.arange(len(mom))[:, None]
+        h = mom[n[:, :, None], row[of][:, :, None], row[of][:, None, :]] * same[of] / (a * a)[:, None, None]
+        return h, cro[n, row[of], target[of]] / (a * b)[:, None]
+
+    full, solved = _fits_of(*terms(moment.sum(axis=1), cross.sum(axis=1), tx.sum(axis=1), ty.sum(axis=1), at[:, 0]), row)
+    weights = np.repeat(full[:, None, :], n_bins, axis=1)
+    other_x, other_y = _others(tx), _others(ty)
+    emptied = held & ~((other_x > 0) & (other_y > 0))
+    weights[emptied] = np.nan
+    of, b = np.nonzero(held & ~emptied)
+    if len(of):
+        h, n = terms(_others(moment)[of, b], _others(cross)[of, b], other_x[of, b], other_y[of, b], of)
+        x, ok = _fits_of(h, n, row[of], full[of])
+        weights[of, b] = x
+        np.logical_and.at(solved, of, ok)
+    return weights, solved
+
+
+def _fits_of(h: np.ndarray, n: np.ndarray, row: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Groups where one code has several links in closed form, as ``one_free_code``; others by ``dense_fits``."""
+    several = (row[:, :, None] == row[:, None, :]).sum(axis=2) > 1
+    lowest = np.where(several, row, row.max() + 1).min(axis=1)
+    single = ~(several & (row != lowest[:, None])).any(axis=1)
+    x, solved = np.ones(n.shape), np.ones(len(n), bool)
+    if single.any():
+        x[single] = _one_free(h[single], n[single], several[single])
+    if not single.all():
+        rest = ~single
+        x[rest], solved[rest] = dense_fits(h[rest], n[rest], row[rest], None if start is None else start[rest])
+    return x, solved
+
+
+def _one_free(h: np.ndarray, n: np.ndarray, free: np.ndarray) -> np.ndarray:
+    own = np.where(free, np.diagonal(h, axis1=1, axis2=2), 0).max(axis=1)  # the code's own moment, on each of its links
+    z = n - (h * ~free[:, None, :]).sum(axis=2)
+    z = np.where(free, z / np.where(own > 0, own, 1)[:, None], -np.inf)
+    u = -np.sort(-z, axis=1)
+    k = np.arange(1, z.shape[1] + 1)
+    css = np.cumsum(np.where(np.isfinite(u), u, 0), axis=1) - 1
+    used = np.isfinite(u) & (u * k > css)
+    last = np.where(used, k, 1).max(axis=1)
+    theta = css[np.arange(len(z)), last - 1] / last
+    equal = 1 / np.maximum(free.sum(axis=1), 1)
+    fitted = np.where(own[:, None] > 0, np.maximum(z - theta[:, None], 0), equal[:, None])
+    return np.where(free, fitted, 1.0)
