@@ -39,8 +39,11 @@ def refreshed_chains(spark, sf_dir):
 @query(_recode_sql("trade", "t.PERIOD", _WIDE))
 def apply_stored(spark, sf_dir):
     """Re-coding of facts and weights that are stored in equal buckets."""
-    rows, w = _applied(spark, sf_dir)
-    facts, pivoted = apply.store_for_recoding(rows, w, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the facts are written once, in buckets, and the code lists read from there
+    facts = apply.store_facts(apply.with_year(fixture.trade(spark, sf_dir)), buckets)
+    fixture.held(spark, sf_dir, "universe", lambda: checkpointed(concordance.code_universe(facts)))
+    pivoted = apply.store_weights(uniform_chains(spark, sf_dir, BOTH).weights, buckets)
     return _rounded(apply.recode_stored(facts, pivoted))
 
 
