@@ -148,3 +148,24 @@ def test_refits_equal_cold_fits_without_the_bin(spark):
         cold = estimation.fitted_weights(estimation.normal_moments(left), groups).collect()
         assert len(cold) == sum(k[2] == b for k in got)
         assert all(r.status == "solved" and abs(got[r.group_id, r.direction, b, r.from_code, r.to_code] - r.weight) < 1e-6 for r in cold)
+
+
+def test_refits_take_whole_groups_and_leave_emptied_runs_out(spark, monkeypatch):
+    """Sums come in pieces of a few rows; the runs are those of the general fits, with totals and shares
+    from one join and pairs that carry their rows. A group whose one pair is left out has no such run."""
+    monkeypatch.setattr(fits, "ROWS", 50)
+    trade, edges = trade_and_links(spark, np.random.default_rng(3), groups=6)
+    lone = [("R1", "P", "I", f"9999000{c}", "1", 2000 + (c > 0), 5.0 + c, 1.0) for c in range(3)]
+    trade = trade.unionByName(spark.createDataFrame(lone, trade.schema))
+    links = [("20002001", "2000", "2001", "99990000", f"9999000{c}") for c in (1, 2)]
+    groups = concordance.build_groups(edges.unionByName(spark.createDataFrame(links, edges.schema)))
+    used, totals = estimation.used_shares(trade, groups)
+    shares = estimation.side_shares(trade, groups)
+    assert sorted(used.collect()) == sorted(estimation.usable_shares(shares, totals).collect())
+    dealt, bins = robustness.dealt_pairs(used, 4), robustness.holdout_bins(used, 4)
+    assert sorted(dealt.drop("rows").collect()) == sorted(bins.collect())
+    got = {tuple(r)[:-1]: r.weight for r in robustness.bin_weights(used, dealt, groups).collect()}
+    general = {tuple(r)[:6] + (r.bin,): r.weight for r in robustness._of_large(used, bins, groups, [0, 1, 2, 3]).collect()}
+    assert got.keys() == general.keys() and max(abs(got[k] - general[k]) for k in got) < 1e-6
+    own = {r.bin for r in bins.collect() if r.group_id == max(k[3] for k in got)}
+    assert len(own) == 1 and {k[6] for k in got if k[4] == "99990000"} == {0, 1, 2, 3} - own

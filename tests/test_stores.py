@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vintage.functions import metrics as M
 from vintage.operators import apply, chain_store, components, skew, structure
 from vintage.plans.harmonise import harmonise
+from vintage.sources import fixture
 from vintage.sources.storage import shared_path
 from vintage.streaming import monthly
 
@@ -247,3 +248,18 @@ def test_pairs_of_groups_are_counted_without_copies_of_shares(spark):
     totals = estimation.group_totals(shares, groups)
     assert rows(totals, "total_a", "total_b", "n_rows_a", "n_rows_b", "n_pairs_a", "n_pairs_b") == [(60.0, 85.0, 1, 4, 1, 3)]
     assert "Expand" not in totals._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_by_code_are_those_of_the_facts(spark):
+    """Straight from the lines, or from the facts once they are written."""
+    folder, key = "/root/testdata/sf0.001", ["PRODUCT_NC", "FLOW", "PERIOD"]
+
+    def sums(df):
+        df = df.groupBy(*key).agg(F.round(F.sum("VALUE_EUR"), 2), F.round(F.sum("QUANTITY_KG"), 2))
+        return sorted(tuple(r) for r in df.collect())
+
+    with fixture.once():
+        direct = fixture.trade_by_code(spark, folder)
+        assert direct.count() == direct.select(*key).distinct().count()
+        whole = fixture.stored_trade(spark, folder)
+        assert sums(direct) == sums(whole) == sums(fixture.trade_by_code(spark, folder))
