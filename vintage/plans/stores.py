@@ -161,19 +161,20 @@ def basis_persistence(spark, sf_dir):
     lines, edges = fixture.stored_lines(spark, sf_dir), fixture.edges(spark, sf_dir)
     g = concordance.build_groups(edges.where(F.col("period") == BREAK))  # those of other steps are not used
     maps = checkpointed(persistence.side_maps(g.edges, g.summary.where("a_to_b_ambiguous").select("group_id"), BREAK))
+    links = checkpointed(persistence.carry_links(edges))
     many = concordance.nonbijective_codes(edges.where(f"period = '{LAST - 1}{LAST}'")).where("side = 'a' and cast(code as bigint) % 32 < 16").select("code")
-    hit = persistence.contaminated_groups(maps.where("side = 'b'").drop("side"), {LAST - 1: many}, edges, BASE).select("group_id").distinct()
-    universe, whole = universe_of(spark, sf_dir), None
+    hit = persistence.contaminated_groups(maps.where("side = 'b'").drop("side"), {LAST - 1: many}, edges, BASE, links).select("group_id").distinct()
+    by_code, whole = fixture.trade_by_code(spark, sf_dir), None
     for side, year in (("a", BREAK_A), ("b", BASE)):
-        part = persistence.deterministic_basis(universe, maps.where(F.col("side") == side), year).withColumn("side", F.lit(side))
+        part = persistence.deterministic_basis(concordance.code_universe(by_code), maps.where(F.col("side") == side), year).withColumn("side", F.lit(side))
         whole = part if whole is None else whole.unionByName(part)
     sets = None
     for name, rows in (("adjusted", maps), ("clean", maps.join(hit, "group_id", "left_anti")), ("deterministic", whole)):
         rows = rows.select(F.lit(name).alias("row"), "side", "code", "group_id")
         sets = rows if sets is None else sets.unionByName(rows)
-    codes = persistence.fact_codes(fixture.trade_by_code(spark, sf_dir))
-    carried = persistence.side_codes(codes.select("year", "code").distinct(), edges, BREAK_A, FIRST, LAST)
-    codes = codes.join(carried, ["year", "code"]).drop("code").withColumnRenamed("basis_code", "code")
+    codes = checkpointed(persistence.fact_codes(by_code))
+    carried = persistence.side_codes(codes, edges, BREAK_A, FIRST, LAST, links)
+    codes = codes.join(carried, ["code", "year"]).drop("code").withColumnRenamed("basis_code", "code")
     out = persistence.panel_fits(persistence.bilateral_rows(lines), codes, checkpointed(sets), list(range(FIRST, LAST + 1)), ("row", "side"))
     out = out.withColumn("across", F.col("year") == BASE)
     return out.select("row", "side", "year", "across", *[F.round(c, 5).alias(c) for c in ("coef", "se")], "n", F.round("r2_45", 5).alias("r2_45"))
